@@ -7,10 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import packing, simhash, suffix, token_counts
+from ledgerloom.llm import fingerprint, langid, media, mixing, packing, quality, simhash, suffix, token_counts
 from ledgerloom.llm.common import parquet
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(parquet(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "n_chars", "copies", "copy", F.round("order_key", 9).alias("order_key"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint.fingerprint_edits(parquet(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.media_features(media.media_columns(parquet(spark, sf_dir, "documents")))
+    return out.withColumn("feature", F.lower(F.hex("phash"))).drop("phash")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.identify(parquet(spark, sf_dir, "pages"), parquet(spark, sf_dir, "documents"))
+    return out.select("page_id", "host", "suffix", "declared", "text_lang", "lang", F.round("confidence", 6).alias("confidence"))
+
+
+def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(parquet(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -30,5 +54,32 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(parquet(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_simhash_near_dedup, op8_suffix_dedup, op9_best_fit_packing, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_source_mixing, op2_order_minhash, op4_media_columns, op5_language_id, op6_quality_gam, op7_simhash_near_dedup, op8_suffix_dedup, op9_best_fit_packing, op10_token_counts)
+}
+
+#: The uniform number of mixing.poisson_copies, in DuckDB.
+_UNIT = "CAST(('0x' || substr(md5({seed} || ':' || {text}), 1, 13)) AS BIGINT) / 4503599627370496.0"
+
+_OP1 = f"""
+WITH sizes AS (
+  SELECT source, count(*) AS n_docs, CAST(coalesce(sum(length(text)), 0) AS DOUBLE) AS chars FROM documents GROUP BY source
+), rates AS (
+  SELECT source, CASE WHEN chars > 0 THEN least(1.0 / (SELECT count(*) FROM sizes) * (SELECT sum(chars) FROM sizes) / chars, {mixing.MAX_RATE}) ELSE 1.0 END AS rate FROM sizes
+), terms AS (
+  SELECT source, k, exp(-rate + k * ln(rate) - list_sum([ln(i) FOR i IN range(1, k + 1)])) AS p FROM rates, range({mixing.TAIL}) t(k) WHERE k > 0
+  UNION ALL SELECT source, 0, exp(-rate) FROM rates
+), sums AS (
+  SELECT source, list(c ORDER BY k) AS cdf FROM (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms) GROUP BY source
+), drawn AS (
+  SELECT d.doc_id, d.source, d.n_chars, md5(coalesce(text, '')) AS text_md5, len(list_filter(cdf, lambda x: u >= x)) AS copies
+  FROM (SELECT *, {_UNIT.format(seed=f"'{mixing.SEED}'", text="coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || md5(coalesce(text, ''))")} AS u FROM documents) d
+  JOIN sums s ON d.source IS NOT DISTINCT FROM s.source
+)
+SELECT doc_id, source, n_chars, copies, CAST(c AS BIGINT) AS copy, text_md5,
+  round({_UNIT.format(seed=f"'{mixing.SEED + 1}'", text="coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || c")}, 9) AS order_key
+FROM drawn, LATERAL (SELECT unnest(range(1, copies + 1)) AS c)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_source_mixing": _OP1}

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import join_hot, materialise
+from ledgerloom.llm.common import BROADCAST_ROWS, join_hot, materialise
 
 DISTANCE = 3
 SHINGLE = 3
@@ -158,3 +158,18 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
 
 def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """docs, all columns, without those rows that have an earlier near-duplicate; of rows with one doc_id one stays.
+
+    Rows without doc_id stay, as they can't be told apart.
+    """
+    groups = near_duplicates(docs, distance, shingle)
+    gone = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    rest = docs.join(F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
+    again = materialise(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if not again.limit(1).count():
+        return rest
+    marked = rest.join(again.withColumn("__again", F.lit(True)), "doc_id", "left")
+    return marked.where("__again IS NULL").drop("__again").unionByName(marked.where("__again").drop("__again").dropDuplicates(["doc_id"]))
