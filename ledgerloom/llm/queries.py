@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import fingerprint, langid, media, mixing, packing, quality, simhash, suffix, token_counts
+from ledgerloom.llm import fingerprint, langid, licenses, media, mixing, packing, quality, simhash, suffix, token_counts
 from ledgerloom.llm.common import parquet
 
 
@@ -21,6 +21,11 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(licenses.documents_as_files(parquet(spark, sf_dir, "documents")))
+    return out.select("doc_id", "path", "own_license", "own_score", "license", "how", "inherited_from")
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.media_features(media.media_columns(parquet(spark, sf_dir, "documents")))
     return out.withColumn("feature", F.lower(F.hex("phash"))).drop("phash")
@@ -56,7 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_source_mixing, op2_order_minhash, op4_media_columns, op5_language_id, op6_quality_gam, op7_simhash_near_dedup, op8_suffix_dedup, op9_best_fit_packing, op10_token_counts)
+    for f in (op1_source_mixing, op2_order_minhash, op3_license_scan, op4_media_columns, op5_language_id, op6_quality_gam, op7_simhash_near_dedup, op8_suffix_dedup, op9_best_fit_packing, op10_token_counts)
 }
 
 #: The uniform number of mixing.poisson_copies, in DuckDB.
@@ -82,4 +87,41 @@ SELECT doc_id, source, n_chars, copies, CAST(c AS BIGINT) AS copy, text_md5,
 FROM drawn, LATERAL (SELECT unnest(range(1, copies + 1)) AS c)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_source_mixing": _OP1}
+_TEMPLATES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(licenses.TEMPLATES.items()))
+_OP3 = f"""
+WITH templates(license, t) AS (VALUES {_TEMPLATES}),
+template_terms AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(t), '{licenses.TERM}')) AS term FROM templates) GROUP BY ALL),
+base AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_matches(coalesce(text, ''), '{licenses.MARKS}') AS marked,
+    coalesce(source, 'unknown') || '/a' || (doc_id // 1024) || '/b' || (doc_id // 64) AS dir
+  FROM documents
+), files AS (SELECT *, marked AND length(text) < {licenses.SHORT_FILE} AS is_file FROM base),
+lines AS (SELECT doc_id, is_file, unnest(regexp_split_to_array(text, '\\r?\\n')) AS line FROM files WHERE marked),
+statements AS (
+  SELECT row_number() OVER () AS sid, doc_id, terms FROM (
+    SELECT doc_id, regexp_extract_all(lower(line), '{licenses.TERM}') AS terms FROM lines WHERE regexp_matches(line, '{licenses.MARKS}')
+    UNION ALL SELECT doc_id, regexp_extract_all(lower(text), '{licenses.TERM}') FROM files WHERE is_file)
+), tf AS (SELECT sid, term, count(*) AS tf FROM (SELECT sid, unnest(terms) AS term FROM statements) GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM statements),
+idf AS (SELECT term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM template_terms) LEFT JOIN (SELECT term, count(*) AS df FROM tf GROUP BY term) USING (term), n),
+weighed AS (SELECT sid, term, tf * coalesce(idf, ln(1.0 + n) + 1) AS w FROM tf LEFT JOIN idf USING (term), n),
+norms AS (SELECT sid, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY sid),
+template_norms AS (SELECT license, sqrt(sum(tf * idf * tf * idf)) AS norm FROM template_terms JOIN idf USING (term) GROUP BY license),
+cosines AS (
+  SELECT sid, license, round(sum(w * t.tf * idf) / any_value(norms.norm) / any_value(template_norms.norm), 9) AS score
+  FROM weighed JOIN template_terms t USING (term) JOIN idf USING (term) JOIN norms USING (sid) JOIN template_norms USING (license) GROUP BY sid, license
+), own AS (
+  SELECT doc_id, first(license ORDER BY score DESC, license) AS own_license, round(max(score), 6) AS own_score
+  FROM cosines JOIN statements USING (sid) GROUP BY doc_id HAVING max(score) >= {licenses.THRESHOLD}
+), holders AS (SELECT dir, first(own_license ORDER BY own_score DESC, own_license) AS inherited FROM files JOIN own USING (doc_id) WHERE is_file GROUP BY dir)
+SELECT f.doc_id, f.dir || CASE WHEN is_file THEN '/LICENSE' ELSE '/doc_' || f.doc_id || '.txt' END AS path, own_license, own_score,
+  coalesce(own_license, h3.inherited, h2.inherited, h1.inherited) AS license,
+  CASE WHEN own_license IS NOT NULL THEN 'own' WHEN coalesce(h3.inherited, h2.inherited, h1.inherited) IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+  CASE WHEN own_license IS NULL THEN coalesce(h3.dir, h2.dir, h1.dir) END AS inherited_from
+FROM files f LEFT JOIN own USING (doc_id)
+LEFT JOIN holders h3 ON h3.dir = f.dir
+LEFT JOIN holders h2 ON h2.dir = array_to_string(string_split(f.dir, '/')[1:2], '/')
+LEFT JOIN holders h1 ON h1.dir = string_split(f.dir, '/')[1]
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_source_mixing": _OP1, "op3_license_scan": _OP3}
