@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, str] = {}
 
@@ -25,6 +28,23 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="ledgerloom-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def materialise(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write df once to the shared folder and read it back: lineage is cut and lost executors lose nothing."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g", name: str = "ledgerloom") -> SparkSession:
     """A local session for tests and benchmarks."""
     spark = (
