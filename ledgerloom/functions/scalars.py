@@ -55,28 +55,33 @@ def bank_key(x: Column) -> Column:
     return F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}]", ""))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, so that nested cases don't multiply the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def amount(x: Column) -> Column:
     """Money text of mixed conventions as a decimal, or null."""
+
+    def number(body: Column) -> Column:
+        drop = lambda sep: F.replace(body, F.lit(sep), F.lit(""))
+        text = (
+            F.when(body.rlike(r",.*\.[^,]*$"), drop(","))  # both separators, the last one is the decimal point
+            .when(body.rlike(r"\..*,[^.]*$"), F.replace(drop("."), F.lit(","), F.lit(".")))
+            .when(body.rlike(r"^[^,]*,([^,]{0,2}|[^,]{4,})$"), F.replace(body, F.lit(","), F.lit(".")))  # one, not before three digits
+            .when(body.rlike(r"^[^.]*\.([^.]{0,2}|[^.]{4,})$"), body)
+            .otherwise(F.translate(body, ",.", ""))
+        )
+        return F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), text.try_cast(MONEY))
+
+    def signed(bare: Column) -> Column:
+        negative = bare.rlike(r"^\(.*\)$|^-|-$")
+        body = F.trim(F.regexp_replace(bare, r"^\((.*)\)$|^-(.*)$|^(.*)-$", "$1$2$3"))
+        return _let(body, lambda b: F.when(negative, -F.abs(number(b))).otherwise(number(b)))
+
     t = F.trim(x)
-    bare = F.trim(F.regexp_replace(F.regexp_replace(t, CURRENCY, ""), "[  ]", ""))
-    wrapped = bare.startswith("(") & bare.endswith(")")
-    negative = wrapped | bare.startswith("-") | bare.endswith("-")
-    body = F.trim(F.when(wrapped, F.regexp_extract(bare, r"^\((.*)\)$", 1)).when(bare.startswith("-"), F.substring(bare, 2, 1 << 20)).when(bare.endswith("-"), F.regexp_replace(bare, "-$", "")).otherwise(bare))
-    commas, dots = F.instr(body, ",") > 0, F.instr(body, ".") > 0
-    dot_last = F.length(F.substring_index(body, ".", -1)) < F.length(F.substring_index(body, ",", -1))
-    one = lambda sep: (F.length(body) - F.length(F.replace(body, F.lit(sep), F.lit(""))) == 1) & (F.length(F.substring_index(body, sep, -1)) != 3)
-    drop = lambda s, sep: F.replace(s, F.lit(sep), F.lit(""))
-    point = lambda s: F.replace(s, F.lit(","), F.lit("."))
-    number = (
-        F.when(commas & dots & dot_last, drop(body, ","))
-        .when(commas & dots, point(drop(body, ".")))
-        .when(commas & one(","), point(body))
-        .when(commas, drop(body, ","))
-        .when(dots & ~one("."), drop(body, "."))
-        .otherwise(body)
-    )
-    value = F.when(number.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), number.try_cast(MONEY))
-    return F.when(t.isin(*NO_AMOUNT) | (body == ""), F.lit(None).cast(MONEY)).when(negative, -F.abs(value)).otherwise(value)
+    bare = F.trim(F.regexp_replace(t, f"{CURRENCY}|[ \u00a0]", ""))
+    return F.when(t.isin(*NO_AMOUNT), F.lit(None).cast(MONEY)).otherwise(_let(bare, signed)).cast(MONEY)
 
 
 def date_text(x: Column) -> Column:

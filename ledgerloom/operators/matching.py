@@ -19,10 +19,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
+from ledgerloom.operators.ordering import number_rows
 from ledgerloom.plans.model import ACCEPTED, BANKING, MAX_SUBSET, MONEY, RULE_FIELDS, SLACK_DAYS, Control, Session
 from ledgerloom.session import materialise
 
@@ -127,13 +128,12 @@ class Matcher:
 
     # ---- bank evidence ----------------------------------------------------------------------------------------
 
-    def bank_decisions(self, c: Control, p: DataFrame, s: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """p_id, decision, reason, picked (a record); and p_id, s_id of the records that review links.
+    def bank_decisions(self, c: Control, p: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """For bank pairs by amount and date: p_id, decision, reason, picked (a record); and p_id, s_id of the records that review links.
 
         The first unique evidence decides: a reference, a counterparty, the exact description. A single compatible row
         without evidence is suggested; anything else is for review.
         """
-        pairs = self._amount_pairs(c, p, s)
         key = lambda x: F.coalesce(S.bank_key(F.col(x)), F.lit(""))
         first = lambda *xs: F.coalesce(*[F.nullif(key(x), F.lit("")) for x in xs])
         same = lambda mine, *theirs: F.coalesce(reduce(lambda a, b: a | b, [mine == key(t) for t in theirs]), F.lit(False))
@@ -159,27 +159,15 @@ class Matcher:
         linked = pairs.where("fits").join(made.where("decision <> 'ACCEPTED'").select("p_id"), "p_id").select("p_id", "s_id")
         return made, linked
 
-    # ---- one control over one set of primaries ----------------------------------------------------------------
+    def candidate_sets(self, c: Control, p: DataFrame, s: DataFrame) -> DataFrame:
+        """Per primary: how many candidates and direct matches it has, and how many sums of subsets hit its amount."""
+        amount, error = rule_amount(c.rule.primary_field)
+        pairs = self._document_pairs(c, p, s).where(self._compatible(c, c.days + SLACK_DAYS)).withColumn("in_rule", self._compatible(c, c.days))
+        return self._decisive(c, p.withColumn("amount", amount).withColumn("error", error), pairs)
 
-    def _control(self, c: Control, p: DataFrame, s: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Comparisons, links and discrepancies of a control. p are ready primaries, s the rows not accepted yet."""
-        meta = [F.lit(c.order).alias("control"), F.lit(c.source.id).alias("source_id"), F.lit(c.source.kind).alias("source_kind")]
-        if c.rule is None:
-            rows = p.select(F.col("id").alias("p_id"), *meta, F.lit("CUSTOM").alias("semantic"), _zero().alias("expected"), _zero().alias("actual"), _zero().alias("variance"), _zero().alias("added"), F.lit("NEEDS_REVIEW").alias("status"), F.lit("UNSUPPORTED_RECONCILIATION_RULE").alias("code"), F.lit(False).alias("compared"), F.lit("unsupported").alias("flag"), F.lit(False).alias("matched"))
-            return rows, self._no_links(), self._codes(rows)
+    def _decisive(self, c: Control, base: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Candidate sets reduced to what decides them: counts, sums, the one row, the one direct row, subset sums."""
         tolerance = F.lit(c.tolerance).cast(MONEY)
-        amount, error = rule_amount(c.rule.primary_field)
-        base = p.withColumn("amount", amount).withColumn("error", error)
-        linked = None
-        if c.is_bank:
-            decided, linked = self.bank_decisions(c, base.where("error IS NULL").drop("amount", "error"), s)
-            decided = materialise(decided, "bank")
-            picked = decided.where("decision = 'ACCEPTED'").select(F.col("p_id"), F.col("picked").alias("s_id"))
-            ps, ss = self._amounts(c, p, s)
-            pairs = ps.join(picked, "p_id").join(ss, "s_id")
-        else:
-            pairs = self._document_pairs(c, p, s)
-        pairs = pairs.where(self._compatible(c, c.days + SLACK_DAYS)).withColumn("in_rule", self._compatible(c, c.days))
         off = (F.col("p_amount") - F.col("s_amount")).cast(MONEY)
         row = F.struct(F.col("s_pos").alias("pos"), F.col("s_id").alias("id"), F.col("s_amount").alias("amount"), F.col("s_error").alias("error"), F.col("s_partner_tax_id").alias("tax"), F.col("s_date").alias("date"))
         direct = F.abs(off) <= tolerance
@@ -200,6 +188,27 @@ class Matcher:
             known = known.join(subsets, "p_id", "left").fillna(0, ["n_subsets"])
         else:
             known = known.withColumns({"n_subsets": F.lit(0), "subset_sum": F.lit(None).cast(MONEY), "chosen": F.lit(None).cast("array<string>")})
+        return known
+
+    # ---- one control over one set of primaries ----------------------------------------------------------------
+
+    def _control(self, c: Control, p: DataFrame, pairs: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Comparisons, links and discrepancies of a control. p are ready primaries, pairs theirs with rows not accepted yet."""
+        meta = [F.lit(c.order).alias("control"), F.lit(c.source.id).alias("source_id"), F.lit(c.source.kind).alias("source_kind")]
+        if c.rule is None:
+            rows = p.select(F.col("id").alias("p_id"), *meta, F.lit("CUSTOM").alias("semantic"), _zero().alias("expected"), _zero().alias("actual"), _zero().alias("variance"), _zero().alias("added"), F.lit("NEEDS_REVIEW").alias("status"), F.lit("UNSUPPORTED_RECONCILIATION_RULE").alias("code"), F.lit(False).alias("compared"), F.lit("unsupported").alias("flag"), F.lit(False).alias("matched"))
+            return rows, self._no_links(), self._codes(rows)
+        tolerance = F.lit(c.tolerance).cast(MONEY)
+        amount, error = rule_amount(c.rule.primary_field)
+        base = p.withColumn("amount", amount).withColumn("error", error)
+        linked = None
+        if c.is_bank:
+            decided, linked = self.bank_decisions(c, base.where("error IS NULL"), pairs)
+            decided = materialise(decided, "bank")
+            picked = decided.where("decision = 'ACCEPTED'").select("p_id", F.col("picked").alias("s_id"))
+            near = self._compatible(c, c.days + SLACK_DAYS)
+            pairs = pairs.join(picked, ["p_id", "s_id"]).where(near).withColumn("in_rule", self._compatible(c, c.days))
+        known = self._decisive(c, base, pairs)
         bank = decided.select("p_id", "decision", "reason") if c.is_bank else None
         known = known.join(bank, "p_id", "left") if bank is not None else known.withColumns({"decision": F.lit(None).cast("string"), "reason": F.lit(None).cast("string")})
         known = materialise(known, "control")
@@ -266,23 +275,33 @@ class Matcher:
 
     # ---- rounds -----------------------------------------------------------------------------------------------
 
-    def _contention(self, p: DataFrame) -> DataFrame:
-        """p_id, p_pos, source, s_id: every secondary that a primary might take or be told of."""
-        parts = []
+    def _all_pairs(self, p: DataFrame) -> dict[int, DataFrame]:
+        """Every control's candidate pairs, before anything is taken; written once and read by all rounds."""
+        out = {}
         for c in self.controls:
-            if c.rule is not None and c.rule.primary_field in RULE_FIELDS:
-                pairs = self._amount_pairs(c, p, self.s[c.source_order]) if c.is_bank else self._document_pairs(c, p, self.s[c.source_order]).where(self._compatible(c, c.days + SLACK_DAYS))
-                parts.append(pairs.select("p_id", "p_pos", F.lit(c.source_order).alias("source"), "s_id"))
+            if c.rule is None:
+                continue
+            if c.is_bank:
+                pairs = self._amount_pairs(c, p, self.s[c.source_order])
+            else:
+                pairs = self._document_pairs(c, p, self.s[c.source_order]).where(self._compatible(c, c.days + SLACK_DAYS)).withColumn("in_rule", self._compatible(c, c.days))
+            out[c.order] = materialise(pairs, "pairs")
+        return out
+
+    def _contention(self, pairs: dict[int, DataFrame], p: DataFrame) -> DataFrame:
+        """p_id, p_pos, source, s_id: every secondary that a primary might take or be told of."""
+        parts = [df.select("p_id", "p_pos", F.lit(self.controls[k].source_order).alias("source"), "s_id") for k, df in pairs.items()]
         if not parts:
             return p.limit(0).select(F.col("id").alias("p_id"), F.col("pos").alias("p_pos"), F.lit(0).alias("source"), F.col("id").alias("s_id"))
-        return reduce(DataFrame.unionByName, parts).distinct()
+        return reduce(DataFrame.unionByName, parts).distinct() if len(parts) > 1 else parts[0]
 
     def pass_one(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """Groups, comparisons, links and discrepancies of all primaries that have a document key."""
         p = self.p.where("doc_key IS NOT NULL")
         if self.primary.kind == "e_invoice":
             p = p.where("lifecycle IS NULL OR lifecycle = 'STANDARD'")
-        pairs = self._contention(p)
+        every = self._all_pairs(p)
+        pairs = self._contention(every, p)
         shared = pairs.groupBy("source", "s_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("source", "s_id")
         waiting = materialise(pairs.join(shared, ["source", "s_id"], "left_semi"), "contended")
         out: list[tuple[DataFrame, ...]] = []
@@ -293,7 +312,7 @@ class Matcher:
             blocked = materialise(waiting.join(first, ["source", "s_id"]).where("p_pos > first").select(F.col("p_id").alias("id")).distinct(), "blocked")
             last = blocked.limit(1).count() == 0
             ready = left if last else left.join(blocked, "id", "left_anti")
-            made = self._match(ready, taken, len(out) == 0)
+            made = self._match(ready, every, taken if out else None, whole=last and not out)
             out.append(made)
             if last:
                 break
@@ -306,13 +325,15 @@ class Matcher:
         ok = made[0].where(F.col("status").isin(*ACCEPTED)).select("p_id")
         return made[2].where("in_group").join(ok, "p_id", "left_semi").select("source_id", "s_id").distinct()
 
-    def _match(self, ready: DataFrame, taken: DataFrame, fresh: bool) -> tuple[DataFrame, ...]:
+    def _match(self, ready: DataFrame, every: dict[int, DataFrame], taken: DataFrame | None, whole: bool) -> tuple[DataFrame, ...]:
         parts = []
         for c in self.controls:
-            s = self.s[c.source_order]
-            if not fresh:
-                s = s.join(taken.where(F.col("source_id") == c.source.id).select(F.col("s_id").alias("id")), "id", "left_anti")
-            parts.append(self._control(c, ready, s))
+            pairs = every.get(c.order)
+            if pairs is not None and not whole:
+                pairs = pairs.join(ready.select(F.col("id").alias("p_id")), "p_id", "left_semi")
+            if pairs is not None and taken is not None:
+                pairs = pairs.join(taken.where(F.col("source_id") == c.source.id).select("s_id"), "s_id", "left_anti")
+            parts.append(self._control(c, ready, pairs))
         rows, links, details = (materialise(reduce(DataFrame.unionByName, [x[i] for x in parts]), n) for i, n in enumerate(("comparisons", "links", "discrepancies")))
         return self._group(rows), rows, links, details
 
@@ -523,6 +544,5 @@ def reconcile(session: Session, records: dict[str, DataFrame]) -> Frames:
 
 
 def sorted_groups(groups: DataFrame) -> DataFrame:
-    """Report order: date, number, series, group, all as text."""
-    w = Window.orderBy(F.coalesce("date", F.lit("")), F.coalesce("doc_no", F.lit("")), F.coalesce("series", F.lit("")), "group_id")
-    return groups.withColumn("stt", F.row_number().over(w))
+    """Report order: date, number, series, group, all as text; stt is the place."""
+    return number_rows(groups, [F.coalesce("date", F.lit("")), F.coalesce("doc_no", F.lit("")), F.coalesce("series", F.lit("")), F.col("group_id")], "stt")
