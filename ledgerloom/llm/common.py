@@ -2,38 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.session import materialise
+
+__all__ = ["join_hot", "join_small", "materialise", "parquet", "slices", "unit_hash"]
+
 #: A side of a join is broadcast only when it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 100_000
 #: Copies of each small-side row when a join is salted instead.
 SALTS = 16
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="ledgerloom-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialise(df: DataFrame, label: str = "step", partition_by: str | None = None) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage is cut and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def join_small(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a side that has one row per key. It is counted: up to limit rows are broadcast.
 
@@ -65,5 +49,12 @@ def unit_hash(*cols: Column, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint") / F.lit(float(16**13))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in smaller parts, so that only a few texts at a time are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -18,8 +18,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-#: Entries after which a worker's dictionary starts anew (about 80 MB).
-CACHE_ENTRIES = 400_000
+#: Entries after which a worker's dictionary starts anew (about 50 MB).
+CACHE_ENTRIES = 250_000
 #: Longer chunks are rarely seen twice and aren't kept.
 CACHED_CHUNK = 24
 #: str.split() also splits at these; the tokenizer doesn't, so such texts go through it whole.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import join_small, materialise
+from ledgerloom.llm.common import join_small, materialise, slices
 
 #: Hash bins of the trigram model, and pseudo-counts.
 BINS = 1 << 15
@@ -48,7 +48,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 table = tables.setdefault(lang, np.zeros(BINS, "i8"))
                 for at in range(0, len(text), 1 << 20):
@@ -95,7 +95,7 @@ def text_likelihoods(pages: DataFrame, langs: list[str], logs: np.ndarray) -> Da
     seen = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), declared_language(F.col("html")).alias("declared"), F.trim(page_text(F.col("html"))).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores, best = [], []
             for text in batch.column(5).to_pylist():
                 total, n = np.zeros(len(langs)), 0

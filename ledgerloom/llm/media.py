@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import slices
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
 CHANNELS = 3
@@ -144,7 +146,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_bytes, media (the PNG) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = [payload_of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([encode_png(p) for p, _ in made], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -155,7 +157,7 @@ def media_features(media: DataFrame) -> DataFrame:
     """Adds payload (bytes read back) digests and phash (binary) to doc_id, n_bytes, media."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, n, png in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 samples = decode_png(png)

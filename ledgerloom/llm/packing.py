@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialise
+from ledgerloom.llm.common import materialise, slices
 from ledgerloom.llm.encoding import encoder, tokenizer_path
 
 CAPACITY = 4096
@@ -42,7 +42,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(text or "") + end

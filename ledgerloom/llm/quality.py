@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import slices
+
 #: Bound of the rows that the tables are learned from.
 MAX_LABELLED = 20_000
 THRESHOLD = 0.3
@@ -197,7 +199,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = feature_rows(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
@@ -215,7 +217,7 @@ def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     """doc_id, score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(feature_rows(batch.column(1).to_pylist())))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, score double")
@@ -231,8 +233,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     """The rows of docs, all columns, whose score is at least the threshold."""
     model = fit(docs, labels, most)
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        return type(texts)(model.score(feature_rows(texts.tolist())))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = [None if t is None else t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(model.score(feature_rows(texts)) >= threshold))
 
-    return docs.where(scored(F.col("text").cast("binary")) >= threshold)
+    return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import BROADCAST_ROWS, join_hot, materialise
+from ledgerloom.llm.common import BROADCAST_ROWS, join_hot, materialise, slices
 
 DISTANCE = 3
 SHINGLE = 3
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     """doc_id, fp (the 64 bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], "u8").view("i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import join_hot, materialise
+from ledgerloom.llm.common import join_hot, materialise, slices
 
 LENGTH = 400
 #: Windows of a text that are hashed together; texts of any length are taken in such steps.
@@ -183,7 +183,7 @@ def _batch(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.
 
 def _profile(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = text or b""
@@ -199,7 +199,7 @@ def _pieces(length: int):
     reach = length - anchor_length(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for no, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("no", "text", "wanted")), strict=True):
                 if not wanted:
@@ -269,7 +269,7 @@ def _cut(length: int):
     names = ["no", "spans", "kept_sha"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for no, text, found in zip(*(batch.column(c).to_pylist() for c in ("no", "text", "found")), strict=True):
                 own = anchors(np.frombuffer(text, "u1"), length)[-1]
@@ -334,11 +334,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     spans = repeated_spans(docs, length, id_col=id_col, text_col=text_col, **options)
     one = spans.where(F.size("spans") > 0).select("sha", "spans", F.lit(1).alias("n")).groupBy("sha").agg(F.first("spans").alias("__spans"), F.count("n").alias("__n"))
     keyed = docs.withColumn("__sha", F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), 256)))
-    joined = keyed.join(one.select(F.col("sha").alias("__sha"), "__spans"), "__sha", "left")
+    joined = keyed.join(one.select(F.col("sha").alias("__sha"), "__spans"), "__sha", "left").select(*docs.columns, "__spans")
+    place = docs.columns.index(text_col)
 
-    @F.pandas_udf("string")
-    def cut(raw, found):
-        return raw.combine(found, lambda r, f: without(r, [(x["start"], x["end"]) for x in f]).decode("utf-8", "ignore"))
-
-    changed = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), F.coalesce("__spans", F.array().cast(SPANS))))
-    return joined.select(*[changed.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts, spans = batch.column(place), batch.column("__spans")
+            if spans.null_count < batch.num_rows:
+                cut = [t if f is None else without(t.encode("utf-8", "surrogatepass"), [(x["start"], x["end"]) for x in f]).decode("utf-8", "ignore") for t, f in zip(texts.to_pylist(), spans.to_pylist(), strict=True)]
+                texts = pa.array(cut, texts.type)
+            yield pa.RecordBatch.from_arrays([texts if i == place else batch.column(i) for i in range(len(docs_columns))], names=docs_columns)
+
+    docs_columns = docs.columns
+    return joined.mapInArrow(run, docs.schema)

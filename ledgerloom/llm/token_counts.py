@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import slices
+
 from ledgerloom.llm.encoding import encoder, tokenizer_path
 
 #: Lengths whose suffix sums are made together.
@@ -24,7 +26,7 @@ def encoded_lengths(docs: DataFrame, path: str | None = None, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             lengths = [len(encode(t or "")) // 4 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], ["doc_id", "encoded_length"])
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import scalars as S
 from ledgerloom.operators.ordering import number_rows
 from ledgerloom.plans.model import ACCEPTED, BANKING, MAX_SUBSET, MONEY, RULE_FIELDS, SLACK_DAYS, Control, Session
-from ledgerloom.session import materialise
+from ledgerloom.session import materialise, materialise_all
 
 WIDE = "decimal(38,6)"
 
@@ -81,8 +81,8 @@ class Matcher:
         self.primary = session.primary()
         self.controls = session.controls()
         self.sources = session.secondaries()
-        self.p = materialise(_keyed(records[self.primary.id], self.primary.kind), "primaries")
-        self.s = [materialise(_keyed(records[s.id], s.kind), "secondaries") for s in self.sources]
+        sides = [(_keyed(records[s.id], s.kind), "records") for s in (self.primary, *self.sources)]
+        self.p, *self.s = materialise_all(sides)
 
     # ---- candidates -------------------------------------------------------------------------------------------
 
@@ -192,13 +192,14 @@ class Matcher:
 
     # ---- one control over one set of primaries ----------------------------------------------------------------
 
-    def _control(self, c: Control, p: DataFrame, pairs: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Comparisons, links and discrepancies of a control. p are ready primaries, pairs theirs with rows not accepted yet."""
+    def _without_rule(self, c: Control, p: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         meta = [F.lit(c.order).alias("control"), F.lit(c.source.id).alias("source_id"), F.lit(c.source.kind).alias("source_kind")]
-        if c.rule is None:
-            rows = p.select(F.col("id").alias("p_id"), *meta, F.lit("CUSTOM").alias("semantic"), _zero().alias("expected"), _zero().alias("actual"), _zero().alias("variance"), _zero().alias("added"), F.lit("NEEDS_REVIEW").alias("status"), F.lit("UNSUPPORTED_RECONCILIATION_RULE").alias("code"), F.lit(False).alias("compared"), F.lit("unsupported").alias("flag"), F.lit(False).alias("matched"))
-            return rows, self._no_links(), self._codes(rows)
-        tolerance = F.lit(c.tolerance).cast(MONEY)
+        rows = p.select(F.col("id").alias("p_id"), *meta, F.lit("CUSTOM").alias("semantic"), _zero().alias("expected"), _zero().alias("actual"), _zero().alias("variance"), _zero().alias("added"), F.lit("NEEDS_REVIEW").alias("status"), F.lit("UNSUPPORTED_RECONCILIATION_RULE").alias("code"), F.lit(False).alias("compared"), F.lit("unsupported").alias("flag"), F.lit(False).alias("matched"))
+        return rows, self._no_links(), self._codes(rows)
+
+    def _decide(self, c: Control, p: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """Per primary what decides a control; the pairs that count; records that review links. p are ready primaries,
+        pairs theirs with rows not accepted yet."""
         amount, error = rule_amount(c.rule.primary_field)
         base = p.withColumn("amount", amount).withColumn("error", error)
         linked = None
@@ -211,8 +212,12 @@ class Matcher:
         known = self._decisive(c, base, pairs)
         bank = decided.select("p_id", "decision", "reason") if c.is_bank else None
         known = known.join(bank, "p_id", "left") if bank is not None else known.withColumns({"decision": F.lit(None).cast("string"), "reason": F.lit(None).cast("string")})
-        known = materialise(known, "control")
+        return known, pairs, linked
 
+    def _judge(self, c: Control, known: DataFrame, pairs: DataFrame, linked: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Comparisons, links and discrepancies of a control from its decided sets."""
+        meta = [F.lit(c.order).alias("control"), F.lit(c.source.id).alias("source_id"), F.lit(c.source.kind).alias("source_kind")]
+        tolerance = F.lit(c.tolerance).cast(MONEY)
         pick = F.when(F.col("n") == 1, F.col("one")).otherwise(F.col("one_direct"))
         known = known.withColumn("pick", F.when((F.col("n") == 1) | (F.col("n_direct") == 1), pick))
         diff = F.abs(F.col("amount") - F.col("pick.amount"))
@@ -285,8 +290,8 @@ class Matcher:
                 pairs = self._amount_pairs(c, p, self.s[c.source_order])
             else:
                 pairs = self._document_pairs(c, p, self.s[c.source_order]).where(self._compatible(c, c.days + SLACK_DAYS)).withColumn("in_rule", self._compatible(c, c.days))
-            out[c.order] = materialise(pairs, "pairs")
-        return out
+            out[c.order] = pairs
+        return dict(zip(out, materialise_all([(df, "pairs") for df in out.values()]), strict=True))
 
     def _contention(self, pairs: dict[int, DataFrame], p: DataFrame) -> DataFrame:
         """p_id, p_pos, source, s_id: every secondary that a primary might take or be told of."""
@@ -304,13 +309,16 @@ class Matcher:
         pairs = self._contention(every, p)
         shared = pairs.groupBy("source", "s_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("source", "s_id")
         waiting = materialise(pairs.join(shared, ["source", "s_id"], "left_semi"), "contended")
+        contended = waiting.limit(1).count() > 0
         out: list[tuple[DataFrame, ...]] = []
         taken = self._no_links().select("source_id", "s_id")
         left = p
         while True:
-            first = waiting.groupBy("source", "s_id").agg(F.min("p_pos").alias("first"))
-            blocked = materialise(waiting.join(first, ["source", "s_id"]).where("p_pos > first").select(F.col("p_id").alias("id")).distinct(), "blocked")
-            last = blocked.limit(1).count() == 0
+            last = not contended
+            if contended:
+                first = waiting.groupBy("source", "s_id").agg(F.min("p_pos").alias("first"))
+                blocked = materialise(waiting.join(first, ["source", "s_id"]).where("p_pos > first").select(F.col("p_id").alias("id")).distinct(), "blocked")
+                last = blocked.limit(1).count() == 0
             ready = left if last else left.join(blocked, "id", "left_anti")
             made = self._match(ready, every, taken if out else None, whole=last and not out)
             out.append(made)
@@ -326,15 +334,19 @@ class Matcher:
         return made[2].where("in_group").join(ok, "p_id", "left_semi").select("source_id", "s_id").distinct()
 
     def _match(self, ready: DataFrame, every: dict[int, DataFrame], taken: DataFrame | None, whole: bool) -> tuple[DataFrame, ...]:
-        parts = []
+        decided = {}
         for c in self.controls:
             pairs = every.get(c.order)
-            if pairs is not None and not whole:
+            if pairs is None:
+                continue
+            if not whole:
                 pairs = pairs.join(ready.select(F.col("id").alias("p_id")), "p_id", "left_semi")
-            if pairs is not None and taken is not None:
+            if taken is not None:
                 pairs = pairs.join(taken.where(F.col("source_id") == c.source.id).select("s_id"), "s_id", "left_anti")
-            parts.append(self._control(c, ready, pairs))
-        rows, links, details = (materialise(reduce(DataFrame.unionByName, [x[i] for x in parts]), n) for i, n in enumerate(("comparisons", "links", "discrepancies")))
+            decided[c.order] = self._decide(c, ready, pairs)
+        known = dict(zip(decided, materialise_all([(d[0], "control") for d in decided.values()]), strict=True))
+        parts = [self._judge(c, known[c.order], *decided[c.order][1:]) if c.order in known else self._without_rule(c, ready) for c in self.controls]
+        rows, links, details = materialise_all([(reduce(DataFrame.unionByName, [x[i] for x in parts]), n) for i, n in enumerate(("comparisons", "links", "discrepancies"))])
         return self._group(rows), rows, links, details
 
     def _group(self, rows: DataFrame) -> DataFrame:
@@ -458,12 +470,13 @@ class Matcher:
         zero = [_zero().alias(b) for b in BUCKETS]
         gate = gated.select(F.col("id").alias("p_id"), F.lit("NEEDS_REVIEW").alias("status"), *zero, _zero().alias("total_target_amount"), F.lit(None).cast(MONEY).alias("first_expected"))
         rest = materialise(self.p.join(groups_one.select(F.col("p_id").alias("id")).unionByName(gate.select(F.col("p_id").alias("id"))), "id", "left_anti"), "rest")
-        two = self.pass_two(rest, taken)
-        groups_two = materialise(two[0], "groups")
-        taken = materialise(taken.unionByName(self._accepted((groups_two, *two[1:]))).distinct(), "taken")
-        swept = self.sweep_primaries(rest.join(groups_two.select(F.col("p_id").alias("id")), "id", "left_anti"))
-
-        stages = (("grp_match_", (groups_one, *one[1:])), ("grp_fallback_", (groups_two, *two[1:])), ("grp_unmatched_prim_", swept))
+        stages = [("grp_match_", (groups_one, *one[1:]))]
+        if rest.limit(1).count():
+            two = self.pass_two(rest, taken)
+            groups_two = materialise(two[0], "groups")
+            taken = materialise(taken.unionByName(self._accepted((groups_two, *two[1:]))).distinct(), "taken")
+            swept = self.sweep_primaries(rest.join(groups_two.select(F.col("p_id").alias("id")), "id", "left_anti"))
+            stages += [("grp_fallback_", (groups_two, *two[1:])), ("grp_unmatched_prim_", swept)]
         named = lambda df, name: df.withColumn("group_id", F.concat(F.lit(name), F.col("p_id")))
         merged = [reduce(DataFrame.unionByName, [named(x[i], n) for n, x in stages]) for i in range(4)]
         heads = merged[0].unionByName(named(gate, "grp_lifecycle_review_"))
@@ -473,7 +486,7 @@ class Matcher:
         about = self.p.select(F.col("id").alias("p_id"), "doc_no", "series", "date", "partner_name", "pretax_amount", "total_amount")
         none = F.lit(None).cast("string")
         primary = heads.join(about, "p_id").select("group_id", "status", "doc_no", "series", "date", "partner_name", F.col("p_id").alias("primary_id"), none.alias("secondary_id"), none.alias("source_id"), *BUCKETS, total.cast(MONEY).alias("total_source_amount"), "total_target_amount", reduce(lambda a, b: a + b, [F.col(b) for b in BUCKETS]).cast(MONEY).alias("amount_variance"))
-        links = materialise(merged[2], "links")
+        links = merged[2]
         reviewed = self._reviewed(links, merged[0])
         residual = self.sweep_secondaries(taken, reviewed)
         groups = materialise(primary.unionByName(residual), "groups")

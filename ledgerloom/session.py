@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,14 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_all(frames: list[tuple[DataFrame, str]]) -> list[DataFrame]:
+    """materialise() of independent frames as concurrent jobs, so that small ones don't wait for each other."""
+    if len(frames) < 2:
+        return [materialise(*f) for f in frames]
+    with ThreadPoolExecutor(min(4, len(frames))) as pool:
+        return list(pool.map(lambda f: materialise(*f), frames))
+
+
 def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g", name: str = "ledgerloom") -> SparkSession:
     """A local session for tests and benchmarks."""
     spark = (
