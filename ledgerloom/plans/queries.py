@@ -412,7 +412,7 @@ def partner_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return controls.identities(views.spark_sql(spark, sf_dir, _BUYERS), views.spark_sql(spark, sf_dir, _MASTERS))
 
 
-_ANALYSIS = "SELECT p_brand, CAST(p_partkey AS STRING) AS code, CAST(l_extendedprice AS DECIMAL(18,2)) AS revenue, CAST(l_extendedprice * l_tax AS DECIMAL(18,2)) AS vat, CAST(l_extendedprice * 0.7 AS DECIMAL(18,2)) AS cost FROM {lineitem} JOIN {part} ON p_partkey = l_partkey"
+_ANALYSIS = "SELECT p_brand, CAST(p_partkey AS STRING) AS code, CAST(l_extendedprice AS DECIMAL(18,2)) AS revenue, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2)) AS DECIMAL(18,2)) AS vat, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(0.7 AS DECIMAL(4,2)) AS DECIMAL(18,2)) AS cost FROM {lineitem} JOIN {part} ON p_partkey = l_partkey"
 _LEVELS = f"""SELECT 'DETAIL' AS row_level, sum(revenue) AS revenue, sum(vat) AS vat, sum(revenue + vat) AS receivable, sum(cost) AS cost, sum(revenue - cost) AS profit FROM ({_ANALYSIS}) a GROUP BY code
 UNION ALL SELECT 'GROUP' AS row_level, sum(revenue) AS revenue, sum(vat) AS vat, sum(revenue + vat) AS receivable, sum(cost) AS cost, sum(revenue - cost) AS profit FROM ({_ANALYSIS}) b GROUP BY p_brand"""
 
