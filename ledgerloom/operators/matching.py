@@ -83,6 +83,11 @@ class Matcher:
         self.sources = session.secondaries()
         sides = [(_keyed(records[s.id], s.kind), "records") for s in (self.primary, *self.sources)]
         self.p, *self.s = materialise_all(sides)
+        without_series = F.count_if(F.col("doc_key").isNotNull() & (F.col("series_key") == ""))
+        parts = [df.select(F.lit(i).alias("side"), "doc_key", "series_key") for i, df in enumerate((self.p, *self.s))]
+        seen = {r["side"]: r for r in reduce(DataFrame.unionByName, parts).groupBy("side").agg(F.count(F.lit(1)).alias("n"), without_series.alias("bare")).collect()}
+        #: Rows of each side, primary first, and how many of them have a number but no series.
+        self.sizes, self.bare = ([seen[i][k] if i in seen else 0 for i in range(len(parts))] for k in ("n", "bare"))
 
     # ---- candidates -------------------------------------------------------------------------------------------
 
@@ -94,17 +99,34 @@ class Matcher:
         sa, se = rule_amount(c.rule.secondary_field)
         return _side(p.withColumn("amount", pa).withColumn("error", pe), "p"), _side(s.withColumn("amount", sa).withColumn("error", se), "s")
 
-    def _document_pairs(self, c: Control, p: DataFrame, s: DataFrame) -> DataFrame:
-        """By series and number; by number among rows without series where the source has no such series and number; by
-        number alone for primaries without series. Whether the source has a key is asked of all its rows."""
-        p, s = self._amounts(c, p.where("doc_key IS NOT NULL"), s.where("doc_key IS NOT NULL"))
-        keys = self.s[c.source_order].where("doc_key IS NOT NULL").select(F.col("series_key").alias("p_series_key"), F.col("doc_key").alias("p_doc_key")).distinct()
-        named, bare = p.where("p_series_key <> ''"), p.where("p_series_key = ''")
-        doc = F.col("p_doc_key") == F.col("s_doc_key")
-        exact = named.join(s, doc & (F.col("p_series_key") == F.col("s_series_key")))
-        fallback = named.join(keys, ["p_series_key", "p_doc_key"], "left_anti").join(s.where("s_series_key = ''"), doc)
-        columns = exact.columns
-        return exact.unionByName(fallback.select(*columns)).unionByName(bare.join(s, doc).select(*columns))
+    def _document_pairs(self, controls: list[Control], p: DataFrame, s: DataFrame) -> DataFrame:
+        """Candidates of controls that share a source and a window, each with its amounts.
+
+        By series and number; by number among rows without series where the source has no such series and number; by
+        number alone for primaries without series. Whether the source has a key is asked of all its rows. Joins that
+        can't find anything, as no row lacks a series, are left out.
+        """
+        c = controls[0]
+        for k in controls:
+            (pa, pe), (sa, se) = rule_amount(k.rule.primary_field), rule_amount(k.rule.secondary_field)
+            p, s = p.withColumns({f"amount{k.order}": pa, f"error{k.order}": pe}), s.withColumns({f"amount{k.order}": sa, f"error{k.order}": se})
+        p, s = _side(p.where("doc_key IS NOT NULL"), "p"), _side(s.where("doc_key IS NOT NULL"), "s")
+        named, doc = p.where("p_series_key <> ''"), F.col("p_doc_key") == F.col("s_doc_key")
+        found = [named.join(s, doc & (F.col("p_series_key") == F.col("s_series_key")))]
+        if self.bare[1 + c.source_order]:
+            keys = self.s[c.source_order].where("doc_key IS NOT NULL").select(F.col("series_key").alias("p_series_key"), F.col("doc_key").alias("p_doc_key")).distinct()
+            found.append(named.join(keys, ["p_series_key", "p_doc_key"], "left_anti").join(s.where("s_series_key = ''"), doc))
+        if self.bare[0]:
+            found.append(p.where("p_series_key = ''").join(s, doc))
+        near = reduce(DataFrame.unionByName, found).where(self._compatible(c, c.days + SLACK_DAYS)).withColumn("in_rule", self._compatible(c, c.days))
+        amounts = [f"{side}_{what}{k.order}" for side in "ps" for what in ("amount", "error") for k in controls]
+        return near.select("p_id", "p_pos", "s_id", "s_pos", "s_partner_tax_id", "s_date", "in_rule", *amounts)
+
+    @staticmethod
+    def _of_control(pairs: DataFrame, c: Control) -> DataFrame:
+        """_document_pairs with the amounts of one control."""
+        amounts = [F.col(f"{side}_{what}{c.order}").alias(f"{side}_{what}") for side in "ps" for what in ("amount", "error")]
+        return pairs.select("p_id", "p_pos", "s_id", "s_pos", "s_partner_tax_id", "s_date", "in_rule", *amounts)
 
     def _amount_pairs(self, c: Control, p: DataFrame, s: DataFrame) -> DataFrame:
         """By amount within the tolerance and bank date within the window: an equi-join on amount, or on amount buckets."""
@@ -162,7 +184,7 @@ class Matcher:
     def candidate_sets(self, c: Control, p: DataFrame, s: DataFrame) -> DataFrame:
         """Per primary: how many candidates and direct matches it has, and how many sums of subsets hit its amount."""
         amount, error = rule_amount(c.rule.primary_field)
-        pairs = self._document_pairs(c, p, s).where(self._compatible(c, c.days + SLACK_DAYS)).withColumn("in_rule", self._compatible(c, c.days))
+        pairs = self._of_control(self._document_pairs([c], p, s), c)
         return self._decisive(c, p.withColumn("amount", amount).withColumn("error", error), pairs)
 
     def _decisive(self, c: Control, base: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -280,22 +302,23 @@ class Matcher:
 
     # ---- rounds -----------------------------------------------------------------------------------------------
 
-    def _all_pairs(self, p: DataFrame) -> dict[int, DataFrame]:
-        """Every control's candidate pairs, before anything is taken; written once and read by all rounds."""
-        out = {}
+    def _all_pairs(self, p: DataFrame) -> tuple[dict[int, DataFrame], list[tuple[int, DataFrame]]]:
+        """Every control's candidate pairs, before anything is taken; and the frames behind them with their source's order.
+
+        They are written once and read by all rounds; controls that share a source and a window share a frame.
+        """
+        shared: dict[tuple, list[Control]] = {}
         for c in self.controls:
-            if c.rule is None:
-                continue
-            if c.is_bank:
-                pairs = self._amount_pairs(c, p, self.s[c.source_order])
-            else:
-                pairs = self._document_pairs(c, p, self.s[c.source_order]).where(self._compatible(c, c.days + SLACK_DAYS)).withColumn("in_rule", self._compatible(c, c.days))
-            out[c.order] = pairs
-        return dict(zip(out, materialise_all([(df, "pairs") for df in out.values()]), strict=True))
-
-    def _contention(self, pairs: dict[int, DataFrame], p: DataFrame) -> DataFrame:
+            if c.rule is not None:
+                shared.setdefault((c.source_order, c.order) if c.is_bank else (c.source_order, "document", c.days), []).append(c)
+        made = [self._amount_pairs(cs[0], p, self.s[cs[0].source_order]) if cs[0].is_bank else self._document_pairs(cs, p, self.s[cs[0].source_order]) for cs in shared.values()]
+        frames = materialise_all([(df, "pairs") for df in made])
+        every = {c.order: df if c.is_bank else self._of_control(df, c) for df, cs in zip(frames, shared.values(), strict=True) for c in cs}
+        return every, [(cs[0].source_order, df) for df, cs in zip(frames, shared.values(), strict=True)]
+
+    def _contention(self, frames: list[tuple[int, DataFrame]], p: DataFrame) -> DataFrame:
         """p_id, p_pos, source, s_id: every secondary that a primary might take or be told of."""
-        parts = [df.select("p_id", "p_pos", F.lit(self.controls[k].source_order).alias("source"), "s_id") for k, df in pairs.items()]
+        parts = [df.select("p_id", "p_pos", F.lit(source).alias("source"), "s_id") for source, df in frames]
         if not parts:
             return p.limit(0).select(F.col("id").alias("p_id"), F.col("pos").alias("p_pos"), F.lit(0).alias("source"), F.col("id").alias("s_id"))
         return reduce(DataFrame.unionByName, parts).distinct() if len(parts) > 1 else parts[0]
@@ -305,8 +328,8 @@ class Matcher:
         p = self.p.where("doc_key IS NOT NULL")
         if self.primary.kind == "e_invoice":
             p = p.where("lifecycle IS NULL OR lifecycle = 'STANDARD'")
-        every = self._all_pairs(p)
-        pairs = self._contention(every, p)
+        every, frames = self._all_pairs(p)
+        pairs = self._contention(frames, p)
         shared = pairs.groupBy("source", "s_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("source", "s_id")
         waiting = materialise(pairs.join(shared, ["source", "s_id"], "left_semi"), "contended")
         contended = waiting.limit(1).count() > 0
@@ -346,7 +369,9 @@ class Matcher:
             decided[c.order] = self._decide(c, ready, pairs)
         known = dict(zip(decided, materialise_all([(d[0], "control") for d in decided.values()]), strict=True))
         parts = [self._judge(c, known[c.order], *decided[c.order][1:]) if c.order in known else self._without_rule(c, ready) for c in self.controls]
-        rows, links, details = materialise_all([(reduce(DataFrame.unionByName, [x[i] for x in parts]), n) for i, n in enumerate(("comparisons", "links", "discrepancies"))])
+        rows, links, details = (reduce(DataFrame.unionByName, [x[i] for x in parts]) for i in range(3))
+        if not whole:  # a later round would read the pairs through all the joins that narrowed them
+            rows, links, details = materialise_all([(rows, "comparisons"), (links, "links"), (details, "discrepancies")])
         return self._group(rows), rows, links, details
 
     def _group(self, rows: DataFrame) -> DataFrame:
@@ -465,11 +490,11 @@ class Matcher:
     def run(self) -> Frames:
         one = self.pass_one()
         groups_one = materialise(one[0], "groups")
-        taken = materialise(self._accepted((groups_one, *one[1:])), "taken")
         gated = self.p.where("lifecycle IS NOT NULL AND lifecycle <> 'STANDARD'") if self.primary.kind == "e_invoice" else self.p.limit(0)
         zero = [_zero().alias(b) for b in BUCKETS]
         gate = gated.select(F.col("id").alias("p_id"), F.lit("NEEDS_REVIEW").alias("status"), *zero, _zero().alias("total_target_amount"), F.lit(None).cast(MONEY).alias("first_expected"))
-        rest = materialise(self.p.join(groups_one.select(F.col("p_id").alias("id")).unionByName(gate.select(F.col("p_id").alias("id"))), "id", "left_anti"), "rest")
+        rest = self.p.join(groups_one.select(F.col("p_id").alias("id")).unionByName(gate.select(F.col("p_id").alias("id"))), "id", "left_anti")
+        taken, rest = materialise_all([(self._accepted((groups_one, *one[1:])), "taken"), (rest, "rest")])
         stages = [("grp_match_", (groups_one, *one[1:]))]
         if rest.limit(1).count():
             two = self.pass_two(rest, taken)
@@ -492,7 +517,7 @@ class Matcher:
         groups = materialise(primary.unionByName(residual), "groups")
         lifecycle = gated.select(F.concat(F.lit("grp_lifecycle_review_"), "id").alias("group_id"), F.lit(-1).alias("control"), F.lit("INVOICE_LIFECYCLE_NEEDS_REVIEW").alias("field_name"), F.col("lifecycle").alias("source_value"), none.alias("target_value"), F.lit(None).cast(MONEY).alias("amount_diff"))
         details = merged[3].drop("p_id").select(*lifecycle.columns).unionByName(lifecycle)
-        counts = [self.p.count(), sum(s.count() for s in self.s)]
+        counts = [self.sizes[0], sum(self.sizes[1:])]
         return Frames(groups, merged[1].where("compared").drop("p_id", "added", "flag", "matched", "compared"), links.drop("p_id", "review").distinct(), details, summary(groups, *counts))
 
     def _reviewed(self, links: DataFrame, heads: DataFrame) -> DataFrame:
