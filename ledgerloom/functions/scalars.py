@@ -72,12 +72,12 @@ def amount(x: Column) -> Column:
             .when(body.rlike(r"^[^.]*\.([^.]{0,2}|[^.]{4,})$"), body)
             .otherwise(F.translate(body, ",.", ""))
         )
-        return F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), text.try_cast(MONEY))
+        return _let(text, lambda t: F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), t.try_cast(MONEY)))
 
     def signed(bare: Column) -> Column:
         negative = bare.rlike(r"^\(.*\)$|^-|-$")
         body = F.trim(F.regexp_replace(bare, r"^\((.*)\)$|^-(.*)$|^(.*)-$", "$1$2$3"))
-        return _let(body, lambda b: F.when(negative, -F.abs(number(b))).otherwise(number(b)))
+        return _let(_let(body, number), lambda n: F.when(negative, -F.abs(n)).otherwise(n))
 
     t = F.trim(x)
     bare = F.trim(F.regexp_replace(t, f"{CURRENCY}|[ \u00a0]", ""))
@@ -86,20 +86,27 @@ def amount(x: Column) -> Column:
 
 def date_text(x: Column) -> Column:
     """ISO date of a serial number or of day-month-year or year-month-day text; anything else trimmed."""
-    t = F.trim(x)
-    number = t.try_cast("double")
-    serial = F.date_add(F.to_date(F.lit("1899-12-30")), F.floor(number).cast("int"))
-    first = F.substring_index(t, " ", 1)
-    sep = F.when(F.instr(first, "/") > 0, "/").when(F.instr(first, "-") > 0, "-").otherwise(".")
-    parts = F.split(F.translate(first, "/-.", "   "), " ")
-    p = lambda i: F.get(parts, i)
-    clean = (F.size(parts) == 3) & (F.replace(first, sep, F.lit("")).rlike("^[0-9]+$"))
-    ymd = F.concat_ws("-", p(0), F.lpad(p(1), 2, "0"), F.lpad(p(2), 2, "0"))
-    dmy = F.concat_ws("-", p(2), F.lpad(p(1), 2, "0"), F.lpad(p(0), 2, "0"))
-    short = lambda i: F.length(p(i)).between(1, 2)
-    iso = F.when(clean & (F.length(p(0)) == 4) & short(1) & short(2), ymd).when(clean & (F.length(p(2)) == 4) & short(1) & short(0), dmy)
-    parsed = F.try_to_date(iso, "yyyy-MM-dd")
-    return F.when((number > 1000) & (number < 100000), F.date_format(serial, "yyyy-MM-dd")).otherwise(F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), t))
+
+    def parsed(t: Column, first: Column) -> Column:
+        sep = F.when(F.instr(first, "/") > 0, "/").when(F.instr(first, "-") > 0, "-").otherwise(".")
+        digits = F.replace(first, sep, F.lit("")).rlike("^[0-9]+$")
+
+        def iso(parts: Column) -> Column:
+            p = lambda i: F.get(parts, F.lit(i))
+            clean, short = (F.size(parts) == 3) & digits, lambda i: F.length(p(i)).between(1, 2)
+            ymd = F.concat_ws("-", p(0), F.lpad(p(1), 2, "0"), F.lpad(p(2), 2, "0"))
+            dmy = F.concat_ws("-", p(2), F.lpad(p(1), 2, "0"), F.lpad(p(0), 2, "0"))
+            return F.when(clean & (F.length(p(0)) == 4) & short(1) & short(2), ymd).when(clean & (F.length(p(2)) == 4) & short(1) & short(0), dmy)
+
+        text = _let(F.split(F.translate(first, "/-.", "   "), " "), iso)
+        return F.coalesce(F.date_format(F.try_to_date(text, "yyyy-MM-dd"), "yyyy-MM-dd"), t)
+
+    def either(t: Column) -> Column:
+        number = t.try_cast("double")
+        serial = F.date_add(F.to_date(F.lit("1899-12-30")), F.floor(number).cast("int"))
+        return F.when((number > 1000) & (number < 100000), F.date_format(serial, "yyyy-MM-dd")).otherwise(_let(F.substring_index(t, " ", 1), lambda first: parsed(t, first)))
+
+    return _let(F.trim(x), either)
 
 
 def as_date(x: Column) -> Column:
@@ -121,7 +128,10 @@ def same_counterparty(a: Column, b: Column) -> Column:
 
 
 def is_summary_title(x: Column) -> Column:
-    t = token(x)
+    return _is_summary(token(x))
+
+
+def _is_summary(t: Column) -> Column:
     company = F.lit(False)
     for w in COMPANY_WORDS:
         company = company | t.contains(w)
@@ -131,7 +141,7 @@ def is_summary_title(x: Column) -> Column:
 def is_garbage_row(cells: Column) -> Column:
     """Nothing but blanks, or a summary title in any cell."""
     filled = F.filter(F.transform(cells, lambda c: F.trim(c)), lambda c: c != "")
-    return (F.size(filled) == 0) | F.exists(filled, is_summary_title)
+    return _let(filled, lambda f: (F.size(f) == 0) | F.exists(F.transform(f, token), _is_summary))  # each title is reduced once
 
 
 def yes_no(x: Column) -> Column:

@@ -53,11 +53,13 @@ def derived_total(mapped: Column, pretax: Column, vat: Column, discount: Column,
 
 def canonical(rows: DataFrame, source: Source, columns: Sequence[str]) -> DataFrame:
     cells = Cells(columns, source.mapping)
-    money = {c: cells.money(c) for c in MONEY_FIELDS if c != "total_amount"}
-    total, origin = derived_total(cells.money("total_amount"), *[money[c] for c in ("pretax_amount", "vat_amount", "discount_amount", "fee_amount", "credit_amount", "debit_amount")])
+    amounts = F.inline(F.array(F.struct(*[cells.money(c).alias("mapped_total" if c == "total_amount" else c) for c in MONEY_FIELDS])))
+    money = {c: F.col(c) for c in MONEY_FIELDS if c != "total_amount"}
+    total, origin = derived_total(F.col("mapped_total"), *[money[c] for c in ("pretax_amount", "vat_amount", "discount_amount", "fee_amount", "credit_amount", "debit_amount")])
     titles = F.array(*[F.lit(c) for c in columns])
     raw = F.map_filter(F.map_from_entries(F.array_compact(F.transform(titles, lambda t, i: F.when(F.coalesce(F.trim(F.get("cells", i)), F.lit("")) != "", F.struct(t, F.get("cells", i)))))), lambda k, v: v.isNotNull())
-    out = data_rows(rows, source).select(
+    parsed = data_rows(rows, source).select("row_idx", "cells", amounts)  # generated: the money filter below doesn't parse them again
+    out = parsed.select(
         F.concat(F.lit(f"{source.id}_row_"), (F.col("row_idx") + 1).cast("string")).alias("id"),
         F.lit(source.id).alias("source_id"),
         (F.col("row_idx") + 1).cast("int").alias("source_row"),
