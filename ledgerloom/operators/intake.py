@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import scalars as S
 from ledgerloom.operators.ordering import number_rows
 from ledgerloom.plans.model import ReconciliationError
+from ledgerloom.session import materialise
 
 #: Names that enter the digest, by kind.
 _NAMES = {"e_invoice": "EInvoice", "ledger511": "Ledger511", "ledger3331": "Ledger3331", "ledger131": "Ledger131", "ledger133": "Ledger133", "ledger112": "Ledger112", "bank_statement": "BankStatement", "partner_master": "PartnerMaster", "sales_register": "SalesRegister", "sales_analysis_report": "SalesAnalysisReport", "cash_book": "CashBook", "branch_ledger": "BranchLedger", "custom": "Custom"}
@@ -65,6 +66,7 @@ def overlaps(prints: DataFrame) -> DataFrame:
 
 def relations(prints: DataFrame) -> DataFrame:
     """overlaps with relation (CONTENT, SUBSET, PARTIAL) and the ratio in percent of b's records, one decimal."""
+    prints = materialise(prints.select("source_id", "fp"), "prints")  # read four times
     o = overlaps(prints)
     same = dataset_fingerprints(prints)
     fp = lambda s: same.select(F.col("source_id").alias(s), F.col("fingerprint").alias(f"f_{s}"))
