@@ -12,8 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import slices
-
+from ledgerloom.llm.common import materialise, slices
 from ledgerloom.llm.encoding import encoder, tokenizer_path
 
 #: Lengths whose suffix sums are made together.
@@ -43,9 +42,10 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
     docs_at_least, tokens_at_least (documents of L tokens or more), docs_within and share_within (documents of at most L),
     truncated_total (tokens that remain if every document is cut to L), total_docs, total_tokens.
-    Sums run inside blocks of lengths and over the few block totals, so no task sees more than a block of lengths.
+    Sums run inside blocks of lengths and over the few block totals, so no task sees more than a block of lengths. The
+    histogram is written first, as it is read twice: else every text would be encoded twice.
     """
-    h = histogram.withColumn("block", F.floor(F.col("encoded_length") / BLOCK).cast("bigint")).withColumn("tokens", F.col("encoded_length") * F.col("n_docs"))
+    h = materialise(histogram, "histogram").withColumn("block", F.floor(F.col("encoded_length") / BLOCK).cast("bigint")).withColumn("tokens", F.col("encoded_length") * F.col("n_docs"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
