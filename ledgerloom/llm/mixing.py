@@ -3,6 +3,7 @@
 A source whose target share of the mixture is w and which holds s characters is to be read w * budget / s times. Each
 document draws its number of copies from a Poisson distribution with that mean: a uniform number is made from a hash of
 seed and document, and the distribution function is inverted by comparing it with a table of cumulative probabilities.
+A rate above MEAN is taken apart: the sum of independent draws of equal means, none above MEAN, has the same distribution.
 Copies are exploded and dealt to partitions by a second hash, sorted by it inside each: a global shuffle.
 
 The draw of a document depends on nothing but seed, doc_id, text digest and the source's rate, so a lost task repeats it.
@@ -21,16 +22,21 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import join_small, materialise, unit_hash
 
 SEED = 20
-#: A document is read at most as often as a Poisson variable of the highest rate gets, but for a probability below 2^-52.
+#: The cap of source_rates() unless another is given. mix() has none unless it is asked for.
 MAX_RATE = 16.0
+#: The highest mean of one draw, and the end of its table: a draw of that mean goes beyond with a probability below 2^-52.
+MEAN = 16.0
 TAIL = 64
+#: Copies that are numbered in one array.
+COPIES = 1 << 16
 
 
-def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, budget: float | None = None, max_rate: float = MAX_RATE) -> DataFrame:
+def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, budget: float | None = None, max_rate: float | None = MAX_RATE) -> DataFrame:
     """source, n_docs, n_chars, weight, rate. Weights are relative; None gives every source the same.
 
     budget is in characters and is the whole corpus unless given. A rate above max_rate (a tiny source with a large
-    weight) is set to max_rate, so that no document is repeated without limit.
+    weight) is set to max_rate, so that no document is repeated without limit; the source then misses its weight, and the
+    mixture its budget. None sets no limit.
     """
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.length("text").cast("bigint")), F.lit(0)).alias("n_chars"))
     sizes = materialise(sizes, "sources")
@@ -43,7 +49,8 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, bu
     total = sizes.agg(F.sum("weight").alias("w"), F.sum("n_chars").alias("c")).first()
     whole = float(budget if budget is not None else total["c"] or 0)
     share = F.col("weight") / F.lit(float(total["w"] or 1.0))
-    rate = F.when(F.col("n_chars") > 0, F.least(share * F.lit(whole) / F.col("n_chars"), F.lit(float(max_rate)))).otherwise(F.lit(1.0))
+    due = share * F.lit(whole) / F.col("n_chars")
+    rate = F.when(F.col("n_chars") > 0, due if max_rate is None else F.least(due, F.lit(float(max_rate)))).otherwise(F.lit(1.0))
     return sizes.withColumn("rate", rate)
 
 
@@ -55,17 +62,26 @@ def cumulative(rate: Column) -> Column:
 
 
 def poisson_copies(docs: DataFrame, rates: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with rate and copies: the number of cumulative probabilities that the document's uniform number reaches."""
-    table = rates.select(F.coalesce("source", F.lit("\0")).alias("__source"), "rate", cumulative(F.col("rate")).alias("__sums"))
-    drawn = docs.withColumn("__source", F.coalesce("source", F.lit("\0"))).withColumn("__u", unit_hash(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))), seed=seed))
+    """docs with rate and copies: the number of cumulative probabilities that the document's uniform numbers reach.
+
+    The first draw's number is made from seed and document, those of further draws from the draw's number too.
+    """
+    draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN)).cast("bigint")
+    table = rates.select(F.coalesce("source", F.lit("\0")).alias("__source"), "rate", draws.alias("__draws"), cumulative(F.col("rate") / draws).alias("__sums"))
+    document = F.col("doc_id"), F.col("__md5")
+    drawn = docs.withColumn("__source", F.coalesce("source", F.lit("\0"))).withColumn("__md5", F.md5(F.coalesce("text", F.lit("")))).withColumn("__u", unit_hash(*document, seed=seed))
     joined = join_small(drawn, table, ["__source"], F.col("__u"), "inner")
-    return joined.withColumn("copies", F.aggregate("__sums", F.lit(0).cast("bigint"), lambda n, p: n + (F.col("__u") >= p).cast("bigint"))).drop("__source", "__u", "__sums")
+    reached = lambda u: F.aggregate("__sums", F.lit(0).cast("bigint"), lambda n, p: n + (u >= p).cast("bigint"))
+    further = F.aggregate(F.sequence(F.lit(2).cast("bigint"), F.col("__draws")), F.lit(0).cast("bigint"), lambda n, i: n + reached(unit_hash(*document, i, seed=seed)))
+    copies = reached(F.col("__u")) + F.when(F.col("__draws") > 1, further).otherwise(F.lit(0))
+    return joined.withColumn("copies", copies).drop("__source", "__md5", "__u", "__draws", "__sums")
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, budget: float | None = None, seed: int = SEED, partitions: int | None = None, max_rate: float = MAX_RATE) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, budget: float | None = None, seed: int = SEED, partitions: int | None = None, max_rate: float | None = None) -> DataFrame:
     """The mixture: a row per copy, with rate, copies, copy (from 1) and order_key, in global random order."""
     drawn = poisson_copies(docs, source_rates(docs, weights, budget, max_rate), seed).where("copies > 0")
-    copied = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    blocks = drawn.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / COPIES).cast("bigint"))))
+    copied = blocks.withColumn("copy", F.explode(F.sequence(F.col("__block") * COPIES + 1, F.least("copies", (F.col("__block") + 1) * COPIES)))).drop("__block")
     keyed = copied.withColumn("order_key", unit_hash(F.col("doc_id"), F.col("copy"), seed=seed + 1))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(n, F.xxhash64("order_key")).sortWithinPartitions("order_key")

@@ -49,3 +49,21 @@ def test_edges(spark, nothing):
     assert {r.source: r.rate for r in mixing.source_rates(tiny).collect()}["y"] == mixing.MAX_RATE
     blank = spark.createDataFrame([(1, "", "x"), (2, None, "x")], "doc_id bigint, text string, source string")
     assert {r.rate for r in mixing.source_rates(blank).collect()} == {1.0}
+
+
+def test_tiny_sources_reach_their_weight(spark):
+    docs = spark.range(20100).selectExpr("id AS doc_id", "repeat('a', 100) AS text", "if(id < 20000, 'big', 'tiny') AS source")
+    mixed = mixing.mix(docs).groupBy("doc_id", "source", "copies").agg({"copy": "count"}).toDF("doc_id", "source", "copies", "n").collect()
+    tiny = [r.copies for r in mixed if r.source == "tiny"]
+    assert all(r.copies == r.n for r in mixed) and len(tiny) == 100
+    mean = sum(tiny) / 100  # due: 100.5, both mean and variance
+    assert abs(mean - 100.5) < 4 and 50 < sum((x - mean) ** 2 for x in tiny) / 99 < 175
+    assert abs(sum(r.n for r in mixed) / 20100 - 1) < 0.03
+    capped = mixing.mix(docs, max_rate=80).where("source = 'tiny'").count()
+    assert abs(capped - 8000) < 400
+
+
+def test_many_copies_of_one_document(spark):
+    docs = spark.createDataFrame([(1, "a" * 300_000, "x"), (2, "b", "y")], "doc_id bigint, text string, source string")
+    n, last, kinds = mixing.mix(docs).where("doc_id = 2").selectExpr("count(*)", "max(copy)", "count(DISTINCT copy)").first()
+    assert n == last == kinds and abs(n - 150_000) < 2000
