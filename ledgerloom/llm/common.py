@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import materialise
 
-__all__ = ["join_hot", "join_small", "materialise", "parquet", "slices", "unit_hash"]
+__all__ = ["free_name", "join_hot", "join_small", "keep_first", "materialise", "parquet", "renamed", "row_key", "slices", "small", "unit_hash"]
 
 #: A side of a join is broadcast only when it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 100_000
@@ -38,11 +38,55 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
     """
     payload = [c for c in right.columns if c not in (key, weight)]
     many = right.where(F.col(weight) * share > total).select(key, F.struct(*payload).alias("__hot"))
+    if not many.limit(1).count():
+        return left.join(right.select(key, *payload), key, how).select(*left.columns, *payload)
     marked = left.join(F.broadcast(many), key, "left")
     hot = marked.where("__hot IS NOT NULL").select(*left.columns, *[F.col(f"__hot.{c}").alias(c) for c in payload])
     return hot.unionByName(marked.where("__hot IS NULL").drop("__hot").join(right.select(key, *payload), key, how).select(*left.columns, *payload))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores added until no column has it (case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def renamed(columns: list[str]) -> tuple[list[Column], list[Column]]:
+    """Projections that set a table's columns apart as in0, in1, ... (own names then can't clash), and back."""
+    return [F.col(f"`{c}`").alias(f"in{i}") for i, c in enumerate(columns)], [F.col(f"in{i}").alias(c) for i, c in enumerate(columns)]
+
+
+def row_key(id_col: Column, text_col: Column) -> Column:
+    """The same for rows of the same id and text alone."""
+    known = lambda c: F.when(c.isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), c))
+    return F.unhex(F.md5(F.concat(known(id_col.cast("string")), F.lit(":"), known(text_col.cast("string"))).cast("binary")))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df (narrow rows), to be broadcast if it was counted and has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one row of each group: that of least doc_id, then of least key; rows without an id come last.
+
+    rows (materialised) has doc_id, key (see row_key) and root, a group's name, for every row of docs. Rows are told apart
+    by id and text, so that different texts under one id are different rows; of repeated rows one stays.
+    """
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = materialise(first.select("root", F.col("f.key").alias("stays")), "groups")
+    of = materialise(rows.join(small(first), "root").groupBy("key", "stays").count(), "members")
+    gone, again = of.where("key <> stays").select("key"), of.where("key = stays AND count > 1").select("key")
+    apart, back = renamed(docs.columns)
+    rest = docs.select(*apart, row_key(F.col(id_col), F.col(text_col)).alias("key")).join(small(gone), "key", "left_anti")
+    if again.limit(1).count():
+        marked = rest.join(small(again.withColumn("again", F.lit(True))), "key", "left")
+        rest = marked.where("again IS NULL").unionByName(marked.where("again").dropDuplicates(["key"]))
+    return rest.select(*back)
+
+
 def unit_hash(*cols: Column, seed: int = 0) -> Column:
     """A uniform number in [0, 1) with 52 bits, the same in any engine with MD5: the first 13 hex digits over 16^13."""
     text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("~")) for c in cols])

@@ -11,9 +11,13 @@ from ledgerloom.llm import fingerprint, langid, licenses, media, mixing, packing
 from ledgerloom.llm.common import parquet
 
 
+#: Sources are weighted by the square root of their size, between equal shares and shares as they are.
+TEMPERATURE = 0.5
+
+
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(parquet(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", "n_chars", "copies", "copy", F.round("order_key", 9).alias("order_key"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+    out = mixing.mix(parquet(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "text"), temperature=TEMPERATURE)
+    return out.select("doc_id", "source", "n_chars", "mixed.copies", "mixed.copy", F.round("mixed.order_key", 9).alias("order_key"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +50,14 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix.repeated_spans(parquet(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.lower(F.hex("kept_sha")).alias("kept_sha256"))
+    """Removals of 400 bytes and more; text is without all repeated passages of over 50 words, which may be shorter."""
+    out = suffix.without_repeats(parquet(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    spans = F.coalesce("__found.spans", F.array().cast(suffix.SPANS))
+    removed = F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    n_bytes = F.coalesce("__found.n_bytes", F.octet_length(raw).cast("bigint"))
+    kept = F.coalesce(F.lower(F.hex("__found.kept_sha")), F.sha2(raw, 256))
+    return out.select("doc_id", n_bytes.alias("n_bytes"), removed.alias("n_removed"), F.size(spans).cast("bigint").alias("n_spans"), kept.alias("kept_sha256"), "text")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,22 +78,25 @@ _UNIT = "CAST(('0x' || substr(md5({seed} || ':' || {text}), 1, 13)) AS BIGINT) /
 
 _OP1 = f"""
 WITH sizes AS (
-  SELECT source, count(*) AS n_docs, CAST(coalesce(sum(length(text)), 0) AS DOUBLE) AS chars FROM documents GROUP BY source
+  SELECT source, CAST(coalesce(sum(length(text)), 0) AS DOUBLE) AS chars FROM documents GROUP BY source
 ), rates AS (
-  SELECT source, CASE WHEN chars > 0 THEN least(1.0 / (SELECT count(*) FROM sizes) * (SELECT sum(chars) FROM sizes) / chars, {mixing.MAX_RATE}) ELSE 1.0 END AS rate FROM sizes
+  SELECT source, CASE WHEN chars > 0 THEN pow(chars, {TEMPERATURE}) / (SELECT sum(pow(chars, {TEMPERATURE})) FROM sizes) * (SELECT sum(chars) FROM sizes) / chars ELSE 1.0 END AS rate FROM sizes
+), draws AS (
+  SELECT source, CAST(greatest(1, ceil(rate / {mixing.MEAN})) AS BIGINT) AS draws, rate / greatest(1, ceil(rate / {mixing.MEAN})) AS mean FROM rates
 ), terms AS (
-  SELECT source, k, exp(-rate + k * ln(rate) - list_sum([ln(i) FOR i IN range(1, k + 1)])) AS p FROM rates, range({mixing.TAIL}) t(k) WHERE k > 0
-  UNION ALL SELECT source, 0, exp(-rate) FROM rates
+  SELECT source, k, exp(-mean + k * ln(mean) - list_sum([ln(i) FOR i IN range(1, k + 1)])) AS p FROM draws, range({mixing.TAIL}) t(k) WHERE k > 0
+  UNION ALL SELECT source, 0, exp(-mean) FROM draws
 ), sums AS (
   SELECT source, list(c ORDER BY k) AS cdf FROM (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms) GROUP BY source
 ), drawn AS (
-  SELECT d.doc_id, d.source, d.n_chars, md5(coalesce(text, '')) AS text_md5, len(list_filter(cdf, lambda x: u >= x)) AS copies
-  FROM (SELECT *, {_UNIT.format(seed=f"'{mixing.SEED}'", text="coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || md5(coalesce(text, ''))")} AS u FROM documents) d
-  JOIN sums s ON d.source IS NOT DISTINCT FROM s.source
+  SELECT d.doc_id, d.source, d.n_chars, text_md5,
+    len(list_filter(cdf, lambda x: u >= x)) + coalesce(list_sum([len(list_filter(cdf, lambda x: {_UNIT.format(seed=f"'{mixing.SEED}'", text="who || ':' || i")} >= x)) FOR i IN range(2, draws + 1)]), 0) AS copies
+  FROM (SELECT *, {_UNIT.format(seed=f"'{mixing.SEED}'", text="who")} AS u FROM (SELECT *, md5(coalesce(text, '')) AS text_md5, coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || md5(coalesce(text, '')) AS who FROM documents)) d
+  JOIN sums s ON d.source IS NOT DISTINCT FROM s.source JOIN draws r ON d.source IS NOT DISTINCT FROM r.source
 )
-SELECT doc_id, source, n_chars, copies, CAST(c AS BIGINT) AS copy, text_md5,
-  round({_UNIT.format(seed=f"'{mixing.SEED + 1}'", text="coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || c")}, 9) AS order_key
-FROM drawn, LATERAL (SELECT unnest(range(1, copies + 1)) AS c)
+SELECT doc_id, source, n_chars, CAST(copies AS BIGINT) AS copies, CAST(c AS BIGINT) AS copy, text_md5,
+  round({_UNIT.format(seed=f"'{mixing.SEED + 1}'", text="coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || text_md5 || ':' || c")}, 9) AS order_key
+FROM drawn, LATERAL (SELECT unnest(range(1, CAST(copies AS BIGINT) + 1)) AS c)
 """
 
 _TEMPLATES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(licenses.TEMPLATES.items()))

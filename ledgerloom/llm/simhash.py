@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import BROADCAST_ROWS, join_hot, materialise, slices
+from ledgerloom.llm.common import join_hot, keep_first, materialise, row_key, slices
 
 DISTANCE = 3
 SHINGLE = 3
@@ -43,24 +43,29 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.fromiter((digest(join(s), SEED) for s in zip(*(words[i:] for i in range(shingle)), strict=False)), "<u8", len(words) - shingle + 1)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, block: int = 1 << 16) -> int:
-    """A bit is 1 if it is set in over half the shingle hashes, repeats included."""
-    h = shingle_hashes(text, shingle)
+def fingerprint_of(h: np.ndarray, block: int = 1 << 16) -> int:
+    """A bit is 1 if it is set in over half the hashes."""
     ones = np.zeros(64, "i8")
     for at in range(0, len(h), block):
         ones += np.unpackbits(h[at : at + block].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, block: int = 1 << 16) -> int:
+    """Of the shingle hashes, repeats included."""
+    return fingerprint_of(shingle_hashes(text, shingle), block)
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) of every row; keyed: and the row's key (see row_key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], "u8").view("i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(0).to_pylist()], "u8").view("i8")
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps)], [*batch.schema.names[1:], "fp"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    key = [row_key(F.col(id_col), F.col(text_col)).alias("key")] if keyed else []
+    return docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("bigint").alias("doc_id"), *key).mapInArrow(run, f"doc_id bigint, {'key binary, ' if keyed else ''}fp bigint")
 
 
 def _segment(fp: Column, s: int) -> Column:
@@ -121,6 +126,16 @@ def _dense(nodes: DataFrame, table: DataFrame, hot: DataFrame, distance: int) ->
     return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
+def _hub_sizes(edges: DataFrame, least: int = 1_000_000) -> tuple[int, DataFrame] | None:
+    """How many edges there are and each node's degree, where a node has over 1/1000 of very many edges."""
+    total = edges.count()
+    if total < least:
+        return None
+    degrees = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    degrees = materialise(degrees, "degrees")
+    return (total, degrees) if degrees.where(F.col("n") * 1000 > total).limit(1).count() else None
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node that has a link. Each round every node moves to the neighbour of least random rank.
 
@@ -134,7 +149,13 @@ def components(edges: DataFrame) -> DataFrame:
         best = both.groupBy("src").agg(F.min(rank(F.col("dst"))).alias("best"))
         step = materialise(best.select(F.col("src").alias("node"), F.least("best", rank(F.col("src")))["to"].alias("root")), "contraction")
         maps.append(step)
-        moved = edges.join(step.select(F.col("node").alias("src"), F.col("root").alias("a")), "src").join(step.select(F.col("node").alias("dst"), F.col("root").alias("b")), "dst")
+        if round_sizes := _hub_sizes(edges):  # a hub's edges meet its new root by a broadcast
+            total, degrees = round_sizes
+            weighed = materialise(step.join(degrees, "node").select("node", "root", "n"), "weighed")
+            end = lambda name, to: weighed.select(F.col("node").alias(name), F.col("root").alias(to), "n")  # noqa: E731,B023
+            moved = join_hot(materialise(join_hot(edges, end("src", "a"), "src", "n", total, "inner"), "half"), end("dst", "b"), "dst", "n", total, "inner")
+        else:
+            moved = edges.join(step.select(F.col("node").alias("src"), F.col("root").alias("a")), "src").join(step.select(F.col("node").alias("dst"), F.col("root").alias("b")), "dst")
         edges = materialise(moved.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "links")
     if not maps:
         return edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))
@@ -145,14 +166,16 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, dense: int = DENSE_BUCKET) -> DataFrame:
-    """doc_id, fp (long), component_id (the least doc_id that links reach)."""
-    prints = materialise(fingerprints(docs, shingle), "fingerprints")
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, dense: int = DENSE_BUCKET, keyed: bool = False) -> DataFrame:
+    """doc_id, fp (long), component_id (the least doc_id that links reach), root (a fingerprint, the component's name);
+    keyed: and the row's key."""
+    prints = materialise(fingerprints(docs, shingle, keyed=keyed), "fingerprints")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
     roots = components(links(nodes.select("fp"), distance, dense)).select(F.col("node").alias("fp"), "root")
     joined = materialise(nodes.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "roots")
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = materialise(joined.join(least, "root").select("fp", "n", "component_id"), "groups")
+    least = joined.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    members = joined.agg(F.count(F.lit(1))).first()[0]
+    groups = materialise(join_hot(joined, materialise(least, "least"), "root", "members", members, "inner").select("fp", "n", "component_id", "root"), "groups")
     return join_hot(prints, groups, "fp", "n", prints.count(), "inner")
 
 
@@ -161,15 +184,5 @@ def fingerprint_hex(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """docs, all columns, without those rows that have an earlier near-duplicate; of rows with one doc_id one stays.
-
-    Rows without doc_id stay, as they can't be told apart.
-    """
-    groups = near_duplicates(docs, distance, shingle)
-    gone = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    rest = docs.join(F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
-    again = materialise(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    if not again.limit(1).count():
-        return rest
-    marked = rest.join(again.withColumn("__again", F.lit(True)), "doc_id", "left")
-    return marked.where("__again IS NULL").drop("__again").unionByName(marked.where("__again").drop("__again").dropDuplicates(["doc_id"]))
+    """docs, all columns, with one row of each component: that of least doc_id (see keep_first)."""
+    return keep_first(docs, materialise(near_duplicates(docs, distance, shingle, keyed=True).select("doc_id", "key", "root"), "near-copies"))

@@ -16,11 +16,14 @@ TRICKY = [
     (10, " ".join(f"w{i % 997}" for i in range(8000))),
 ]
 
+#: Names that the operators use themselves.
+CLASHING = "hash copy copies rate order_key mixed drawn row key root node n fp hashes sha no spans passages found name dir path statements best license how inherited text_lang range next head edited fingerprint score x y piece start length offset".split()
+
 
 @pytest.fixture(scope="session")
 def tricky(spark):
-    rows = [(i, t, "en" if n % 2 else None, None if n == 3 else f"s{n % 3}", None, n, "x") for n, (i, t) in enumerate(TRICKY)]
-    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, hash int, copy string")
+    rows = [(i, t, "en" if n % 2 else None, None if n == 3 else f"s{n % 3}", None, *[f"{c}{n}" for c in CLASHING]) for n, (i, t) in enumerate(TRICKY)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in CLASHING))
 
 
 @pytest.fixture(scope="session")

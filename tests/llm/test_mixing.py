@@ -46,14 +46,16 @@ def test_order_is_global(spark):
 def test_edges(spark, nothing):
     assert mixing.mix(nothing).count() == 0
     tiny = spark.createDataFrame([(1, "a" * 10_000, "x"), (2, "b", "y")], "doc_id bigint, text string, source string")
-    assert {r.source: r.rate for r in mixing.source_rates(tiny).collect()}["y"] == mixing.MAX_RATE
+    assert {r.source: r.rate for r in mixing.source_rates(tiny).collect()}["y"] == 10_001 / 2
+    assert {r.source: r.rate for r in mixing.source_rates(tiny, max_rate=16).collect()}["y"] == 16
+    assert {r.source: round(r.rate, 9) for r in mixing.source_rates(tiny, temperature=1.0).collect()} == {"x": 1.0, "y": 1.0}
     blank = spark.createDataFrame([(1, "", "x"), (2, None, "x")], "doc_id bigint, text string, source string")
     assert {r.rate for r in mixing.source_rates(blank).collect()} == {1.0}
 
 
 def test_tiny_sources_reach_their_weight(spark):
     docs = spark.range(20100).selectExpr("id AS doc_id", "repeat('a', 100) AS text", "if(id < 20000, 'big', 'tiny') AS source")
-    mixed = mixing.mix(docs).groupBy("doc_id", "source", "copies").agg({"copy": "count"}).toDF("doc_id", "source", "copies", "n").collect()
+    mixed = mixing.mix(docs).groupBy("doc_id", "source", "mixed.copies").agg({"mixed.copy": "count"}).toDF("doc_id", "source", "copies", "n").collect()
     tiny = [r.copies for r in mixed if r.source == "tiny"]
     assert all(r.copies == r.n for r in mixed) and len(tiny) == 100
     mean = sum(tiny) / 100  # due: 100.5, both mean and variance
@@ -65,5 +67,14 @@ def test_tiny_sources_reach_their_weight(spark):
 
 def test_many_copies_of_one_document(spark):
     docs = spark.createDataFrame([(1, "a" * 300_000, "x"), (2, "b", "y")], "doc_id bigint, text string, source string")
-    n, last, kinds = mixing.mix(docs).where("doc_id = 2").selectExpr("count(*)", "max(copy)", "count(DISTINCT copy)").first()
+    n, last, kinds = mixing.mix(docs).where("doc_id = 2").selectExpr("count(*)", "max(mixed.copy)", "count(DISTINCT mixed.copy)").first()
     assert n == last == kinds and abs(n - 150_000) < 2000
+
+
+def test_clashing_names_and_rows_without_id(spark):
+    docs = spark.createDataFrame([(None, f"t{i}", "s", 1.5, 7, 8, "o", 9) for i in range(4000)], "doc_id bigint, text string, source string, rate double, copies int, copy int, order_key string, mixed int")
+    out = mixing.mix(docs, partitions=8)
+    assert out.columns == [*docs.columns, "mixed_"]
+    rows = out.selectExpr("rate", "copies", "copy", "order_key", "mixed", "spark_partition_id() AS p").collect()
+    assert {tuple(r)[:5] for r in rows} == {(1.5, 7, 8, "o", 9)}
+    assert max(Counter(r.p for r in rows).values()) < len(rows) / 4

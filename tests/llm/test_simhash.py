@@ -98,6 +98,19 @@ def test_keep_one(tricky):
     assert kept.where(F.col("doc_id").isNull()).count() == 1
 
 
+def test_rows_that_share_an_id(spark):
+    a, b = (" ".join(f"{p}{i}" for i in range(40)) for p in "ab")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (None, b), (None, "alone"), (None, "alone")], "doc_id bigint, text string")
+    assert sorted(simhash.keep_one(docs).collect(), key=str) == sorted([(1, a), (2, b), (None, "alone")], key=str)
+
+
+def test_hubs(spark, monkeypatch):
+    monkeypatch.setattr(simhash._hub_sizes, "__defaults__", (1,))
+    edges = spark.range(1, 3000).selectExpr("0L AS src", "id AS dst").unionAll(spark.range(5000, 5003).selectExpr("id AS src", "id + 1 AS dst"))
+    roots = simhash.components(edges)
+    assert roots.count() == 3004 and roots.select("root").distinct().count() == 2
+
+
 def test_fingerprint_of_long_text():
     text = " ".join(f"w{i}" for i in range(3000))
     assert simhash.fingerprint(text, block=100) == brute_fingerprint(text) == simhash.fingerprint(text)

@@ -49,16 +49,43 @@ def test_against_brute_force(spark, seed, crowded, block):
 
 def test_query_against_brute_force(spark, small):
     docs = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
-    want = {}
-    for (i, raw), spans in zip(docs, brute_spans([t for _, t in docs], 400), strict=True):
-        want[i] = (len(raw), sum(e - s for s, e in spans), len(spans), hashlib.sha256(suffix.without(raw, spans)).hexdigest())
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op8_suffix_dedup(spark, small).collect()}
+    raw, want = [t for _, t in docs], {}
+    for (i, t), spans, short in zip(docs, brute_spans(raw, 400), brute_spans(raw, suffix.PASSAGE_BYTES), strict=True):
+        left = suffix.without(t, [s for s in short if suffix.is_passage(t, s)]).decode("utf-8", "ignore")
+        want[i] = (len(t), sum(e - s for s, e in spans), len(spans), hashlib.sha256(suffix.without(t, spans)).hexdigest(), left)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.text or "") for r in op8_suffix_dedup(spark, small).collect()}
     assert got == want
 
 
+@pytest.mark.parametrize(("seed", "crowded"), [(4, 20_000), (5, 2)])
+def test_shorter_passages_against_brute_force(spark, seed, crowded, monkeypatch):
+    monkeypatch.setattr(suffix, "PASSAGE_WORDS", 3)
+    docs = texts(seed)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in suffix.repeated_spans(df, 40, 20, crowded=crowded).collect()}
+    cut = {r.doc_id: r.text for r in suffix.remove_repeats(df, 40, 20, crowded=crowded).collect()}
+    raw = [(t or "").encode() for t in docs]
+    for i, (long, short) in enumerate(zip(brute_spans(raw, 40), brute_spans(raw, 20), strict=True)):
+        assert [(s.start, s.end) for s in rows[i].spans] == long, i
+        want = [(s, e) for s, e in short if e - s >= 40 or len(raw[i][s:e].split()) > 3]
+        assert [(s.start, s.end) for s in rows[i].passages] == want, i
+        assert (cut[i] or "").encode() == suffix.without(raw[i], want).decode("utf-8", "ignore").encode()
+
+
+def test_many_places_of_one_passage_in_one_text(spark):
+    """The places of an anchor are counted, not the documents that hold it: these are never gathered in one block."""
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(40))
+    text = "".join(passage + "".join(rng.choice("ijklmnop") for _ in range(25)) for _ in range(3000))
+    df = spark.createDataFrame([(1, text), (2, "plain words only")], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in suffix.repeated_spans(df, 30, crowded=100).collect()}
+    assert [(s.start, s.end) for s in rows[1].spans] == brute_spans([text.encode()], 30)[0]
+    assert len(rows[1].spans) == 3000 and rows[2].spans == []
+
+
 def test_columns_one_symbol_a_round():
     pieces = [b"abcabcabc", b"zbcabcabz", b"abcabcabd", b"qqqqqqqqq"]
-    hits = suffix.repeated_windows(np.array([list(p) for p in pieces], "u1").T.copy(), 5, 5)
+    hits = suffix.repeated_windows(np.array([list(p) for p in pieces], "u1").T.copy(), (5,), 5)[0]
     want = [[any(p[d : d + 5] == q[d : d + 5] for j, q in enumerate(pieces) if j != i) for d in range(5)] for i, p in enumerate(pieces)]
     assert hits.tolist() == want
 
