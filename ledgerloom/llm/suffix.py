@@ -42,7 +42,7 @@ LENGTH = 400
 STEP = 1 << 22
 #: Pieces of one block of columns, and places of an anchor beyond which its windows are counted by hash instead.
 BLOCK_PIECES = 20_000
-CROWDED = 2_000
+CROWDED = 20_000
 #: A passage has over this many words; 51 words of two letters on average and the blanks between them have 152 bytes.
 PASSAGE_WORDS = 50
 PASSAGE_BYTES = 152
