@@ -7,12 +7,16 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, str] = {}
+#: Steps that materialise() has written and nothing has removed yet, and those of each open settle().
+_written: list[str] = []
+_recorders: list[list[str]] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -30,9 +34,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only in local mode where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: on a cluster it must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="ledgerloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -42,10 +48,37 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     """Write df once to the shared folder and read it back: lineage is cut and lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    for steps in (_written, *_recorders):
+        steps.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(build: Callable[[], DataFrame], label: str = "step") -> DataFrame:
+    """materialise() what build() returns, then remove the steps that were written on the way: nothing reads them any more."""
+    steps: list[str] = []
+    _recorders.append(steps)
+    try:
+        df = build()
+    finally:
+        _recorders.remove(steps)
+    out = materialise(df, label)
+    remove_steps(df.sparkSession, steps)
+    return out
+
+
+def remove_steps(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete written steps; without paths all of this process, once their results were written elsewhere or read."""
+    jvm = spark.sparkContext._jvm
+    for path in list(_written if paths is None else paths):
+        if path in _written:
+            _written.remove(path)
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if not _recorders:
+        jvm.System.gc()  # Spark's cleaner drops the shuffle files of plans that the driver no longer holds
+
+
 def materialise_all(frames: list[tuple[DataFrame, str]]) -> list[DataFrame]:
     """materialise() of independent frames as concurrent jobs, so that small ones don't wait for each other."""
     if len(frames) < 2:
