@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.session import materialise
+from ledgerloom.session import materialise, settle
 
-__all__ = ["free_name", "join_hot", "join_small", "keep_first", "materialise", "parquet", "renamed", "row_key", "slices", "small", "unit_hash"]
+__all__ = ["free_name", "join_hot", "join_small", "keep_first", "materialise", "parquet", "renamed", "row_key", "settle", "slices", "small", "unit_hash"]
 
 #: A side of a join is broadcast only when it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 100_000

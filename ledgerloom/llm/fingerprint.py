@@ -12,10 +12,13 @@ plain long arrays. Everything stays within a row: nothing is exploded or shuffle
 
 Null or empty text (no words): the fingerprint EMPTY; two such are alike, and unlike any other. Fewer words than k: the
 whole sequence is the one k-mer. A single element: chosen twice. Repeated rows: equal fingerprints. Empty table: no rows.
+Null doc_ids come last and are dealt by their texts' hashes. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,11 +125,21 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _ranges(docs: DataFrame, spark: SparkSession) -> Column:
-    """The number of a row's range of doc_id. The cuts are a few hundred quantiles, whatever the table's size."""
+    """The number of a row's range of doc_id, by a two-step search in quantiles; rows without one: ranges below 0 by hash."""
     n = max(2, RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("q")).first()["q"] or []
-    below = F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col("doc_id")) if cuts else F.array()
-    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(below))
+    cuts = sorted(set(cuts))
+    side = max(1, math.isqrt(len(cuts)))
+    parts = [cuts[i : i + side] for i in range(0, len(cuts), side)]
+    under = lambda values: F.size(F.filter(values, lambda c: c < F.col("doc_id")))
+    longs = lambda values: F.array(*[F.lit(c).cast("bigint") for c in values])
+    if not cuts:
+        known = F.lit(0)
+    else:
+        part = F.greatest(under(longs([p[0] for p in parts])) - 1, F.lit(0))  # the last part that starts below
+        known = part * side + under(F.get(F.array(*[longs(p) for p in parts]), part))
+    hashed = F.lit(-1) - (F.shiftright(F.xxhash64("text"), 52) + 2048).cast("int")
+    return F.when(F.col("doc_id").isNull(), hashed).otherwise(known.cast("int"))
 
 
 def edit(text: Column, following: Column) -> Column:

@@ -11,7 +11,8 @@ is a sum of logarithms in DataFrame expressions.
 
 Null or empty page: no text evidence, the others decide. Null or odd address: host, domain and suffix are empty strings.
 No declared language: the value "". Null page_id: kept. Repeated rows: the same verdict; each counts. Empty pages: no
-rows. No labelled documents: an error, as no language is known. Other columns are ignored.
+rows. No labelled documents: no language is known, so lang and confidence are null and there are no posteriors. Of more
+than MAX_LANGS languages those with the most trigrams are told apart. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from ledgerloom.llm.common import join_small, materialise, slices
 
 #: Hash bins of the trigram model, and pseudo-counts.
 BINS = 1 << 15
+#: Languages of the model (a bound of its size: languages x BINS numbers go to the driver and to every task).
+MAX_LANGS = 256
 SMOOTH = 0.5
 EVIDENCE_SMOOTH = 1.0
 DOMAIN_STRENGTH = 10.0
@@ -63,10 +66,12 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities by bin: languages x BINS numbers, whatever the corpus holds."""
-    table = trigram_counts(docs).toPandas()
+    counted = materialise(trigram_counts(docs), "trigrams")
+    most = counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    table = counted.join(F.broadcast(most.select("lang")), "lang", "left_semi").toPandas()
     langs = sorted(table["lang"].unique())
     if not langs:
-        raise ValueError("no labelled documents")
+        return [], np.zeros((0, BINS))
     counts = np.full((len(langs), BINS), SMOOTH)
     counts[[langs.index(x) for x in table["lang"]], table["bin"].to_numpy()] += table["n"].to_numpy()
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True))
@@ -135,12 +140,16 @@ def host_priors(df: DataFrame, langs: list[str]) -> DataFrame:
     domains = hosts.groupBy("domain").agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in range(n)], F.sum("n").alias("d"))
     shares = [(F.col(f"d{i}") + F.lit(DOMAIN_STRENGTH * overall[i])) / (F.col("d") + DOMAIN_STRENGTH) for i in range(n)]
     priors = [F.log((F.col(f"n{i}") + HOST_STRENGTH * s) / (F.col("n") + HOST_STRENGTH)) for i, s in enumerate(shares)]
-    return hosts.join(domains, "domain").select("host", F.array(*priors).alias("prior"))
+    return join_small(hosts, materialise(domains, "domains"), ["domain"], F.col("host"), "inner").select("host", F.array(*priors).alias("prior"))
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, host, suffix, declared, text_lang, lang, confidence (the posterior of lang), posteriors."""
     langs, logs = train(docs)
+    if not langs:
+        host, _, suffix = address_parts(F.col("url"))
+        none = F.lit(None).cast("string")
+        return pages.select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), suffix.alias("suffix"), declared_language(F.col("html")).alias("declared"), none.alias("text_lang"), none.alias("lang"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("map<string,double>").alias("posteriors"))
     seen = materialise(text_likelihoods(pages, langs, logs), "pages")
     out = join_small(seen, materialise(host_priors(seen, langs), "priors"), ["host"], F.col("page_id"), "inner")
     for key, name in (("declared", "markup"), ("suffix", "address")):

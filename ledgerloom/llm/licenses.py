@@ -11,7 +11,7 @@ holds a licence file: distinct directories are joined, through their ancestors,
 
 Null or empty text: no statement. Null path: no inheritance. Ties: the highest score, then the least licence name, then
 the first line; of several licence files in a directory the best scored, then the least name. Repeated rows: alike. Empty
-table: no rows. Extra columns are carried along.
+table: no rows. Extra columns are carried along, except those named like the results.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import join_small, materialise
+from ledgerloom.llm.common import join_small, materialise, renamed
 
 #: Short statements by SPDX identifier.
-TEMPLATES: dict[str, str] = {
+SHORT: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
@@ -39,6 +39,18 @@ TEMPLATES: dict[str, str] = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Headers of several lines and full texts by SPDX identifier, as their licences give them.
+LONG: dict[str, str] = {
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "BSD-3-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+}
+#: Template name to text; a licence's long form has its name and LONG_MARK.
+LONG_MARK = " (text)"
+TEMPLATES: dict[str, str] = SHORT | {f"{k}{LONG_MARK}": v for k, v in LONG.items()}
 MARKS = r"(?i)licen[cs]|copyright|redistribut|public domain|unencumbered"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 THRESHOLD = 0.6
@@ -50,10 +62,14 @@ def terms(text: Column) -> Column:
 
 
 def statements(files: DataFrame, marks: str = MARKS) -> DataFrame:
-    """files without text, with name, dir, is_license_file and statements: array of (line, terms), line -1 the whole text."""
+    """files without text, with name, dir, is_license_file and statements: array of (line, terms): each line that speaks of
+    licensing, each run of lines without a blank one that does (lines -2, -3, ...), and of a licence file the whole text (-1)."""
     text = F.coalesce("text", F.lit(""))
     lines = F.transform(F.split(text, r"\r?\n"), lambda x, i: F.struct(i.alias("line"), x.alias("x")))
     found = F.transform(F.filter(lines, lambda s: s["x"].rlike(marks)), lambda s: F.struct(s["line"].alias("line"), terms(s["x"]).alias("terms")))
+    parts = F.transform(F.split(text, r"\r?\n[ \t]*\r?\n"), lambda x, i: F.struct((-2 - i).alias("line"), x.alias("x")))  # headers of several lines
+    headers = F.transform(F.filter(parts, lambda s: s["x"].contains("\n") & s["x"].rlike(marks)), lambda s: F.struct(s["line"].alias("line"), terms(s["x"]).alias("terms")))
+    found = F.concat(found, headers)
     none = F.array().cast("array<struct<line:int,terms:array<string>>>")
     name = F.element_at(F.split("path", "/"), -1)
     whole = F.array(F.struct(F.lit(-1).alias("line"), terms(text).alias("terms")))
@@ -75,6 +91,11 @@ def term_weights(scanned: DataFrame, templates: Mapping[str, str]) -> tuple[dict
     return {t: idf(seen.get(t, 0)) for t in vocabulary}, idf(0)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def best_template(statement_terms: Column, templates: Mapping[str, str], weights: dict[str, float], other: float) -> Column:
     """struct(score, license): the template of highest cosine."""
     idf = F.create_map(*[F.lit(x) for t, w in sorted(weights.items()) for x in (t, w)])
@@ -83,8 +104,20 @@ def best_template(statement_terms: Column, templates: Mapping[str, str], weights
         v = {t: c * weights[t] for t, c in Counter(re.findall(TERM, text.lower())).items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         vectors.append((name, F.create_map(*[F.lit(x) for t, w in sorted(v.items()) for x in (t, w / norm)])))
-    weighed = F.transform(F.array_distinct(statement_terms), lambda t: F.struct(t.alias("t"), (F.size(F.filter(statement_terms, lambda x: x == t)) * F.coalesce(F.try_element_at(idf, t), F.lit(other))).alias("w")))
-    with_norm = F.struct(weighed.alias("v"), F.sqrt(F.aggregate(weighed, F.lit(0.0), lambda a, e: a + e["w"] * e["w"])).alias("norm"))
+    def vector(sorted_terms: Column) -> Column:
+        """The weighed terms of the vocabulary and the norm over all terms, from runs of equal terms."""
+        n = F.size(sorted_terms)
+        starts = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(sorted_terms, i) != F.get(sorted_terms, i - 1)))).otherwise(F.array().cast("array<int>"))
+
+        def weighed(first: Column) -> Column:
+            term = lambda i: F.get(sorted_terms, i)
+            return F.transform(first, lambda i, r: F.struct(term(i).alias("t"), ((F.coalesce(F.get(first, r + 1), n) - i) * F.coalesce(F.try_element_at(idf, term(i)), F.lit(other))).alias("w")))
+
+        known = lambda v: F.filter(v, lambda e: F.try_element_at(idf, e["t"]).isNotNull())
+        norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
+        return _let(_let(starts, weighed), lambda v: F.struct(known(v).alias("v"), norm(v).alias("norm")))
+
+    with_norm = _let(F.sort_array(statement_terms), vector)
 
     def cosine(c: Column, vector: Column) -> Column:
         dot = F.aggregate(c["v"], F.lit(0.0), lambda a, e: a + e["w"] * F.coalesce(F.try_element_at(vector, e["t"]), F.lit(0.0)))
@@ -104,7 +137,7 @@ def own_licenses(scanned: DataFrame, templates: Mapping[str, str], threshold: fl
     best = F.reduce(scored, F.struct(F.lit(-1.0).alias("score"), F.lit("").alias("license")), lambda a, b: F.when((b["score"] > a["score"]) | ((b["score"] == a["score"]) & (b["license"] < a["license"])), b).otherwise(a))
     out = scanned.withColumn("best", F.when(F.size("statements") > 0, best)).drop("statements")
     near = F.col("best.score") >= threshold
-    return out.withColumn("own_license", F.when(near, F.col("best.license"))).withColumn("own_score", F.when(near, F.round("best.score", 6))).drop("best")
+    return out.withColumn("own_license", F.when(near, F.substring_index("best.license", LONG_MARK, 1))).withColumn("own_score", F.when(near, F.round("best.score", 6))).drop("best")
 
 
 def inherited_licenses(files: DataFrame) -> DataFrame:
@@ -118,23 +151,32 @@ def inherited_licenses(files: DataFrame) -> DataFrame:
     return nearest.select("dir", F.col("m.inherited").alias("inherited"), F.col("m.above").alias("inherited_from"))
 
 
+RESULTS = ("own_license", "own_score", "license", "how", "inherited_from")
+
+
 def scan(files: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """files (path, text, others) without text, with own_license, own_score, license, how (own, inherited, none), inherited_from."""
-    scanned = materialise(statements(files), "statements")
+    kept = [c for c in files.columns if c != "text" and c not in RESULTS]
+    apart, back = renamed(kept)
+    scanned = materialise(statements(files.select(*apart, "path", "text")), "statements")
     own = materialise(own_licenses(scanned, templates, threshold), "licenses")
     out = join_small(own, materialise(inherited_licenses(own), "inherited"), ["dir"], F.col("path"), "left")
     has = F.col("own_license").isNotNull()
     how = F.when(has, F.lit("own")).when(F.col("inherited").isNotNull(), F.lit("inherited")).otherwise(F.lit("none"))
-    return out.withColumn("license", F.coalesce("own_license", "inherited")).withColumn("how", how).withColumn("inherited_from", F.when(~has, F.col("inherited_from"))).drop("inherited")
+    return out.select(*back, "own_license", "own_score", F.coalesce("own_license", "inherited").alias("license"), how.alias("how"), F.when(~has, F.col("inherited_from")).alias("inherited_from"))
 
 
-#: Texts of fewer characters that speak of licensing are the licence files of the derived tree.
-SHORT_FILE = 600
+#: The least share of a licence file's terms that stand in the templates; its length doesn't matter.
+FILE_TERMS = 0.5
 
 
-def documents_as_files(docs: DataFrame) -> DataFrame:
-    """doc_id, path, text: a tree of source / 1024 ids / 64 ids; a short text that speaks of licensing is its LICENSE."""
+def documents_as_files(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
+    """doc_id, path, text: a tree of source / 1024 ids / 64 ids; a text that speaks of licensing, mostly in the templates'
+    own terms, is its LICENSE."""
     text = F.coalesce("text", F.lit(""))
-    name = F.when((F.length(text) < SHORT_FILE) & text.rlike(MARKS), F.lit("LICENSE")).otherwise(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    known = F.array(*[F.lit(t) for t in sorted({t for x in templates.values() for t in re.findall(TERM, x.lower())})])
+    found = terms(text)
+    mostly = F.size(F.filter(found, lambda t: F.array_contains(known, t))) >= F.size(found) * FILE_TERMS
+    name = F.when(text.rlike(MARKS) & mostly, F.lit("LICENSE")).otherwise(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")))
     part = lambda n: F.floor(F.col("doc_id") / n).cast("bigint").cast("string")
     return docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.concat(F.lit("a"), part(1024)), F.concat(F.lit("b"), part(64)), name).alias("path"), "text")

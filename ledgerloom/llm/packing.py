@@ -1,7 +1,7 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
 Every document is encoded once (ids, then one end id), cut into pieces of the sequence length only where it is longer,
-and reduced to a narrow row per piece. Pieces that fill a sequence are done. The others are dealt by hash to many tasks
+and reduced to a narrow row per piece. Pieces that fill a sequence are done. The others are dealt in turn to many tasks
 that each run best-fit decreasing; nearly full bins are emitted, and the underfull bins travel on as items, to fewer
 and fewer tasks in a tree, until a last round of bounded size emits whatever is left.
 
@@ -36,8 +36,8 @@ BIN_SCHEMA = "sequence_id bigint, length int, members binary, full boolean"
 LAYOUT_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
 
-def encode_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, ids (little-endian unsigned 32-bit) of every document."""
+def encode_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, ids (little-endian unsigned 32-bit; null unless with_ids) of every document."""
     path, end = path or tokenizer_path(), np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +48,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPA
                 ids = encode(text or "") + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part))
+                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
@@ -142,7 +142,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, items_per_task: int
     done = [materialise(whole.select("sequence_id", "members"), "whole")]
     rest, n, level = items.where(F.col("length") < capacity), slim.where(F.col("length") < capacity).count(), 0
     tasks = max(1, -(-n // items_per_task))
-    dealt = rest.repartition(tasks, F.xxhash64("members"))
+    dealt = rest.repartition(tasks)  # in turn: repeated rows don't meet in one task
     while True:
         last = tasks == 1
         bins = materialise(dealt.mapInArrow(_round(level, capacity, 0 if last else int(nearly_full * capacity)), BIN_SCHEMA), "bins")
@@ -155,7 +155,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, items_per_task: int
             break
         level += 1
         fewer = max(-(-tasks // fan_in), -(-left // items_per_task))
-        if fewer >= tasks and left > 0.98 * n:  # nothing fits together any more: the bins are final
+        if fewer >= tasks and left > 0.999 * n:  # nothing fits together any more: the bins are final
             done.append(bins.where("NOT full").select("sequence_id", "members"))
             break
         tasks, n = min(fewer, tasks), left
@@ -171,4 +171,4 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
 
     encode_pieces() gives the ids of the same pieces, for writing the sequences themselves.
     """
-    return pack_pieces(encode_pieces(docs, path, capacity, end_id), capacity, **options)
+    return pack_pieces(encode_pieces(docs, path, capacity, end_id, with_ids=False), capacity, **options)

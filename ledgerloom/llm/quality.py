@@ -205,6 +205,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id bigint, y int, x array<double>")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(most)  # a doc_id may have many rows
     got = sorted((r["doc_id"], r["y"], tuple(r["x"])) for r in rows.collect())
     return np.array([g[2] for g in got], "f8").reshape(len(got), len(FEATURES)), np.array([g[1] for g in got], "f8")
 

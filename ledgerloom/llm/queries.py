@@ -65,7 +65,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.suffix_sums(token_counts.length_histogram(parquet(spark, sf_dir, "documents")))
+    return token_counts.every_limit(token_counts.length_histogram(parquet(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -107,11 +107,14 @@ base AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_matches(coalesce(text, ''), '{licenses.MARKS}') AS marked,
     coalesce(source, 'unknown') || '/a' || (doc_id // 1024) || '/b' || (doc_id // 64) AS dir
   FROM documents
-), files AS (SELECT *, marked AND length(text) < {licenses.SHORT_FILE} AS is_file FROM base),
+), shares AS (SELECT doc_id, len(list_filter(found, lambda x: list_contains(vocabulary, x))) >= len(found) * {licenses.FILE_TERMS} AS mostly FROM (SELECT list(DISTINCT term) AS vocabulary FROM template_terms), (SELECT doc_id, regexp_extract_all(lower(text), '{licenses.TERM}') AS found FROM base WHERE marked)),
+files AS (SELECT base.*, coalesce(mostly, FALSE) AS is_file FROM base LEFT JOIN shares USING (doc_id)),
+headers AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r?\\n[ \\t]*\\r?\\n')) AS header FROM files WHERE marked),
 lines AS (SELECT doc_id, is_file, unnest(regexp_split_to_array(text, '\\r?\\n')) AS line FROM files WHERE marked),
 statements AS (
   SELECT row_number() OVER () AS sid, doc_id, terms FROM (
     SELECT doc_id, regexp_extract_all(lower(line), '{licenses.TERM}') AS terms FROM lines WHERE regexp_matches(line, '{licenses.MARKS}')
+    UNION ALL SELECT doc_id, regexp_extract_all(lower(header), '{licenses.TERM}') FROM headers WHERE contains(header, chr(10)) AND regexp_matches(header, '{licenses.MARKS}')
     UNION ALL SELECT doc_id, regexp_extract_all(lower(text), '{licenses.TERM}') FROM files WHERE is_file)
 ), tf AS (SELECT sid, term, count(*) AS tf FROM (SELECT sid, unnest(terms) AS term FROM statements) GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM statements),
@@ -123,7 +126,7 @@ cosines AS (
   SELECT sid, license, round(sum(w * t.tf * idf) / any_value(norms.norm) / any_value(template_norms.norm), 9) AS score
   FROM weighed JOIN template_terms t USING (term) JOIN idf USING (term) JOIN norms USING (sid) JOIN template_norms USING (license) GROUP BY sid, license
 ), own AS (
-  SELECT doc_id, first(license ORDER BY score DESC, license) AS own_license, round(max(score), 6) AS own_score
+  SELECT doc_id, split_part(first(license ORDER BY score DESC, license), '{licenses.LONG_MARK}', 1) AS own_license, round(max(score), 6) AS own_score
   FROM cosines JOIN statements USING (sid) GROUP BY doc_id HAVING max(score) >= {licenses.THRESHOLD}
 ), holders AS (SELECT dir, first(own_license ORDER BY own_score DESC, own_license) AS inherited FROM files JOIN own USING (doc_id) WHERE is_file GROUP BY dir)
 SELECT f.doc_id, f.dir || CASE WHEN is_file THEN '/LICENSE' ELSE '/doc_' || f.doc_id || '.txt' END AS path, own_license, own_score,

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import join_hot, materialise, renamed, slices
+from ledgerloom.llm.common import join_hot, materialise, renamed, settle, slices
 
 LENGTH = 400
 #: Windows of a text that are hashed together; texts of any length are taken in such steps.
@@ -327,7 +327,7 @@ SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
 def _known(docs: DataFrame, length: int, passage: int, crowded: int, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """profile: rid, sha, n_bytes of every row; known: sha, copies, n_words, twin, spans, passages, kept_sha of the texts
+    """profile (written): rid, sha, n_bytes of every row; known: sha, copies, n_words, twin, spans, passages, kept_sha of the texts
     in which anything is repeated."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("rid"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     profile = materialise(texts.mapInArrow(_profile(length, passage), "rid bigint, sha binary, n_bytes bigint, n_words bigint, hashes array<bigint>, counts array<int>, looped boolean"), "profile")
@@ -365,7 +365,7 @@ def _known(docs: DataFrame, length: int, passage: int, crowded: int, block: int,
     none = F.lit(None)
     twins = contents.where("copies > 1").select("sha", "copies", "n_words", F.lit(True).alias("twin"), none.cast(SPANS).alias("spans"), none.cast(SPANS).alias("passages"), none.cast("binary").alias("kept_sha"))
     single = contents.where("copies = 1").select("no", "sha", "copies", "n_words").join(cut.where("size(spans) > 0 OR size(passages) > 0"), "no").select("sha", "copies", "n_words", F.lit(False).alias("twin"), "spans", "passages", "kept_sha")
-    return profile.select("rid", "sha", "n_bytes"), materialise(twins.unionByName(single), "known")
+    return profile.select("rid", "sha", "n_bytes"), twins.unionByName(single)
 
 
 def _whole(n_bytes: Column) -> Column:
@@ -384,7 +384,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, passage: int | None =
     """doc_id, n_bytes, sha (of the text's bytes), spans (the maximal repeated runs, in bytes), kept_sha (of the rest), and
     passages (the runs of repeated strings of passage bytes that have over PASSAGE_WORDS words or length bytes)."""
     profile, known = _known(docs, length, passage or length, crowded, block, id_col, text_col)
-    joined = join_hot(profile, known, "sha", "copies", profile.count())
+    joined = join_hot(profile, materialise(known, "known"), "sha", "copies", profile.count())
     spans, passages = _spans(length)
     return joined.select(
         F.col("rid").alias("doc_id"),
@@ -399,7 +399,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, passage: int | None =
 def without_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE_BYTES, crowded: int = CROWDED, block: int = BLOCK_PIECES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with the passages cut out of the text (bytes that no longer form a character go too), and
     __found: struct(n_bytes, spans, passages, kept_sha), or null where nothing of the text is repeated."""
-    _, known = _known(docs, length, passage, crowded, block, id_col, text_col)
+    known = settle(lambda: _known(docs, length, passage, crowded, block, id_col, text_col)[1], "known")
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     apart, back = renamed(docs.columns)
     keyed = docs.select(*apart, F.unhex(F.sha2(raw, 256)).alias("sha"), F.octet_length(raw).cast("bigint").alias("n_bytes"))

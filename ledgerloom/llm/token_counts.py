@@ -41,11 +41,12 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     """Adds, for the context limit L = encoded_length of each row:
 
     docs_at_least, tokens_at_least (documents of L tokens or more), docs_within and share_within (documents of at most L),
-    truncated_total (tokens that remain if every document is cut to L), total_docs, total_tokens.
+    truncated_total (tokens that remain if every document is cut to L), total_docs, total_tokens, and permille: the
+    thousandths p of which L is the quantile, the least length within which p/1000 of the documents lie.
     Sums run inside blocks of lengths and over the few block totals, so no task sees more than a block of lengths. The
-    histogram is written first, as it is read twice: else every text would be encoded twice.
+    histogram should be written, as it is read twice.
     """
-    h = materialise(histogram, "histogram").withColumn("block", F.floor(F.col("encoded_length") / BLOCK).cast("bigint")).withColumn("tokens", F.col("encoded_length") * F.col("n_docs"))
+    h = histogram.withColumn("block", F.floor(F.col("encoded_length") / BLOCK).cast("bigint")).withColumn("tokens", F.col("encoded_length") * F.col("n_docs"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
@@ -65,24 +66,39 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
         "total_docs",
         "total_tokens",
     )
+    within = F.col("total_docs") - F.col("docs_at_least") + F.col("n_docs")
+    first, last = (F.floor(x * 1000 / F.col("total_docs")).cast("int") for x in (within - F.col("n_docs"), within))
     return out.select(
         "*",
-        (F.col("total_docs") - F.col("docs_at_least") + F.col("n_docs")).alias("docs_within"),
-        ((F.col("total_docs") - F.col("docs_at_least") + F.col("n_docs")) / F.col("total_docs")).alias("share_within"),
+        within.alias("docs_within"),
+        (within / F.col("total_docs")).alias("share_within"),
         (F.col("total_tokens") - F.col("tokens_at_least") + F.col("encoded_length") * F.col("docs_at_least")).alias("truncated_total"),
+        F.when(last > first, F.sequence(first + 1, last)).otherwise(F.array().cast("array<int>")).alias("permille"),
     )
 
 
+def every_limit(histogram: DataFrame) -> DataFrame:
+    """suffix_sums() of every context limit from 0 to the longest document, lengths that no document has included."""
+    h = materialise(histogram, "histogram")  # else every text would be encoded twice
+    longest = h.agg(F.max("encoded_length")).first()[0]
+    limits = h.sparkSession.range(0, 0 if longest is None else longest + 1).withColumnRenamed("id", "encoded_length")
+    return suffix_sums(limits.join(h, "encoded_length", "left").select("encoded_length", F.coalesce("n_docs", F.lit(0)).cast("bigint").alias("n_docs")))
+
+
 def answer_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """One row per asked context limit, whether or not a document has that very length: one pass, one sum for each."""
-    length, n = F.col("encoded_length"), F.col("n_docs")
-    sums = [F.struct(F.lit(int(x)).cast("bigint").alias("context_limit"), F.coalesce(F.sum(F.least(length, F.lit(int(x))) * n), F.lit(0)).alias("truncated_total"), F.coalesce(F.sum(F.when(length > int(x), n)), F.lit(0)).alias("docs_cut")).alias(f"l{i}") for i, x in enumerate(limits)]
-    return histogram.agg(*sums).select(F.explode(F.array(*[F.col(f"l{i}") for i in range(len(limits))])).alias("a")).select("a.*")
+    """context_limit, truncated_total, docs_cut of each asked limit, from the suffix sums of every limit."""
+    spark = histogram.sparkSession
+    sums = materialise(every_limit(histogram), "limits")
+    top = sums.agg(F.max("encoded_length").alias("top"), F.coalesce(F.max("total_tokens"), F.lit(0)).alias("all"))
+    asked = spark.createDataFrame([(int(x),) for x in limits], "context_limit bigint").join(F.broadcast(top))  # one row
+    cut = (F.col("total_docs") - F.col("docs_within")).alias("docs_cut")
+    found = asked.join(sums.select("encoded_length", "truncated_total", cut), F.col("context_limit") == F.col("encoded_length"), "left")
+    return found.select("context_limit", F.coalesce("truncated_total", "all").alias("truncated_total"), F.coalesce("docs_cut", F.lit(0)).alias("docs_cut"))
 
 
 def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
     """The least length within which at least each share of the documents lies."""
-    sums, spark = suffix_sums(histogram), histogram.sparkSession
+    sums, spark = suffix_sums(materialise(histogram, "histogram")), histogram.sparkSession
     asked = [F.min(F.when(F.col("share_within") >= q, F.col("encoded_length"))).alias(f"q{i}") for i, q in enumerate(shares)]
     row = sums.agg(*asked).first()
     return spark.createDataFrame([(float(q), row[i]) for i, q in enumerate(shares)], "share double, encoded_length bigint")

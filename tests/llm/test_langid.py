@@ -1,3 +1,8 @@
+import math
+import re
+from collections import Counter
+
+import numpy as np
 import pytest
 
 from ledgerloom.llm import langid
@@ -31,5 +36,48 @@ def test_evidence(spark, docs):
     assert got[903].host == "b.example.com" and got[902].suffix == ""
     assert all(abs(sum(r.posteriors.values()) - 1) < 1e-9 for r in got.values())
     assert langid.identify(pages.limit(0), docs).count() == 0
-    with pytest.raises(ValueError):
-        langid.identify(pages, docs.limit(0))
+    unknown = langid.identify(pages, docs.limit(0)).collect()
+    assert len(unknown) == len(rows) and all(r.lang is None and r.confidence is None for r in unknown)
+
+
+def test_query_against_brute_force(spark, small):
+    """Counts, smoothing, priors and fusion again, row by row in plain Python."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("lang IS NOT NULL").collect()
+    langs = sorted({r.lang for r in docs})
+    counts = {x: np.full(langid.BINS, langid.SMOOTH) for x in langs}
+    for r in docs:
+        for b in langid.trigram_bins((r.text or "").encode()).tolist():
+            counts[r.lang][b] += 1
+    logs = {x: np.log(c / c.sum()) for x, c in counts.items()}
+    seen = []
+    for p in spark.read.parquet(f"{small}/pages.parquet").collect():
+        body = re.sub(r"(?is)<(script|style|nav|footer)\b.*?</\1\s*>", " ", p.html or "")
+        text = re.sub(r"(?s)<[^>]*>|&#?\w+;", " ", body).strip(" ")
+        bins = langid.trigram_bins(text.encode())
+        score = {x: logs[x][bins].sum() / max(1, len(bins)) * math.sqrt(len(bins)) for x in langs}
+        host = (re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", p.url or "") or [0, ""])[1].lower()
+        lang = (re.search(r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", p.html or "") or [0, ""])[1].lower()
+        seen.append((p.page_id, host, ".".join(host.split(".")[-2:]), host.split(".")[-1], lang, score, max(langs, key=lambda x: (score[x], -langs.index(x))) if text else None))
+
+    def given(at):
+        values = Counter((r[at], r[6]) for r in seen if r[6])
+        kinds = len({r[at] for r in seen})
+        return lambda v, x: math.log((values[v, x] + 1) / (sum(n for (_, y), n in values.items() if y == x) + kinds + 1.0))
+
+    markup, address = given(4), given(3)
+    every, hosts, domains = (Counter((r[k] if k else "", r[6]) for r in seen if r[6]) for k in (0, 1, 2))
+    every = Counter(r[6] for r in seen if r[6])
+    sums = lambda c, k: sum(n for (v, _), n in c.items() if v == k)
+    want = {}
+    for page, host, domain, suffix, lang, score, _ in seen:
+        total = {}
+        for x in langs:
+            overall = (every[x] + 1) / (sum(every.values()) + len(langs))
+            share = (domains[domain, x] + langid.DOMAIN_STRENGTH * overall) / (sums(domains, domain) + langid.DOMAIN_STRENGTH)
+            prior = (hosts[host, x] + langid.HOST_STRENGTH * share) / (sums(hosts, host) + langid.HOST_STRENGTH)
+            total[x] = score[x] + math.log(prior) + markup(lang, x) + address(suffix, x)
+        best = max(langs, key=lambda x: total[x])
+        want[page] = (best, 1 / sum(math.exp(t - total[best]) for t in total.values()))
+    got = {r.page_id: (r.lang, r.confidence) for r in op5_language_id(spark, small).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(v[1] - want[k][1]) < 2e-6 for k, v in got.items())

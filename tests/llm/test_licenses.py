@@ -29,7 +29,16 @@ def test_headers_files_and_ancestors(spark):
 
 def test_near_versions_are_told_apart(spark):
     files = spark.createDataFrame([(k, f"d/{k}.c", t) for k, t in licenses.TEMPLATES.items()], "id string, path string, text string")
-    assert all(r.id == r.own_license for r in licenses.scan(files).collect())
+    assert all(r.id.removesuffix(licenses.LONG_MARK) == r.own_license for r in licenses.scan(files).collect())
+
+
+def test_headers_of_several_lines_and_files_of_any_length(spark):
+    lines = lambda t, mark: "\n".join(f"{mark} {t[i : i + 60]}" for i in range(0, len(t), 60))
+    rows = [(k, "x/y.c", f"code here\n\n{lines(t, '//')}\n\nmore code", "n") for k, t in licenses.LONG.items()]
+    files = spark.createDataFrame([*rows, ("none", "x/z.c", "a " * 50_000 + "licensed", "n")], "id string, path string, text string, name string")
+    assert all(r.own_license == (None if r.id == "none" else r.id) and r.name == "n" for r in licenses.scan(files).collect())
+    docs = spark.createDataFrame([(1, licenses.LONG["MIT"], "s"), (2, "my garden grows many tall flowers beside one license plate " * 20, "s")], "doc_id bigint, text string, source string")
+    assert {r.doc_id: r.path.endswith("LICENSE") for r in licenses.documents_as_files(docs).collect()} == {1: True, 2: False}
 
 
 def test_tricky_rows(tricky, nothing):

@@ -101,4 +101,7 @@ def test_counts_query(spark, small, whole):
     lengths = [len(ids(whole, r.text)) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     rows = op10_token_counts(spark, small).collect()
     assert sum(r.n_docs for r in rows) == len(lengths) and {r.total_tokens for r in rows} == {sum(lengths)}
-    assert {(r.encoded_length, r.truncated_total) for r in rows} == {(x, sum(min(x, y) for y in lengths)) for x in set(lengths)}
+    assert sorted((r.encoded_length, r.truncated_total) for r in rows) == [(x, sum(min(x, y) for y in lengths)) for x in range(max(lengths) + 1)]
+    ordered = sorted(lengths)
+    asked = {p: r.encoded_length for r in rows for p in r.permille}
+    assert asked == {p: ordered[math.ceil(len(ordered) * p / 1000) - 1] for p in range(1, 1001)}

@@ -47,6 +47,26 @@ def test_tricky_rows(spark, tricky, nothing):
     assert kept.columns == tricky.columns
 
 
+def test_query_against_brute_force(spark, small):
+    """Scores again from the fitted tables, row by row in plain Python."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    place = lambda edges, v: sum(e <= v for e in edges.tolist())
+    got = {r.doc_id: r.score for r in op6_quality_gam(spark, small).collect()}
+    for r in docs.collect():
+        x = quality.features((r.text or "").encode())
+        z = model.intercept + sum(t[place(e, v)] for e, t, v in zip(model.edges, model.tables, x, strict=True))
+        z += sum(t[place(model.pair_edges[a], x[a]), place(model.pair_edges[b], x[b])] for a, b, t in model.pairs)
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_repeated_ids_stay_within_the_bound(spark):
+    docs = spark.range(200).selectExpr("id % 2 + 1 AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id bigint, quality int")
+    x, y = quality.labelled_sample(docs, labels, 50)
+    assert len(x) == len(y) <= 50
+
+
 def test_features_are_finite():
     for raw in (None, b"", b"   ", b"a", b"\n\n", "é".encode() * 10):
         assert np.isfinite(quality.features(raw)).all()
