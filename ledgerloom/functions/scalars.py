@@ -1,4 +1,4 @@
-"""Scalar cleaning and comparison rules as Column expressions: all of them stay inside Spark's generated code."""
+"""Scalar cleaning and comparison rules as Column expressions, on the JVM; those with lambdas are interpreted, not generated."""
 
 from __future__ import annotations
 
@@ -173,12 +173,12 @@ def directional_amount(debit: Column, credit: Column) -> Column:
 
 def grouped_amount(x: Column) -> Column:
     """Thousands by comma, a fraction only where there is one."""
-    return F.format_number(x, "#,##0.######")
+    return F.call_function("format_number", x, F.lit("#,##0.######"))
 
 
 def grouped_amount_local(x: Column) -> Column:
     """Thousands by dot, fraction by comma, and the currency's letter."""
-    return F.concat(F.translate(F.format_number(x, "#,##0.######"), ",.", ".,"), F.lit(" đ"))
+    return F.concat(F.translate(F.call_function("format_number", x, F.lit("#,##0.######")), ",.", ".,"), F.lit(" đ"))
 
 
 def parse_local_money(x: Column) -> Column:
@@ -192,3 +192,22 @@ def parse_local_money(x: Column) -> Column:
 
 def is_zero_money(x: Column) -> Column:
     return F.regexp_replace(x, r"[\s.,+-]", "").rlike("^0*$")
+
+
+def lenient_money(x: Column) -> Column:
+    """Money as typed, as text: currency letters and blanks go, a comma is the decimal mark, dots part thousands where there
+    are several or where one stands before three digits and behind at most three. Nothing is 0; brackets and a minus negate."""
+    s = F.regexp_replace(F.coalesce(x, F.lit("")), r"[₫đĐVNDvnd\s\u00a0]", "")
+    negative = s.rlike(r"^\(.*\)$") | s.startswith("-")
+    bare = F.regexp_replace(s, r"^\((.*)\)$|^-(.*)$", "$1$2")
+    whole, part = F.split_part(bare, F.lit(","), F.lit(1)), F.split_part(bare, F.lit(","), F.lit(2))
+    digits = F.coalesce(F.nullif(F.replace(whole, F.lit("."), F.lit("")), F.lit("")), F.lit("0"))
+    comma = F.when(part.isin("", "0", "00"), digits).otherwise(F.concat(digits, F.lit("."), part))
+    thousands = bare.rlike(r"\..*\.") | bare.rlike(r"^[^.]{0,3}\.[^.]{3}$")
+    out = F.when(F.contains(bare, F.lit(",")), comma).when(thousands, F.replace(bare, F.lit("."), F.lit(""))).otherwise(bare)
+    return F.when(s.isin("", "-"), F.lit("0")).otherwise(F.concat(F.when(negative & (out != "0"), F.lit("-")).otherwise(F.lit("")), out))
+
+
+def executed_at() -> Column:
+    """Now, as RFC 3339 text in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

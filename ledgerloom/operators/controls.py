@@ -58,6 +58,23 @@ def running_balance_breaks(entries: DataFrame) -> DataFrame:
     return checked.where("off <> 0").select("account", "id", "off")
 
 
+def closing_balances(entries: DataFrame, opening: DataFrame) -> DataFrame:
+    """account, closing, stated, off: opening balance plus debits less credits against the last balance that is stated."""
+    moved = F.coalesce("debit_amount", F.lit(0)) - F.coalesce("credit_amount", F.lit(0))
+    sums = entries.groupBy("account").agg(F.sum(moved).alias("moved"), F.max_by("balance", F.when(F.col("balance").isNotNull(), F.col("pos"))).alias("stated"))
+    closing = F.coalesce("opening", F.lit(0)) + F.col("moved")
+    return sums.join(opening.select("account", "opening"), "account", "left").select("account", closing.alias("closing"), "stated", (F.col("stated") - closing).alias("off"))
+
+
+def reference_summary(control: DataFrame) -> DataFrame:
+    """A result's summary for one reference control (a row record_count, status): exactly one row is asked for."""
+    n = lambda *s: F.col("status").isin(*s).cast("bigint")
+    known = ("MATCHED_EXACT", "AMBIGUOUS_MATCH", "MISMATCH_AMOUNT", "MISMATCH_METADATA")
+    one = control.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))  # a control is one row
+    asked = F.when(F.col("rows") == 1, F.col("record_count")).otherwise(F.raise_error(F.lit("REFERENCE_CONTROL: one source and one control are needed")).cast("bigint"))
+    return one.select(asked.alias("total_source_records"), n(known[0]).alias("exact_matches_count"), n(known[1]).alias("ambiguous_count"), n(*known[2:]).alias("mismatches_count"), (~F.col("status").isin(*known)).cast("bigint").alias("needs_review_count"))
+
+
 def duplicate_suspects(records: DataFrame) -> DataFrame:
     """An extension: ids of rows that share source, series, number, date and total with another one."""
     keys = ["source_id", "series", "doc_no", "date", "total_amount"]

@@ -48,8 +48,27 @@ def dataset_fingerprints(prints: DataFrame, chunk_digits: int = 3) -> DataFrame:
     return bucket.groupBy("source_id").agg(F.sum("n").alias("n_records"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", F.lit(":"), F.col("d")))), ";"), 256).alias("fingerprint"))
 
 
+#: Records up to which a dataset's digests are sorted in one group for the plain digest (64 bytes each).
+PLAIN_DIGEST_ROWS = 1_000_000
+
+
+def content_fingerprints(prints: DataFrame) -> DataFrame:
+    """source_id, n_records, fingerprint, plain of rows (source_id, fp).
+
+    Plain: SHA-256 over the sorted record digests, each followed by a semicolon, which can be compared with stored ones. A
+    dataset of over PLAIN_DIGEST_ROWS records gets the bucketed fingerprint instead, as no task may hold so many digests.
+    """
+    prints = materialise(prints.select("source_id", "fp"), "prints")
+    bucketed = dataset_fingerprints(prints)
+    fits = bucketed.where(F.col("n_records") <= PLAIN_DIGEST_ROWS).select("source_id")
+    plain = prints.join(F.broadcast(fits), "source_id", "left_semi").groupBy("source_id").agg(F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list("fp")), ";"), F.lit(";")), 256).alias("digest"))
+    return bucketed.join(plain, "source_id", "left").select("source_id", "n_records", F.coalesce("digest", "fingerprint").alias("fingerprint"), F.col("digest").isNotNull().alias("plain"))
+
+
 def compatibility_keys(records: DataFrame, kind: str) -> DataFrame:
     """source_id and the first filled bank account, entity tax number and ledger account, in row order."""
+    have = set(records.columns)
+    records = records.withColumns({c: F.lit(None).cast("string") for c in ("bank_account", "seller_tax_id", "buyer_tax_id", "partner_tax_id", "debit_account", "credit_account") if c not in have})
     first = lambda *cs: F.min_by(F.coalesce(*[S.blank_to_null(F.col(c)) for c in cs]), F.when(F.coalesce(*[S.blank_to_null(F.col(c)) for c in cs]).isNotNull(), F.col("pos")))
     return records.groupBy("source_id").agg(first("bank_account").alias("bank_account"), first("seller_tax_id", "buyer_tax_id", "partner_tax_id").alias("entity_tax_id"), first("debit_account", "credit_account").alias("ledger_account")).withColumn("kind", F.lit(kind))
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
+from ledgerloom.operators import messages
 from ledgerloom.operators.ordering import number_rows
 from ledgerloom.plans.model import ACCEPTED, BANKING, MAX_SUBSET, MONEY, RULE_FIELDS, SLACK_DAYS, Control, Session
 from ledgerloom.session import materialise, materialise_all
@@ -132,12 +133,15 @@ class Matcher:
         """By amount within the tolerance and bank date within the window: an equi-join on amount, or on amount buckets."""
         p, s = self._amounts(c, p, s)
         tolerance = float(c.tolerance)
+        span = max(1, int(c.days))  # an amount that very many rows have is spread by its days
+        day = lambda x: F.floor(F.datediff(S.as_date(F.col(x)), F.lit("1970-01-01")) / span).cast("bigint")
+        p, s = p.withColumn("span", day("p_bank_date")), s.withColumn("span", F.explode(F.array(*[day("s_bank_date") + d for d in (-1, 0, 1)])))
         if tolerance == 0:
-            pairs = p.join(s, F.col("p_amount") == F.col("s_amount"))
+            pairs = p.withColumn("same", F.col("p_amount")).join(s.withColumn("same", F.col("s_amount")), ["same", "span"]).drop("same", "span")
         else:
             bucket = lambda x: F.floor(F.col(x) / F.lit(c.tolerance).cast(MONEY)).cast("bigint")
             near = s.withColumn("bucket", F.explode(F.array(*[bucket("s_amount") + d for d in (-1, 0, 1)])))
-            pairs = p.withColumn("bucket", bucket("p_amount")).join(near, "bucket").drop("bucket").where(F.abs(F.col("p_amount") - F.col("s_amount")) <= F.lit(c.tolerance).cast(MONEY))
+            pairs = p.withColumn("bucket", bucket("p_amount")).join(near, ["bucket", "span"]).drop("bucket", "span").where(F.abs(F.col("p_amount") - F.col("s_amount")) <= F.lit(c.tolerance).cast(MONEY))
         return pairs.where(S.within_days(F.col("p_bank_date"), F.col("s_bank_date"), c.days, on_null=False))
 
     def _compatible(self, c: Control, days: int) -> Column:
@@ -426,7 +430,11 @@ class Matcher:
             ok = ok & self._same_direction() if self._directed(c) else ok
             raw_tax = F.coalesce(F.col("p_partner_tax_id") != F.col("s_partner_tax_id"), F.lit(False))
             far = ~S.within_days(F.col("p_date"), F.col("s_date"), c.days, on_null=True)
-            pairs = ps.join(ss, F.col("p_tax_key") == F.col("s_tax_key")).where(ok)
+            # the amount's bucket spreads a hot tax number by what the filter asks for
+            width = F.lit(max(float(c.tolerance), 1.0)).cast(MONEY)
+            bucket = lambda x: F.floor(F.col(x) / width).cast("bigint")  # noqa: E731,B023
+            near = ss.withColumn("bucket", F.explode(F.array(*[bucket("s_amount") + d for d in (-1, 0, 1)])))
+            pairs = ps.withColumn("bucket", bucket("p_amount")).withColumn("tax", F.col("p_tax_key")).join(near.withColumn("tax", F.col("s_tax_key")), ["tax", "bucket"]).where(ok)
             parts.append(pairs.select("p_id", "p_pos", F.lit(c.source_order).alias("source"), "s_id", F.lit(c.order).alias("control"), F.lit(c.source.id).alias("source_id"), F.lit(c.source.kind).alias("source_kind"), F.lit(c.rule.semantic).alias("semantic"), F.col("p_amount").alias("expected"), F.col("s_amount").alias("actual"), ((F.col("p_amount") != F.col("s_amount")) | raw_tax | far).alias("differs")))
         if not parts:
             return p.limit(0).select(F.col("id").alias("p_id"), F.col("pos").alias("p_pos"), F.lit(0).alias("source"), F.col("id").alias("s_id"), F.lit(0).alias("control"), F.lit("").alias("source_id"), F.lit("").alias("source_kind"), F.lit("").alias("semantic"), _zero().alias("expected"), _zero().alias("actual"), F.lit(False).alias("differs"))
@@ -517,6 +525,9 @@ class Matcher:
         groups = materialise(primary.unionByName(residual), "groups")
         lifecycle = gated.select(F.concat(F.lit("grp_lifecycle_review_"), "id").alias("group_id"), F.lit(-1).alias("control"), F.lit("INVOICE_LIFECYCLE_NEEDS_REVIEW").alias("field_name"), F.col("lifecycle").alias("source_value"), none.alias("target_value"), F.lit(None).cast(MONEY).alias("amount_diff"))
         details = merged[3].drop("p_id").select(*lifecycle.columns).unionByName(lifecycle)
+        settings = [(F.lit(c.tolerance).cast(MONEY), F.lit(c.days)) for c in self.controls]
+        tolerance, days = (messages.by_control(F.col("control"), [x[i] for x in settings]) for i in (0, 1))
+        details = details.withColumn("message", messages.of_detail(F.col("field_name"), F.col("source_value"), F.col("target_value"), tolerance, days))
         counts = [self.sizes[0], sum(self.sizes[1:])]
         return Frames(groups, merged[1].where("compared").drop("p_id", "added", "flag", "matched", "compared"), links.drop("p_id", "review").distinct(), details, summary(groups, *counts))
 

@@ -56,8 +56,10 @@ def canonical(rows: DataFrame, source: Source, columns: Sequence[str]) -> DataFr
     amounts = F.inline(F.array(F.struct(*[cells.money(c).alias("mapped_total" if c == "total_amount" else c) for c in MONEY_FIELDS])))
     money = {c: F.col(c) for c in MONEY_FIELDS if c != "total_amount"}
     total, origin = derived_total(F.col("mapped_total"), *[money[c] for c in ("pretax_amount", "vat_amount", "discount_amount", "fee_amount", "credit_amount", "debit_amount")])
-    titles = F.array(*[F.lit(c) for c in columns])
-    raw = F.map_filter(F.map_from_entries(F.array_compact(F.transform(titles, lambda t, i: F.when(F.coalesce(F.trim(F.get("cells", i)), F.lit("")) != "", F.struct(t, F.get("cells", i)))))), lambda k, v: v.isNotNull())
+    # of columns with one title the last that is filled counts
+    filled = lambda i: F.nullif(F.get("cells", F.lit(i)), F.when(F.trim(F.get("cells", F.lit(i))) == "", F.get("cells", F.lit(i))))
+    places = {t: [i for i, x in enumerate(columns) if x == t] for t in columns}
+    raw = F.map_filter(F.create_map(*[x for t, at in places.items() for x in (F.lit(t), F.coalesce(*[filled(i) for i in reversed(at)]))]) if places else F.create_map().cast("map<string,string>"), lambda k, v: v.isNotNull())
     parsed = data_rows(rows, source).select("row_idx", "cells", amounts)  # generated: the money filter below doesn't parse them again
     out = parsed.select(
         F.concat(F.lit(f"{source.id}_row_"), (F.col("row_idx") + 1).cast("string")).alias("id"),

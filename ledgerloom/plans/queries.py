@@ -50,17 +50,18 @@ pairs AS MATERIALIZED (
   SELECT id, any_value(pri) AS pri, count(*) AS n, sum(amt) AS total, count(*) FILTER (abs(amt - pri) <= 10) AS direct,
     arg_min(amt, pos) FILTER (abs(amt - pri) <= 10) AS d_amt, arg_min(days, pos) FILTER (abs(amt - pri) <= 10) AS d_days, any_value(amt) AS o_amt, any_value(days) AS o_days
   FROM pairs GROUP BY id
-), items AS (
-  SELECT p.id, p.pri, p.amt, p.days, n, row_number() OVER (PARTITION BY p.id ORDER BY p.pos) - 1 AS i FROM pairs p JOIN sets s USING (id) WHERE n BETWEEN 2 AND 12 AND direct = 0
-), masks AS (SELECT id, unnest(range(1, 1 << n)) AS mask FROM (SELECT DISTINCT id, n FROM items)
-), hits AS (
-  SELECT id, count(*) AS n_subsets, min(s) AS subset_sum FROM (
-    SELECT m.id, mask, sum(amt) AS s FROM masks m JOIN items t ON t.id = m.id AND (mask >> i) & 1 = 1 GROUP BY m.id, mask HAVING abs(sum(amt) - any_value(pri)) <= 10 AND max(days) <= 3
-  ) GROUP BY id
+), small_sets AS (
+  SELECT id, any_value(pri) AS pri, list(amt ORDER BY pos) AS amts, list(days ORDER BY pos) AS days, list(sid ORDER BY pos) AS sids
+  FROM pairs SEMI JOIN (SELECT id FROM sets WHERE n BETWEEN 2 AND 12 AND direct = 0) USING (id) GROUP BY id
+), subsets AS MATERIALIZED (
+  SELECT id, pri, picked, list_sum([amts[i] FOR i IN picked]) AS s, [sids[i] FOR i IN picked] AS sids FROM (
+    SELECT *, list_filter(range(1, len(amts) + 1), lambda i: (mask >> (i - 1)) & 1 = 1) AS picked FROM (SELECT *, unnest(range(1, 1 << len(amts))) AS mask FROM small_sets)
+  ) WHERE abs(s - pri) <= 10 AND list_max([days[i] FOR i IN picked]) <= 3
+), hits AS (SELECT id, count(*) AS n_subsets, min(s) AS subset_sum FROM subsets GROUP BY id
 ), judged AS (
   SELECT s.*, coalesce(n_subsets, 0) AS n_subsets, subset_sum, CASE WHEN n = 1 THEN o_amt ELSE d_amt END AS t_amt, CASE WHEN n = 1 THEN o_days ELSE d_days END AS t_days
   FROM sets s LEFT JOIN hits USING (id)
-), first_pass AS (
+), first_pass AS MATERIALIZED (
   SELECT i.id, CASE
     WHEN n IS NULL THEN 'UNMATCHED_MISSING_IN_TARGET'
     WHEN direct = 0 AND n > 12 THEN 'NEEDS_REVIEW'
@@ -69,24 +70,22 @@ pairs AS MATERIALIZED (
     CASE WHEN n IS NULL THEN i.pretax_amount WHEN direct = 0 AND n > 12 THEN 0 WHEN n = 1 OR direct = 1 THEN pri - t_amt WHEN direct > 1 OR n_subsets > 1 THEN 0 WHEN n_subsets = 1 THEN pri - subset_sum ELSE pri - total END AS variance,
     n, direct, n_subsets, subset_sum, t_amt
   FROM inv i LEFT JOIN judged USING (id) WHERE i.doc_no IS NOT NULL
-), chosen AS (
+), chosen AS MATERIALIZED (
   SELECT p.sid FROM pairs p JOIN first_pass f USING (id) JOIN judged j USING (id)
   WHERE (f.status IN ('MATCHED_EXACT', 'MATCHED_WITH_TOLERANCE') AND (j.n = 1 OR abs(p.amt - p.pri) <= 10))
   UNION ALL
-  SELECT p.sid FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS i FROM pairs) p JOIN first_pass f USING (id) JOIN (
-    SELECT m.id, mask FROM masks m JOIN items t ON t.id = m.id AND (mask >> i) & 1 = 1 GROUP BY m.id, mask HAVING abs(sum(amt) - any_value(pri)) <= 10 AND max(days) <= 3
-  ) h ON h.id = p.id AND (h.mask >> p.i) & 1 = 1 WHERE f.status = 'MATCHED_AGGREGATE'
+  SELECT unnest(sids) FROM subsets SEMI JOIN (SELECT id FROM first_pass WHERE status = 'MATCHED_AGGREGATE') USING (id)
 ), tax_pairs AS (
-  SELECT i.id, i.pretax_amount AS pri, l.id AS sid, l.credit_amount AS amt FROM inv i JOIN led l ON i.partner_tax_id = l.partner_tax_id
-  WHERE i.doc_no IS NULL AND abs(date_diff('day', CAST(i.date AS DATE), CAST(l.date AS DATE))) <= 3 AND abs(l.credit_amount - i.pretax_amount) <= 10 AND l.id NOT IN (SELECT sid FROM chosen)
-), second_pass AS (
+  SELECT i.id, i.pretax_amount AS pri, l.id AS sid, l.credit_amount AS amt FROM inv i JOIN (SELECT * FROM led ANTI JOIN (SELECT sid AS id FROM chosen) USING (id)) l ON i.partner_tax_id = l.partner_tax_id
+  WHERE i.doc_no IS NULL AND abs(date_diff('day', CAST(i.date AS DATE), CAST(l.date AS DATE))) <= 3 AND abs(l.credit_amount - i.pretax_amount) <= 10
+), second_pass AS MATERIALIZED (
   SELECT id, CASE WHEN count(*) > 1 THEN 'AMBIGUOUS_MATCH' WHEN any_value(amt) <> any_value(pri) THEN 'MISMATCH_METADATA' ELSE 'MATCHED_WITH_TOLERANCE' END AS status, CASE WHEN count(*) > 1 THEN 0 ELSE any_value(pri) - any_value(amt) END AS variance FROM tax_pairs GROUP BY id
-), taken AS (SELECT sid FROM chosen UNION SELECT t.sid FROM tax_pairs t JOIN second_pass s USING (id) WHERE s.status = 'MATCHED_WITH_TOLERANCE'),
-groups AS (
+), taken AS MATERIALIZED (SELECT sid FROM chosen UNION SELECT t.sid FROM tax_pairs t JOIN second_pass s USING (id) WHERE s.status = 'MATCHED_WITH_TOLERANCE'),
+groups AS MATERIALIZED (
   SELECT 'grp_match_' || id AS group_id, status, variance AS amount_variance FROM first_pass
   UNION ALL SELECT 'grp_fallback_' || id, status, variance FROM second_pass
-  UNION ALL SELECT 'grp_unmatched_prim_' || id, 'UNMATCHED_MISSING_IN_TARGET', pretax_amount FROM inv WHERE doc_no IS NULL AND id NOT IN (SELECT id FROM second_pass)
-  UNION ALL SELECT 'grp_missing_source_' || id, 'UNMATCHED_MISSING_IN_SOURCE', -credit_amount FROM led WHERE id NOT IN (SELECT sid FROM taken)
+  UNION ALL SELECT 'grp_unmatched_prim_' || id, 'UNMATCHED_MISSING_IN_TARGET', pretax_amount FROM inv ANTI JOIN second_pass USING (id) WHERE doc_no IS NULL
+  UNION ALL SELECT 'grp_missing_source_' || id, 'UNMATCHED_MISSING_IN_SOURCE', -credit_amount FROM led ANTI JOIN (SELECT sid AS id FROM taken) USING (id)
 )
 """
 
@@ -127,7 +126,7 @@ def candidate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.where("n > 0").join(status, "p_id").select(F.col("p_id").alias("id"), "n", "n_direct", "n_subsets", "status")
 
 
-@register(REVENUE_SQL + """SELECT 'grp_missing_source_' || id AS group_id, id AS secondary_id, CAST(credit_amount AS DECIMAL(18,2)) AS amount FROM led WHERE id NOT IN (SELECT sid FROM taken)""")
+@register(REVENUE_SQL + """SELECT 'grp_missing_source_' || id AS group_id, id AS secondary_id, CAST(credit_amount AS DECIMAL(18,2)) AS amount FROM led ANTI JOIN (SELECT sid AS id FROM taken) USING (id)""")
 def residual_secondary_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = revenue_frames(spark, sf_dir).groups.where("status = 'UNMATCHED_MISSING_IN_SOURCE'")
     return g.select("group_id", "secondary_id", F.col("total_target_amount").cast("decimal(18,2)").alias("amount"))
