@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.model import Source
+from ledgerloom.session import materialise
+
+# Kinds of sources whose partners are held against a partner master.
+IDENTITY_KINDS = ("e_invoice", "sales_register", "ledger511", "ledger112", "ledger131", "ledger133", "ledger3331")
 MEASURES = ("revenue", "vat", "receivable", "cost", "profit")
 
 
@@ -32,7 +38,10 @@ def identities(records: DataFrame, masters: DataFrame) -> DataFrame:
     return found.select("id", n.alias("n"), F.when(n == 1, "UNIQUE").when(n > 1, "AMBIGUOUS").otherwise("NOT_FOUND").alias("resolution"))
 
 
-def identity_control(records: DataFrame, masters: DataFrame) -> DataFrame:
+def identity_control(records: DataFrame, masters: DataFrame, sources: Sequence[Source] | None = None) -> DataFrame:
+    """record_count, unresolved, status; with a session's sources, of the records of those kinds alone that it holds."""
+    if sources is not None:
+        records = records.where(F.col("source_id").isin(*[s.id for s in sources if s.kind in IDENTITY_KINDS]))
     r = identities(records, masters).agg(F.count(F.lit(1)).alias("record_count"), F.count_if(F.col("resolution") != "UNIQUE").alias("unresolved"))
     return r.withColumn("status", F.when(F.col("unresolved") == 0, "MATCHED_EXACT").otherwise("NEEDS_REVIEW"))
 
@@ -51,11 +60,20 @@ def sales_layer_control(analysis: DataFrame) -> DataFrame:
 
 
 def running_balance_breaks(entries: DataFrame) -> DataFrame:
-    """account, id of rows whose balance isn't the one before it plus debit less credit."""
-    w = Window.partitionBy("account").orderBy("pos")
-    moved = F.coalesce("debit_amount", F.lit(0)) - F.coalesce("credit_amount", F.lit(0))
-    checked = entries.where("balance IS NOT NULL").withColumn("off", F.col("balance") - F.lag("balance").over(w) - moved)
-    return checked.where("off <> 0").select("account", "id", "off")
+    """account, id, off of rows whose balance isn't the one before it plus debit less credit.
+
+    Rows are dealt by ranges of account and place, so that a large account is spread over tasks; each range takes over the
+    account's last balance of the range before. Rows of one place go by id.
+    """
+    stated = entries.where("balance IS NOT NULL").select("account", "pos", "id", "balance", "debit_amount", "credit_amount")
+    ranged = materialise(stated.repartitionByRange("account", "pos", "id").withColumn("part", F.spark_partition_id()), "ranges")
+    ends = ranged.groupBy("account", "part").agg(F.max_by("balance", F.struct("pos", "id")).alias("last"))  # a row a range, and one an account
+    carried = ends.select("account", "part", F.lag("last").over(Window.partitionBy("account").orderBy("part")).alias("carried"))
+    within = F.lag("balance").over(Window.partitionBy("account", "part").orderBy("pos", "id"))
+    rows, moved = ranged.withColumn("before", within).alias("r"), F.coalesce("debit_amount", F.lit(0)) - F.coalesce("credit_amount", F.lit(0))
+    joined = rows.join(carried.alias("c"), F.col("r.account").eqNullSafe(F.col("c.account")) & (F.col("r.part") == F.col("c.part")))
+    checked = joined.withColumn("off", F.col("balance") - F.coalesce("before", "carried") - moved)
+    return checked.where("off <> 0").select("r.account", "id", "off")
 
 
 def closing_balances(entries: DataFrame, opening: DataFrame) -> DataFrame:

@@ -524,11 +524,17 @@ class Matcher:
         residual = self.sweep_secondaries(taken, reviewed)
         groups = materialise(primary.unionByName(residual), "groups")
         lifecycle = gated.select(F.concat(F.lit("grp_lifecycle_review_"), "id").alias("group_id"), F.lit(-1).alias("control"), F.lit("INVOICE_LIFECYCLE_NEEDS_REVIEW").alias("field_name"), F.col("lifecycle").alias("source_value"), none.alias("target_value"), F.lit(None).cast(MONEY).alias("amount_diff"))
-        details = merged[3].drop("p_id").select(*lifecycle.columns).unionByName(lifecycle)
+        lost = F.col("field_name") == "NOT_FOUND"
+        numbers = self.p.where("doc_key IS NOT NULL").select(F.col("id").alias("p_id"), "doc_key", "series_key")
+        absent = merged[3].where(lost).join(numbers, "p_id", "left").withColumn("source_value", messages.with_series(F.col("doc_key"), F.col("series_key")))
+        details = merged[3].where(~lost).select(*lifecycle.columns).unionByName(lifecycle)
         settings = [(F.lit(c.tolerance).cast(MONEY), F.lit(c.days)) for c in self.controls]
         tolerance, days = (messages.by_control(F.col("control"), [x[i] for x in settings]) for i in (0, 1))
         details = details.withColumn("message", messages.of_detail(F.col("field_name"), F.col("source_value"), F.col("target_value"), tolerance, days))
         counts = [self.sizes[0], sum(self.sizes[1:])]
+        title = messages.by_control(F.col("control"), [F.lit(c.source.title) for c in self.controls])
+        absent = absent.withColumn("message", messages.not_found(F.col("doc_key"), title, self.session.is_tri_source))
+        details = details.unionByName(absent.select(*details.columns))
         return Frames(groups, merged[1].where("compared").drop("p_id", "added", "flag", "matched", "compared"), links.drop("p_id", "review").distinct(), details, summary(groups, *counts))
 
     def _reviewed(self, links: DataFrame, heads: DataFrame) -> DataFrame:

@@ -15,6 +15,9 @@ ROUNDING = "Chênh lệch làm tròn số tiền %s đ (trong ngưỡng dung sai
 AMOUNT = "Lệch số tiền đối chiếu: Nguồn A (%s) đ vs Nguồn B (%s) đ, chênh lệch %s đ"
 TAX = "Khác mã số thuế: Nguồn A [%s] vs Nguồn B [%s]"
 DATE = "Lệch ngày lập/chứng từ: %s ngày (vượt ngưỡng cho phép %s ngày)"
+NOT_FOUND = "Chứng từ #%s không tìm thấy trong nguồn %s"
+NOT_FOUND_OF_THREE = "HIGH: chứng từ #%s không tìm thấy trong nguồn %s của kiểm soát ba nguồn"
+SERIES = "%s (Ký hiệu %s)"
 MISSING = "Thiếu %s: %s"
 MISSING_SOURCE = "Chứng từ phát sinh bên đối chiếu nhưng thiếu bên nguồn chính (%s)."
 DUPLICATE = "Nghi ngờ trùng lặp chứng từ trong nguồn dữ liệu."
@@ -62,6 +65,15 @@ def of_detail(field: Column, source: Column, target: Column, tolerance: Column,
     return F.when((field == "amount") & some, amount_message(a, b, tolerance)).when((field == "partnerTaxId") & some, _text(TAX, source, target)).when((field == "date") & some, date_message(source, target, days))
 
 
+def not_found(number: Column, source: Column, of_three: bool) -> Column:
+    """A document that a secondary source lacks; marked HIGH where invoice, register and ledger are held together. Null without a number."""
+    return F.when(number.isNotNull(), _text(NOT_FOUND_OF_THREE if of_three else NOT_FOUND, number, source))
+
+
+def with_series(number: Column, series: Column) -> Column:
+    return F.when(number.isNotNull(), _text(SERIES, number, F.coalesce(series, F.lit(""))))
+
+
 def reason(messages: Column, status_name: Column) -> Column:
     """A report row's reason: its messages, or else what the status is called."""
     return F.coalesce(F.nullif(F.array_join(messages, "; "), F.lit("")), status_name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,15 +84,22 @@ def report_order() -> list[Column]:
     return [F.coalesce("date", F.lit("")), F.coalesce("doc_no", F.lit("")), F.coalesce("series", F.lit("")), F.col("group_id"), F.coalesce("control", F.lit(-1))]
 
 
-def search(groups: DataFrame, status: str | None = None, text: str = "") -> DataFrame:
-    """Groups of a status whose id, number, series, date or partner contains the text, case aside."""
+def search(groups: DataFrame, status: str | None = None, text: str = "", discrepancies: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """Groups of a status whose id, number, series, date, partner or records contain the text, case aside; with the matcher's
+    other frames, also those whose discrepancies or linked records do."""
     out = groups.where(F.col("status") == status) if status else groups
     if not text.strip():
         return out
-    hit = F.lit(False)
-    for c in ("group_id", "doc_no", "series", "date", "partner_name", "primary_id", "secondary_id"):
-        hit = hit | F.coalesce(F.lower(c).contains(text.strip().lower()), F.lit(False))
-    return out.where(hit)
+    sought = F.lit(text.strip().lower())
+
+    def hit(*columns: str) -> Column:
+        return reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(c), sought), F.lit(False)) for c in columns])
+
+    own = hit("group_id", "doc_no", "series", "date", "partner_name", "primary_id", "secondary_id")
+    others = [df.where(hit(*columns)).select("group_id") for df, columns in ((discrepancies, ("message", "source_value", "target_value")), (links, ("s_id",))) if df is not None]
+    if not others:
+        return out.where(own)
+    return out.join(reduce(DataFrame.unionByName, others, out.where(own).select("group_id")), "group_id", "left_semi")
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int = 50) -> DataFrame:

@@ -7,6 +7,7 @@ one row at a time is held. The old binary formats (.xls, .xlsb) aren't read.
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -26,6 +27,8 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 #: Rows of a sheet that the format itself can hold.
 MAX_ROWS = 1_048_576
 PREVIEW_ROWS = 10
+#: Fractional numbers are amounts; style 1 shows them by the built-in format 3 (#,##0).
+AMOUNT_STYLE = ' s="1"'
 BATCH = 2_000
 
 
@@ -105,6 +108,27 @@ def sheet_rows(content: bytes, sheet: str | None = None, limit: int | None = Non
                     return
 
 
+def extent(content: bytes, sheet: str | None = None) -> tuple[int, int, int]:
+    """First used row (from 1), rows and columns of the range of a sheet's cells that hold something."""
+    low, high = [0, 0], [-1, -1]
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        parts = sheet_paths(book)
+        with book.open(parts[resolve_sheet(parts, sheet)]) as f:
+            row = 0
+            for _, e in ET.iterparse(f):
+                if e.tag != f"{_MAIN}row":
+                    continue
+                row, at = int(e.get("r") or row + 1), -1
+                for c in e.iter(f"{_MAIN}c"):
+                    at = _column(c.get("r")) if c.get("r") else at + 1
+                    if c.find(f"{_MAIN}v") is None and c.find(f"{_MAIN}is") is None:
+                        continue
+                    low = [min(low[0], row), min(low[1], at)] if high[0] >= 0 else [row, at]
+                    high = [max(high[0], row), max(high[1], at)]
+                e.clear()
+    return (low[0], high[0] - low[0] + 1, high[1] - low[1] + 1) if high[0] >= 0 else (1, 0, 0)
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """path, sha256, content of workbooks under a path or glob."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "content")
@@ -133,17 +157,37 @@ def _rows(name: str, at: int, rows: list[list[str]]) -> pa.RecordBatch:
 
 
 def inspect_workbook(content: bytes, name: str = "") -> dict:
-    """Sheets of a workbook with header, columns, mapping, kind and a preview; unreadable sheets are left out."""
+    """Sheets of a workbook with their range, header, columns, mapping, kind and a preview; unreadable sheets are left out.
+
+    header_row and data_start_row count from the range's first row, physical_ ones from the sheet's.
+    """
     out = []
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = list(sheet_paths(book))
     for sheet in names:
         try:
-            rows = list(sheet_rows(content, sheet, infer.SCAN_ROWS))
+            rows, (first, height, width) = list(sheet_rows(content, sheet, infer.SCAN_ROWS)), extent(content, sheet)
         except (ET.ParseError, KeyError):
             continue
-        out.append({"sheet": sheet, "preview": rows[:PREVIEW_ROWS], **infer.inspect(rows, sheet)})
-    return {"name": name, "sheets": out}
+        found = infer.inspect(rows, sheet)
+        physical = {f"physical_{k}": first + found[k] - 1 for k in ("header_row", "data_start_row")}
+        out.append({"sheet": sheet, "total_rows": height, "total_cols": width, "range_start_row": first, "preview": rows[:PREVIEW_ROWS], **found, **physical})
+    return {"name": name, "size": len(content), "sheets": out}
+
+
+def inspect_files(spark: SparkSession, path: str) -> DataFrame:
+    """source_id (the file's path) and inspection, a JSON document, of every workbook; null for files that aren't workbooks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    found = json.dumps(inspect_workbook(content, name.rsplit("/", 1)[-1]), ensure_ascii=False)
+                except (zipfile.BadZipFile, ET.ParseError, KeyError):
+                    found = None
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([found], pa.string())], ["source_id", "inspection"])
+
+    return files(spark, path).select("path", "content").mapInArrow(run, "source_id string, inspection string")
 
 
 def _sheet_xml(rows: Iterable[Iterable[object]]) -> Iterator[str]:
@@ -157,7 +201,7 @@ def _sheet_xml(rows: Iterable[Iterable[object]]) -> Iterator[str]:
             if v is None:
                 continue
             if isinstance(v, (int, float)) and not isinstance(v, bool):
-                cells.append(f'<c r="{ref}"><v>{v}</v></c>')
+                cells.append(f'<c r="{ref}"{AMOUNT_STYLE if isinstance(v, float) else ""}><v>{v}</v></c>')
             else:
                 cells.append(f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>')
         yield f'<row r="{i}">{"".join(cells)}</row>'
@@ -169,10 +213,11 @@ def write_workbook(path: str | Path, sheets: dict[str, Iterable[Iterable[object]
     names = list(sheets)
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(names) + 1))
-        z.writestr("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
+        z.writestr("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>{kinds}</Types>')
         z.writestr("_rels/.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>{"".join(f"<sheet name={chr(34)}{escape(n)}{chr(34)} sheetId={chr(34)}{i}{chr(34)} r:id={chr(34)}r{i}{chr(34)}/>" for i, n in enumerate(names, 1))}</sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{"".join(f"<Relationship Id={chr(34)}r{i}{chr(34)} Type={chr(34)}http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet{chr(34)} Target={chr(34)}worksheets/sheet{i}.xml{chr(34)}/>" for i in range(1, len(names) + 1))}</Relationships>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{"".join(f"<Relationship Id={chr(34)}r{i}{chr(34)} Type={chr(34)}http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet{chr(34)} Target={chr(34)}worksheets/sheet{i}.xml{chr(34)}/>" for i in range(1, len(names) + 1))}<Relationship Id="styles" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", '<?xml version="1.0" encoding="UTF-8"?><styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf numFmtId="3" applyNumberFormat="1"/></cellXfs></styleSheet>')
         for i, n in enumerate(names, 1):
             with z.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as f:
                 for part in _sheet_xml(sheets[n]):
@@ -185,11 +230,12 @@ def _values(df: DataFrame) -> Iterator[list[object]]:
         yield [float(v) if hasattr(v, "as_tuple") else v for v in r]
 
 
-def export_report(frames, path: str | Path) -> dict:
-    """The three-sheet report workbook: overview, differences, everything."""
+def export_report(frames, path: str | Path, primary_name: str | None = None) -> dict:
+    """The three-sheet report workbook: overview, differences, everything. With the primary source's name the sheets are
+    numbered and titled as report.report_sheet gives them."""
     from ledgerloom.operators import report
 
-    rows = lambda only: report.report_rows(frames, only).orderBy(*report.report_order())
+    rows = lambda only: report.report_rows(frames, only).orderBy(*report.report_order()) if primary_name is None else report.report_sheet(frames, only, primary_name)
     write_workbook(path, {"Tong quan": _values(report.summary_sheet(frames).orderBy("ord").drop("ord")), "Sai lech & Can chu y": _values(rows(True)), "Chi tiet tat ca": _values(rows(False))})
     return {"path": str(path), "groups": frames.groups.count()}
 
