@@ -6,7 +6,8 @@ around each segment, fetches the matches from the segment's table by an equi-joi
 Of two keys that differ in one bit one has it set: it alone probes, with that bit cleared.
 
 Documents with one fingerprint count as one node, so copies are never expanded into pairs. Very large buckets are not
-joined: see _dense(). Components come from contraction rounds over written tables; no link reaches the driver.
+joined: see _dense(). Components come from contraction rounds over written tables, the last links (at most FEW_LINKS, by
+count) from one task; no link reaches the driver.
 
 Null or empty text (no words): fingerprint zero, linked like any other. Null doc_id: kept, not a candidate for a
 component's id unless it has no other. Repeated rows: same component. Empty table: no rows. Other columns are ignored.
@@ -30,6 +31,8 @@ SEED = 42
 SEGMENT_BITS = 32
 #: Fingerprints that share a segment key beyond which the bucket is taken apart by single differences (see _dense).
 DENSE_BUCKET = 2_000
+#: So many links, and no more, are joined in one task: contraction goes on until that few are left.
+FEW_LINKS = 100_000
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -126,9 +129,8 @@ def _dense(nodes: DataFrame, table: DataFrame, hot: DataFrame, distance: int) ->
     return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
-def _hub_sizes(edges: DataFrame, least: int = 1_000_000) -> tuple[int, DataFrame] | None:
+def _hub_sizes(edges: DataFrame, total: int, least: int = 1_000_000) -> tuple[int, DataFrame] | None:
     """How many edges there are and each node's degree, where a node has over 1/1000 of very many edges."""
-    total = edges.count()
     if total < least:
         return None
     degrees = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
@@ -136,20 +138,40 @@ def _hub_sizes(edges: DataFrame, least: int = 1_000_000) -> tuple[int, DataFrame
     return (total, degrees) if degrees.where(F.col("n") * 1000 > total).limit(1).count() else None
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root (the least node that links reach) of the links src, dst."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, "int64"), pa.array([top(x) for x in nodes], "int64")], ["node", "root"])
+
+
+def components(edges: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """node, root of every node that has a link. Each round every node moves to the neighbour of least random rank.
 
-    Random ranks make chains shrink by a constant factor a round. Edges are contracted and written, and the rounds' maps
-    are then composed from the last to the first.
+    Random ranks make chains shrink by a constant factor a round. Edges are contracted and written until few are left,
+    which one task joins; the rounds' maps are then composed from the last to the first.
     """
     edges, maps = materialise(edges, "links"), []
-    while edges.limit(1).count():
+    while left := edges.count():
+        if left <= few:
+            maps.append(materialise(edges.select("src", "dst").coalesce(1).mapInArrow(_joined, "node bigint, root bigint"), "joined"))
+            break
         rank = lambda c: F.struct(F.xxhash64(F.lit(len(maps)), c).alias("r"), c.alias("to"))  # noqa: E731,B023
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         best = both.groupBy("src").agg(F.min(rank(F.col("dst"))).alias("best"))
         step = materialise(best.select(F.col("src").alias("node"), F.least("best", rank(F.col("src")))["to"].alias("root")), "contraction")
         maps.append(step)
-        if round_sizes := _hub_sizes(edges):  # a hub's edges meet its new root by a broadcast
+        if round_sizes := _hub_sizes(edges, left):  # a hub's edges meet its new root by a broadcast
             total, degrees = round_sizes
             weighed = materialise(step.join(degrees, "node").select("node", "root", "n"), "weighed")
             end = lambda name, to: weighed.select(F.col("node").alias(name), F.col("root").alias(to), "n")  # noqa: E731,B023

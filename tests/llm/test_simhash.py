@@ -68,9 +68,10 @@ def test_links_and_components(spark, dense):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
-def test_long_chain(spark):
+@pytest.mark.parametrize("few", (0, 50, 1000))
+def test_long_chain(spark, few):
     edges = spark.range(1, 200).selectExpr("id - 1 AS src", "id AS dst")
-    roots = simhash.components(edges)
+    roots = simhash.components(edges, few)
     assert roots.count() == 200 and roots.select("root").distinct().count() == 1
 
 
@@ -107,7 +108,7 @@ def test_rows_that_share_an_id(spark):
 def test_hubs(spark, monkeypatch):
     monkeypatch.setattr(simhash._hub_sizes, "__defaults__", (1,))
     edges = spark.range(1, 3000).selectExpr("0L AS src", "id AS dst").unionAll(spark.range(5000, 5003).selectExpr("id AS src", "id + 1 AS dst"))
-    roots = simhash.components(edges)
+    roots = simhash.components(edges, few=0)
     assert roots.count() == 3004 and roots.select("root").distinct().count() == 2
 
 
