@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import fingerprint, langid, licenses, media, mixing, packing, quality, simhash, suffix, token_counts
+from ledgerloom.llm import fingerprint, langid, licenses, media, mixing, packing, periodic, quality, simhash, spelling, suffix, token_counts, winnowing
 from ledgerloom.llm.common import parquet
 
 
@@ -68,9 +68,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.every_limit(token_counts.length_histogram(parquet(spark, sf_dir, "documents")))
 
 
+def op11_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = winnowing.contamination(parquet(spark, sf_dir, "documents").select("doc_id", "text"), parquet(spark, sf_dir, "benchmark"))
+    items = F.col("leak.items")
+    return out.select(
+        "doc_id", "leak.n_words", "leak.n_hit", F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("leak.n_hit") > 0).alias("contaminated")
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(parquet(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.frequent(spelling.thinned(spelling.runs(parquet(spark, sf_dir, "documents")))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_source_mixing, op2_order_minhash, op3_license_scan, op4_media_columns, op5_language_id, op6_quality_gam, op7_simhash_near_dedup, op8_suffix_dedup, op9_best_fit_packing, op10_token_counts)
+    for f in (op1_source_mixing, op2_order_minhash, op3_license_scan, op4_media_columns, op5_language_id, op6_quality_gam, op7_simhash_near_dedup, op8_suffix_dedup, op9_best_fit_packing, op10_token_counts, op11_winnowing_decontamination, op12_periodic_runs, op13_spelling_variants)
 }
 
 #: The uniform number of mixing.poisson_copies, in DuckDB.
@@ -139,4 +155,35 @@ LEFT JOIN holders h2 ON h2.dir = array_to_string(string_split(f.dir, '/')[1:2],
 LEFT JOIN holders h1 ON h1.dir = string_split(f.dir, '/')[1]
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_source_mixing": _OP1, "op3_license_scan": _OP3}
+_LOW = f"translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}')"
+_WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS words FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, words, least({winnowing.WINDOW}, len(words)) AS k FROM (SELECT item_id, {_WORDS} AS words FROM benchmark) WHERE len(words) > 0),
+windows AS (SELECT DISTINCT item, k, array_to_string(words[p:p + k - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(words) - k + 2)) AS p FROM i)),
+places AS (SELECT row, p, k, array_to_string(words[p:p + k - 1], ' ') AS win FROM (SELECT row, words, k, unnest(range(1, len(words) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM windows))),
+hits AS (SELECT row, p, k, item FROM places JOIN windows USING (win, k)),
+hit_words AS (SELECT row, count(DISTINCT w) AS n_hit FROM (SELECT row, unnest(range(p, p + k)) AS w FROM (SELECT DISTINCT row, p, k FROM hits)) GROUP BY row),
+found AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM hits WHERE item IS NOT NULL) GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (row) LEFT JOIN found USING (row)
+"""
+
+#: CRC-32 by the table of its 256 one-byte remainders, which SQL makes from the polynomial.
+_OP13 = f"""
+WITH RECURSIVE remainders AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (SELECT doc_id, word, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all({_LOW}, '[A-Za-z\u00C0-\u00FF]+')) AS word FROM documents) GROUP BY ALL),
+bytes AS (SELECT *, hex(doc_id || ':' || word) AS x FROM runs),
+hashed AS (SELECT *, xor(list_reduce(list_transform(range(len(x) // 2), lambda j: CAST('0x' || substr(x, 2 * j + 1, 2) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM bytes, remainders),
+thinned AS (SELECT CASE WHEN h % {spelling.THIN} = 0 THEN left(word, CAST(h % len(word) AS INT)) || substr(word, CAST(h % len(word) AS INT) + 2) ELSE word END AS word, times FROM hashed),
+words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM thinned WHERE len(word) >= {spelling.MIN_LENGTH} GROUP BY word HAVING sum(times) >= {spelling.MIN_COUNT}),
+cuts AS (SELECT word, n, p, left(word, CAST(p AS INT) - 1) || substr(word, CAST(p AS INT) + 1) AS key FROM (SELECT *, unnest(range(1, len(word) + 1)) AS p FROM words)),
+longer AS (SELECT DISTINCT a.word, b.word AS near FROM cuts a JOIN words b ON a.key = b.word),
+near AS (SELECT a.word, b.word AS near FROM cuts a JOIN cuts b ON a.key = b.key AND a.p = b.p AND a.word <> b.word UNION ALL SELECT word, near FROM longer UNION ALL SELECT near, word FROM longer),
+best AS (SELECT near.word, count(*) AS n_near, first(near ORDER BY w.n DESC, near) AS form, max(w.n) AS form_n FROM near JOIN words w ON w.word = near.near GROUP BY near.word),
+formed AS (SELECT words.word, CASE WHEN form_n >= {spelling.RATIO} * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {spelling.RATIO} * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+ways AS (SELECT word, word AS here, form AS next FROM formed UNION ALL SELECT ways.word, f.word, f.form FROM ways JOIN formed f ON f.word = ways.next)
+SELECT formed.word, form, here AS root, n, n_near, form_n FROM formed JOIN ways ON ways.word = formed.word AND next IS NULL
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_source_mixing": _OP1, "op3_license_scan": _OP3, "op11_winnowing_decontamination": _OP11, "op13_spelling_variants": _OP13}
