@@ -5,10 +5,10 @@ by date window, counterparty and direction, and reduces every candidate set to c
 it; sums of subsets are searched only in sets of at most MAX_SUBSET rows. Control rows are then folded into one group a
 primary.
 
-Acceptance takes secondaries away from later primaries, so the outcome depends on record order. Primaries contend only
-where they share a candidate. The matcher therefore works in rounds: a primary is ready once it is the earliest one left
-at each of its candidates, and all ready primaries are matched at once, by the same joins. Without shared candidates
-there is one round; otherwise as many as the longest chain of primaries that contend for a candidate.
+Acceptance takes secondaries away from later primaries, so the outcome depends on record order (position, then id).
+Primaries contend only where they share a candidate; all others are matched at once. Contenders are matched at once as
+well, again and again, each without what earlier ones took the time before, until nothing changes: see _in_order().
+Very many primaries that ask for one record need as many rounds as two.
 
 Results are flat frames: groups, comparisons (a row per group and control), links (a row per group, control and secondary
 record), discrepancies, and the one-row summary. They are joined or nested only at the edge (report.py).
@@ -16,6 +16,7 @@ record), discrepancies, and the one-row summary. They are joined or nested only
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -224,8 +225,8 @@ class Matcher:
         return rows, self._no_links(), self._codes(rows)
 
     def _decide(self, c: Control, p: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-        """Per primary what decides a control; the pairs that count; records that review links. p are ready primaries,
-        pairs theirs with rows not accepted yet."""
+        """Per primary what decides a control; the pairs that count; records that review links. pairs: theirs, with
+        rows not taken yet."""
         amount, error = rule_amount(c.rule.primary_field)
         base = p.withColumn("amount", amount).withColumn("error", error)
         linked = None
@@ -333,49 +334,67 @@ class Matcher:
         if self.primary.kind == "e_invoice":
             p = p.where("lifecycle IS NULL OR lifecycle = 'STANDARD'")
         every, frames = self._all_pairs(p)
-        pairs = self._contention(frames, p)
-        shared = pairs.groupBy("source", "s_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("source", "s_id")
-        waiting = materialise(pairs.join(shared, ["source", "s_id"], "left_semi"), "contended")
-        contended = waiting.limit(1).count() > 0
-        out: list[tuple[DataFrame, ...]] = []
-        taken = self._no_links().select("source_id", "s_id")
-        left = p
+        held = self._contended(self._contention(frames, p))
+        if held is None:
+            return self._match(p, every)
+        ids = held.withColumnRenamed("p_id", "id")
+        free = self._match(p.join(ids, "id", "left_anti"), {c: df.join(held, "p_id", "left_anti") for c, df in every.items()})
+        p = materialise(p.join(ids, "id", "left_semi"), "contended")
+        own = dict(zip(every, materialise_all([(df.join(held, "p_id", "left_semi"), "contended-pairs") for df in every.values()]), strict=True))
+        source = {c.order: c.source.id for c in self.controls}
+        settled = self._in_order(p, lambda taken: self._match(p, {c: self._left(df, taken, source[c]) for c, df in own.items()}))
+        return tuple(a.unionByName(b) for a, b in zip(free, settled, strict=True))
+
+    @staticmethod
+    def _contended(wanted: DataFrame) -> DataFrame | None:
+        """p_id of the primaries that share a candidate with another one, if there are any."""
+        shared = wanted.groupBy("source", "s_id").agg(F.count_distinct("p_id").alias("k")).where("k > 1").select("source", "s_id")
+        held = materialise(wanted.join(shared, ["source", "s_id"], "left_semi").select("p_id").distinct(), "contended")
+        return held if held.limit(1).count() else None
+
+    @staticmethod
+    def _left(pairs: DataFrame, taken: DataFrame | None, source: str) -> DataFrame:
+        """Pairs without the records that an earlier primary has taken."""
+        if taken is None:
+            return pairs
+        gone = taken.where(F.col("source_id") == source).select("s_id", "first")
+        return pairs.join(gone, "s_id", "left").where(F.col("first").isNull() | (F.col("first") >= F.struct("p_pos", "p_id"))).drop("first")
+
+    def _in_order(self, p: DataFrame, match: Callable[[DataFrame | None], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+        """What match() makes of primaries that share candidates, as if they came one by one, by position and id.
+
+        taken has the first primary that accepts each record; match(taken) leaves the record to that one and to those
+        before it. A round matches all primaries with what the round before took, until that stays as it is. There is one
+        such outcome: the first primary is right from the first round on, whoever depends on it alone from the second on,
+        and so forth. Rounds follow how often a record's loss changes what somebody else takes, not how many ask for it.
+        """
+        order = p.select(F.col("id").alias("p_id"), F.struct("pos", "id").alias("by"))
+        taken = None
         while True:
-            last = not contended
-            if contended:
-                first = waiting.groupBy("source", "s_id").agg(F.min("p_pos").alias("first"))
-                blocked = materialise(waiting.join(first, ["source", "s_id"]).where("p_pos > first").select(F.col("p_id").alias("id")).distinct(), "blocked")
-                last = blocked.limit(1).count() == 0
-            ready = left if last else left.join(blocked, "id", "left_anti")
-            made = self._match(ready, every, taken if out else None, whole=last and not out)
-            out.append(made)
-            if last:
-                break
-            left = materialise(left.join(blocked, "id", "left_semi"), "left")
-            waiting = materialise(waiting.join(blocked.withColumnRenamed("id", "p_id"), "p_id", "left_semi"), "contended")
-            taken = materialise(taken.unionByName(self._accepted(made)), "taken")
-        return tuple(reduce(DataFrame.unionByName, [o[i] for o in out]) for i in range(4))
+            made = match(taken)
+            now = materialise(self._takes(made).join(order, "p_id").groupBy("source_id", "s_id").agg(F.min("by").alias("first")), "taken")
+            if taken is None:
+                differ = now
+            else:
+                differ = now.join(taken.withColumnRenamed("first", "was"), ["source_id", "s_id"], "full").where(~F.col("first").eqNullSafe(F.col("was")))
+            if not differ.limit(1).count():
+                return made
+            taken = now
+
+    def _takes(self, made: tuple[DataFrame, ...]) -> DataFrame:
+        """p_id, source_id, s_id of what accepted groups hold."""
+        ok = made[0].where(F.col("status").isin(*ACCEPTED)).select("p_id")
+        return made[2].where("in_group").join(ok, "p_id", "left_semi").select("p_id", "source_id", "s_id")
 
     def _accepted(self, made: tuple[DataFrame, ...]) -> DataFrame:
-        ok = made[0].where(F.col("status").isin(*ACCEPTED)).select("p_id")
-        return made[2].where("in_group").join(ok, "p_id", "left_semi").select("source_id", "s_id").distinct()
+        return self._takes(made).select("source_id", "s_id").distinct()
 
-    def _match(self, ready: DataFrame, every: dict[int, DataFrame], taken: DataFrame | None, whole: bool) -> tuple[DataFrame, ...]:
-        decided = {}
-        for c in self.controls:
-            pairs = every.get(c.order)
-            if pairs is None:
-                continue
-            if not whole:
-                pairs = pairs.join(ready.select(F.col("id").alias("p_id")), "p_id", "left_semi")
-            if taken is not None:
-                pairs = pairs.join(taken.where(F.col("source_id") == c.source.id).select("s_id"), "s_id", "left_anti")
-            decided[c.order] = self._decide(c, ready, pairs)
+    def _match(self, ready: DataFrame, every: dict[int, DataFrame]) -> tuple[DataFrame, ...]:
+        """Groups, comparisons, links and discrepancies of primaries; every: their pairs by control."""
+        decided = {c.order: self._decide(c, ready, every[c.order]) for c in self.controls if c.order in every}
         known = dict(zip(decided, materialise_all([(d[0], "control") for d in decided.values()]), strict=True))
         parts = [self._judge(c, known[c.order], *decided[c.order][1:]) if c.order in known else self._without_rule(c, ready) for c in self.controls]
         rows, links, details = (reduce(DataFrame.unionByName, [x[i] for x in parts]) for i in range(3))
-        if not whole:  # a later round would read the pairs through all the joins that narrowed them
-            rows, links, details = materialise_all([(rows, "comparisons"), (links, "links"), (details, "discrepancies")])
         return self._group(rows), rows, links, details
 
     def _group(self, rows: DataFrame) -> DataFrame:
@@ -402,22 +421,13 @@ class Matcher:
     # ---- later passes -----------------------------------------------------------------------------------------
 
     def pass_two(self, p: DataFrame, taken: DataFrame) -> tuple[DataFrame, ...]:
-        """Primaries without a document number, by tax number, date and amount. Same rounds, as matches consume."""
+        """Primaries without a document number, by tax number, date and amount; in order, as matches consume."""
         p = p.where("doc_no IS NULL AND tax_key IS NOT NULL AND date IS NOT NULL")
-        out, left = [], p
-        while True:
-            pairs = materialise(self._tax_pairs(left, taken), "tax-pairs")
-            first = pairs.groupBy("source", "s_id").agg(F.min("p_pos").alias("first"))
-            blocked = materialise(pairs.join(first, ["source", "s_id"]).where("p_pos > first").select(F.col("p_id").alias("id")).distinct(), "blocked")
-            last = blocked.limit(1).count() == 0
-            ready = pairs if last else pairs.join(blocked.withColumnRenamed("id", "p_id"), "p_id", "left_anti")
-            made = self._tax_groups(left if last else left.join(blocked, "id", "left_anti"), ready)
-            out.append(made)
-            if last:
-                break
-            left = materialise(left.join(blocked, "id", "left_semi"), "left")
-            taken = materialise(taken.unionByName(self._accepted(made)), "taken")
-        return tuple(reduce(DataFrame.unionByName, [o[i] for o in out]) for i in range(4))
+        pairs = materialise(self._tax_pairs(p, taken), "tax-pairs")
+        if self._contended(pairs) is None:
+            return self._tax_groups(p, pairs)
+        left = lambda gone: pairs if gone is None else reduce(DataFrame.unionByName, [self._left(pairs.where(F.col("source_id") == x.id), gone, x.id) for x in self.sources])
+        return self._in_order(p, lambda gone: self._tax_groups(p, left(gone)))
 
     def _tax_pairs(self, p: DataFrame, taken: DataFrame) -> DataFrame:
         parts = []

@@ -309,3 +309,19 @@ def matcher_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = SCENARIOS["scenario_revenue_standard"].session("edges", (base.INVOICE, base.LEDGER_511))
     frames = matching.reconcile(session, {"inv": views.spark_sql(spark, sf_dir, EDGE_INVOICES), "led": views.spark_sql(spark, sf_dir, EDGE_LEDGER)})
     return frames.groups.where("primary_id IS NOT NULL").select("group_id", "status")
+
+
+#: Fifteen numbers, which very many invoices share, and two ledger lines each, of 1000 and 2000. A third of the invoices wants
+#: each, the rest neither; positions are tied, so that ids decide.
+HOT_INVOICES = "SELECT concat('h', CAST(o_orderkey AS STRING)) AS id, CAST(o_custkey % 2 AS BIGINT) AS pos, CAST(o_orderkey % 15 + 1 AS STRING) AS doc_no, 'S' AS series, '2026-01-05' AS date, '0100000001' AS partner_tax_id, CAST(CASE o_custkey % 3 WHEN 0 THEN 1000 WHEN 1 THEN 2000 ELSE 500000 END AS DECIMAL(18,2)) AS pretax_amount FROM {orders}"
+HOT_LEDGER = "SELECT DISTINCT concat('l', CAST(o_orderkey % 15 AS STRING), '_', CAST(o_custkey % 2 AS STRING)) AS id, CAST(o_orderkey % 15 * 2 + o_custkey % 2 AS BIGINT) AS pos, CAST(o_orderkey % 15 + 1 AS STRING) AS doc_no, 'S' AS series, '2026-01-05' AS date, '0100000001' AS partner_tax_id, CAST(1000 + 1000 * (o_custkey % 2) AS DECIMAL(18,2)) AS credit_amount FROM {orders}"
+_BEFORE = "count(CASE WHEN pretax_amount = {} THEN 1 END) OVER (PARTITION BY doc_no ORDER BY pos, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@register(f"""SELECT id, CASE WHEN (pretax_amount = 1000 AND a = 0) OR (pretax_amount = 2000 AND b = 0) THEN 'MATCHED_EXACT' WHEN a > 0 AND b > 0 THEN 'UNMATCHED_MISSING_IN_TARGET' ELSE 'MISMATCH_AMOUNT' END AS status
+FROM (SELECT id, pretax_amount, {_BEFORE.format(1000)} AS a, {_BEFORE.format(2000)} AS b FROM ({HOT_INVOICES}))""")
+def contended_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each number's two lines go to the first invoices that fit them, by position and id; whoever comes later finds what is left."""
+    session = SCENARIOS["scenario_revenue_standard"].session("hot", (base.INVOICE, base.LEDGER_511))
+    frames = matching.reconcile(session, {"inv": views.spark_sql(spark, sf_dir, HOT_INVOICES), "led": views.spark_sql(spark, sf_dir, HOT_LEDGER)})
+    return frames.groups.where("primary_id IS NOT NULL").select(F.col("primary_id").alias("id"), "status")

@@ -1,8 +1,11 @@
 import random
+from dataclasses import replace
+from datetime import date
 from decimal import Decimal
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import matching
 from ledgerloom.plans.model import SCENARIOS, ReconciliationError, Rule, Session, Source
@@ -117,6 +120,46 @@ def test_contention_equals_one_by_one(spark):
     assert {r.secondary_id for r in frames.groups.collect() if r.secondary_id} == {s["id"] for s in lines} - taken
 
 
+def jobs(spark, run):
+    """What run() returns, and how many Spark jobs it took."""
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_many_contenders_take_no_more_jobs_than_two(spark):
+    session = SCENARIOS["scenario_revenue_standard"].session("s", SOURCES)
+    counts = []
+    for n in (2, 1000):
+        invoices = frame(spark, [inv(f"p{i:04d}", "1", 100) for i in range(n)]).withColumn("pos", F.lit(7).cast("bigint"))
+        lines = frame(spark, [led("r", "1", 100)])
+        got, k = jobs(spark, lambda: {r.primary_id: r.status for r in matching.reconcile(session, {"inv": invoices, "led": lines}).groups.collect()})  # noqa: B023
+        assert got == {f"p{i:04d}": "UNMATCHED_MISSING_IN_TARGET" if i else "MATCHED_EXACT" for i in range(n)}
+        counts.append(k)
+    assert counts[1] <= counts[0] + 5  # adaptive plans may differ by a few; not by one for each contender
+
+
+def test_a_record_handed_on_along_a_chain(spark):
+    """Each invoice sees its own line and the one before: it takes its own only once that one is gone."""
+    invoices = [inv(f"p{i}", "1", 100, date=f"2026-{1 + i // 2:02d}-{1 + 14 * (i % 2):02d}") for i in range(6)]
+    lines = [led(f"r{i}", "1", 100, date=p["date"]) for i, p in enumerate(invoices)]
+    rules = tuple(replace(r, days=0) for r in SCENARIOS["scenario_revenue_standard"].session("s", SOURCES).rules)
+    session = replace(SCENARIOS["scenario_revenue_standard"].session("s", SOURCES), rules=rules)
+    got = {r.primary_id: r.status for r in matching.reconcile(session, {"inv": frame(spark, invoices), "led": frame(spark, lines)}).groups.collect() if r.primary_id}
+    day = lambda r: (date.fromisoformat(r["date"]) - date(2026, 1, 1)).days
+    taken, want = set(), {}
+    for p in invoices:
+        near = [s for s in lines if abs(day(s) - day(p)) <= 15 and s["id"] not in taken]
+        want[p["id"]] = "UNMATCHED_MISSING_IN_TARGET" if not near else "AMBIGUOUS_MATCH" if len(near) > 1 else "MATCHED_EXACT" if near[0]["date"] == p["date"] else "MISMATCH_METADATA"
+        if want[p["id"]] == "MATCHED_EXACT":
+            taken.add(near[0]["id"])
+    assert got == want
+
+
 def test_sessions_fail_closed(spark):
     with pytest.raises(ReconciliationError):
         Session("s", SOURCES[:1]).primary()
