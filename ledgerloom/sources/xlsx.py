@@ -1,7 +1,7 @@
 """Excel workbooks (.xlsx, .xlsm): distributed reading of many files, inspection, and the report workbook.
 
 Files are scanned by Spark's binaryFile source; each task unzips its own files and streams a sheet's XML row by row, so
-one row at a time is held. The old binary formats (.xls, .xlsb) aren't read.
+one row at a time is held. workbooks.py reads ranges of rows by several tasks, and the binary formats as well.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import io
 import json
 import re
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
@@ -53,13 +53,13 @@ def resolve_sheet(names: Iterable[str], asked: str | None) -> str:
     return found[0]
 
 
-def _strings(book: zipfile.ZipFile) -> list[str]:
+def shared_strings(book: zipfile.ZipFile) -> list[str]:
     if "xl/sharedStrings.xml" not in book.namelist():
         return []
     return ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ET.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
 
 
-def cell_text(kind: str, value: str | None, strings: list[str]) -> str:
+def cell_text(kind: str, value: str | None, strings: Sequence[str]) -> str:
     """Every cell as text: whole numbers without a fraction, errors marked, dates as their serial number."""
     if value is None:
         return ""
@@ -82,11 +82,22 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+def row_cells(row: ET.Element, strings: Sequence[str]) -> list[str]:
+    """The texts of a row's cells, from column A on."""
+    out: list[str] = []
+    for c in row.iter(f"{_MAIN}c"):
+        at = _column(c.get("r")) if c.get("r") else len(out)
+        inline = c.find(f"{_MAIN}is")
+        v = "".join(t.text or "" for t in inline.iter(f"{_MAIN}t")) if inline is not None else getattr(c.find(f"{_MAIN}v"), "text", None)
+        out += [""] * (at - len(out)) + [cell_text(c.get("t", "n"), v, strings)]
+    return out
+
+
 def sheet_rows(content: bytes, sheet: str | None = None, limit: int | None = None) -> Iterator[list[str]]:
     """The rows of a sheet, from its first used one on; gaps are empty texts."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         parts = sheet_paths(book)
-        strings, last, given = _strings(book), None, 0
+        strings, last, given = shared_strings(book), None, 0
         with book.open(parts[resolve_sheet(parts, sheet)]) as f:
             for _, e in ET.iterparse(f):
                 if e.tag != f"{_MAIN}row":
@@ -95,13 +106,7 @@ def sheet_rows(content: bytes, sheet: str | None = None, limit: int | None = Non
                 for _ in range(number - last - 1 if last is not None else 0):
                     yield []
                     given += 1
-                row: list[str] = []
-                for c in e.iter(f"{_MAIN}c"):
-                    at = _column(c.get("r")) if c.get("r") else len(row)
-                    inline = c.find(f"{_MAIN}is")
-                    v = "".join(t.text or "" for t in inline.iter(f"{_MAIN}t")) if inline is not None else getattr(c.find(f"{_MAIN}v"), "text", None)
-                    row += [""] * (at - len(row)) + [cell_text(c.get("t", "n"), v, strings)]
-                yield row
+                yield row_cells(e, strings)
                 last, given = number, given + 1
                 e.clear()
                 if limit is not None and given >= limit:
