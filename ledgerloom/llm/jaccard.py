@@ -5,13 +5,14 @@ within its distance those that the whole sets confirm are links. But similar doc
 search by segments reaches (11 and 17 of 64 for the two pairs of the smallest table), so a second search completes it and
 none is missed: if the shingles are put in one order that holds for the whole table, then of a set of n the first
 n - ceil(0.8 n) + 1 share one with those of each similar set.
-Equi-joins on these prefixes fetch the pairs. Of each pair the number of shared prefix shingles and the last place of one
-bound what both sets can share; where that is enough, the whole sets decide. The order has common shingles last, the more
-common the later, so that passages that many documents hold fetch nothing unless they are nearly all of a document. How
-common a shingle is may be estimated from a sample: any order gives the same links.
+Equi-joins on these prefixes fetch the pairs, of a shingle those alone that have as many shingles left after it, on either
+side, as they must share: the shorter set is then asked for by its first ninth, not its first fifth. Of each pair the number
+of shared shingles and the last place of one bound what both sets can share; where that is enough, the whole sets decide.
+The order has common shingles last, the more common the later, so that passages that many documents hold fetch nothing
+unless they are nearly all of a document. How common a shingle is may be estimated from a sample: any order gives the same links.
 
 Documents with one set count as one node. Where very many nodes share a prefix shingle, rounds first compare all of them
-with one of them; then only pairs that aren't yet in one component are compared.
+with some of them; then only pairs that aren't yet in one component are compared.
 
 Null or empty text (no words): the empty set, one node. Null doc_id: represents a group only if it has no other. Repeated
 rows: one stays. Empty table: no rows. Extra columns are carried along, whatever their names.
@@ -35,10 +36,10 @@ SHINGLE = 5
 #: The least similarity, as a fraction.
 SIMILAR = (4, 5)
 #: Documents that hold a shingle beyond which it goes to the end of the order, and the most shingles that do.
-COMMON, MOST_COMMON = 100, 200_000
-#: Nodes with one prefix shingle beyond which they are first compared with one of them, the most such rounds, and how many
-#: pairs a link may cost for another round to follow. Rounds only spare the last join pairs: it finds what they leave.
-CROWDED, ROUNDS, WORTH = 200, 6, 10
+COMMON, MOST_COMMON = 10, 200_000
+#: Nodes with one prefix shingle beyond which they are first compared with some of them, and how many at least, by rounds.
+#: Rounds only spare the last join pairs, few against those that they spare: it finds what they leave.
+CROWDED, HEADS = 100, (4, 32)
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,9 +59,10 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
 
 
 def common_shingles(sets: DataFrame, rows: int, common: int = COMMON) -> np.ndarray:
-    """Shingles in over `common` documents or so, the least common first."""
+    """Shingles in over `common` different sets or so, the least common first."""
     part = min(16, max(1, rows // 10_000))
-    counts = sets.where(F.pmod(F.xxhash64("key"), F.lit(part)) == 0).select(F.explode("hashes").alias("hash")).groupBy("hash").count()
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(part)) == 0).groupBy("node").agg(F.first("hashes").alias("hashes"))
+    counts = some.select(F.explode("hashes").alias("hash")).groupBy("hash").count()
     many = counts.where(F.col("count") * part > common).orderBy(F.desc("count"), "hash").limit(MOST_COMMON).toArrow()
     return many.column("hash").to_numpy()[::-1].astype("i8")
 
@@ -108,14 +110,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Da
 
 
 def _possible(met: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """src, dst of those pairs a, b that may be similar; met holds a row for each prefix shingle that both have.
+    """src, dst of those pairs a, b that may be similar; met holds a row for each shingle that both have early enough.
 
-    Up to the last of these the sets share no others. And the prefix that ends first in the order holds no others at all.
+    Shared shingles before the last of these are among them, so both can share no more than these and what follows it.
     """
     up, down = similar
     each = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("pos_a").alias("i"), F.max("pos_b").alias("j"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    after = lambda n: F.floor((n * up + down - 1) / down) - 1
-    most = F.col("c") + F.least(F.col("n_a") - F.col("i") - 1, F.col("n_b") - F.col("j") - 1, F.greatest(after(F.col("n_a")), after(F.col("n_b"))))
+    most = F.col("c") + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j")) - 1
     return each.where(most * (up + down) >= (F.col("n_a") + F.col("n_b")) * up).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
 
 
@@ -138,7 +139,10 @@ def links(sets: DataFrame, rows: int, similar: tuple[int, int] = SIMILAR, common
     w = Window.partitionBy("hash")
     met = every.select("*", F.min("node").over(w).alias("low"), F.max("node").over(w).alias("high")).where("low <> high").select("node", "n", "hash", "pos").distinct()
     shared = materialise(met, "shared")
-    near = lambda a, b: (a * down >= b * up) & (b * down >= a * up)
+    near = (F.col("n_a") * down >= F.col("n_b") * up) & (F.col("n_b") * down >= F.col("n_a") * up)
+    # at its first shared shingle a similar pair has as many left on either side as it must share
+    least = F.floor(((F.col("n_a") + F.col("n_b")) * up + up + down - 1) / (up + down))
+    within = (F.col("pos_a") + least <= F.col("n_a")) & (F.col("pos_b") + least <= F.col("n_b"))
     found = simhash_links(sets, similar)
 
     def place(of: DataFrame) -> DataFrame:
@@ -148,21 +152,19 @@ def links(sets: DataFrame, rows: int, similar: tuple[int, int] = SIMILAR, common
         found = roots.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst"))
         return materialise(of.join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
 
-    hot = materialise(shared.groupBy("hash").count().where(F.col("count") > crowded).select("hash"), "crowds")
+    hot = materialise(shared.groupBy("hash").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > crowded), "crowds")
     crowd = hot.limit(1).count() > 0
-    crowds = materialise(shared.join(small(hot), "hash", "left_semi"), "crowded") if crowd else hot
-    for r in range(ROUNDS if crowd else 0):
+    crowds = materialise(shared.join(small(hot), "hash"), "crowded") if crowd else hot
+    for r, heads_each in enumerate(HEADS if crowd else ()):
         rows_of = place(crowds)
-        heads = rows_of.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64(F.lit(r), "node").alias("x"), "node", "n", "root")).alias("head")).where("low <> high").select("hash", "head")
+        one_in = F.pow(F.lit(2), F.floor(F.log2(F.greatest(F.col("size") / heads_each, F.lit(1.0))))).cast("bigint")  # so that shingles of one group have the same heads
+        heads = rows_of.where(F.pmod(F.xxhash64(F.lit(r), "node"), one_in) == 0).select("hash", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
         heads = materialise(heads, "heads")
-        if not heads.limit(1).count():
-            break
-        met = rows_of.join(small(heads), "hash").where((F.col("root") != F.col("head.root")) & near(F.col("n"), F.col("head.n")))
-        asked = materialise(met.select(F.least("node", "head.node").alias("src"), F.greatest("node", "head.node").alias("dst")).distinct(), "asked")
-        more = _verified(asked, sets, similar)
-        found = found.unionByName(more)
-        if more.count() * WORTH < asked.count():
+        met = rows_of.select("hash", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "root")]).join(small(heads), "hash").where((F.col("root_a") != F.col("root_b")) & near & within)
+        asked = materialise(met.select(F.least("node_a", "node_b").alias("src"), F.greatest("node_a", "node_b").alias("dst")).distinct(), "asked")
+        if not asked.limit(1).count():
             break
+        found = found.unionByName(_verified(asked, sets, similar))
     placed = place(shared)
     # One shuffle by shingle serves both sides: of a shingle's nodes those outside its largest component ask all others.
     dealt, at = placed.repartition(F.col("hash")), Window.partitionBy("hash")
@@ -170,7 +172,7 @@ def links(sets: DataFrame, rows: int, similar: tuple[int, int] = SIMILAR, common
     dealt = dealt.withColumns({"main": F.max(F.struct("size", "root")).over(at)["root"], "low": F.min("root").over(at), "high": F.max("root").over(at)}).where("low <> high")
     names = lambda x: [F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "root")]]
     ours, theirs = dealt.select("hash", "main", *names("a")).where("root_a <> main"), dealt.select("hash", *names("b"))
-    met = ours.join(theirs, "hash").where((F.col("root_a") != F.col("root_b")) & near(F.col("n_a"), F.col("n_b")) & ((F.col("a") < F.col("b")) | (F.col("root_b") == F.col("main"))))
+    met = ours.join(theirs, "hash").where((F.col("root_a") != F.col("root_b")) & near & within & ((F.col("a") < F.col("b")) | (F.col("root_b") == F.col("main"))))
     low = F.col("a") < F.col("b")  # a pair is seen from either side, as its shingles have different largest components
     of = lambda x, y: [F.when(low, F.col(f"{p}{x}")).otherwise(F.col(f"{p}{y}")).alias(f"{p}{x}") for p in ("", "n_", "pos_")]
     met = met.select(*of("a", "b"), *of("b", "a"))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerloom.llm import jaccard
@@ -60,6 +61,18 @@ def test_links_against_all_pairs(spark, common, crowded):
     assert found_groups(jaccard.near_copies(docs, common=common, crowded=crowded)) == want
 
 
+def test_rows_of_the_join_follow_the_documents(spark, monkeypatch):
+    """Documents of 14 words of their own and one passage that all hold (similarity 0.77): none meets another."""
+    met = []
+    possible = jaccard._possible
+    monkeypatch.setattr(jaccard, "_possible", lambda rows, similar: (met.append(rows.count()), possible(rows, similar))[1])
+    passage = " ".join(f"p{i}" for i in range(100))
+    for n in (150, 300):
+        docs = spark.range(n).select("id", F.concat(F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), F.col("id")) for i in range(14)]), F.lit(" " + passage)).alias("text")).withColumnRenamed("id", "doc_id")
+        assert jaccard.keep_one(docs).count() == n
+    assert met == [0, 0]
+
+
 def test_stage_finds_the_near_copies_of_a_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
