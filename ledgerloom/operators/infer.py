@@ -1,7 +1,7 @@
 """Schema inference for sheets: where the header is, which column holds what, and what kind of source it is.
 
-The search for the header row is a DataFrame operation over (source_id, row_idx, cells), so that any number of sheets is
-inspected at once. The few header cells of a sheet are then mapped by tables on the driver.
+infer_sources() does it for any number of sheets at once, as DataFrame operations over (source_id, row_idx, cells); inspect()
+does the same for the first rows of one sheet on the driver, for a preview of a file.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ ADDITIVE = ("partner_code", "address", "is_customer", "is_supplier", "status", "
 WHOLE_TITLE = {"doc_code", "is_customer", "is_supplier", "status"}
 #: Bare titles that fit as well: equal, as a first word, or as a last one.
 BARE = {"credit_amount": ("co", "credit"), "debit_amount": ("no", "debit")}
-#: Words that keep a title out of a slot.
+# Words that keep a title out of a slot.
 BARRED = {"bank_account": ("doi ung", "corresponsive"), "series": ("mau so",)}
 NOT_A_TOTAL = ("phi", "chiet khau", "giam gia", "chua thue")
 
@@ -165,7 +166,7 @@ def map_columns(columns: Sequence[str]) -> dict[str, str]:
     return found
 
 
-#: Evidence for a kind: points, slots that must be mapped (a tuple inside: any of them), words of the context (any of them).
+# Evidence for a kind, as points, slots that must be mapped (a tuple inside: any of them), words of the context (any of them).
 Evidence = tuple[int, tuple, tuple[str, ...]]
 EVIDENCE: dict[str, tuple[Evidence, ...]] = {
     "e_invoice": ((35, ("series",), ()), (30, ("template_code",), ()), (40, ("pretax_amount", "vat_amount"), ()), (20, (("buyer_tax_id", "seller_tax_id"),), ()), (25, (), ("hoa don", "einvoice"))),
@@ -224,3 +225,98 @@ def kind_score_frame(scores: DataFrame) -> DataFrame:
     kind = F.when((F.col("a") < LEAST) | close, "custom").otherwise(F.col("k"))
     confidence = F.when(F.col("a") < LEAST, 0.35).when(close, 0.45).otherwise(F.least(F.lit(0.99), F.greatest(F.lit(0.6), F.col("a") / 100)))
     return both.select("source_id", kind.alias("kind"), confidence.alias("confidence"))
+
+
+# ---- the same for any number of sheets, in Spark ----------------------------------------------------------------------
+
+
+def _any_of(text: Column, words: Sequence[str]) -> Column:
+    """Whether text has one of the words in it."""
+    return text.rlike("|".join(re.escape(w) for w in words)) if words else F.lit(False)
+
+
+def _fitting(slots: Sequence[str], title: Column) -> Column:
+    """Those of the slots that a title fits, in their order: the DataFrame form of _fits()."""
+
+    def fits(slot: str) -> Column:
+        known = _known(slot)
+        ok = title.isin(*known) if slot in WHOLE_TITLE else _any_of(title, known)
+        if slot in BARE:
+            first, last = BARE[slot]
+            ok = ok | title.isin(first, last) | title.startswith(first + " ") | title.endswith(" " + last)
+        if slot in ("total_amount", "total_generic"):
+            ok = ok & ~_any_of(title, NOT_A_TOTAL) & ~(title.contains("thue") & ~title.contains("sau thue"))
+        return ok & ~_any_of(title, BARRED[slot]) if slot in BARRED else ok
+
+    return F.array_compact(F.array(*[F.when(fits(s), F.lit(s)) for s in slots]))
+
+
+def _with(found: Column, slots: Column, column: Column) -> Column:
+    return F.map_concat(found, F.map_from_arrays(slots, F.transform(slots, lambda _: column)))
+
+
+def _exclusive(found: Column, c: Column) -> Column:
+    """A column takes the first open slot that it fits; a document code's column takes nothing else, filled or not."""
+    slot = F.get(F.filter(c["exclusive"], lambda s: (s == "doc_code") | ~F.map_contains_key(found, s)), F.lit(0))
+    refused = slot.isNull() | ((slot == "doc_code") & F.map_contains_key(found, "doc_code")) | ((slot == "doc_no") & c["title"].rlike("^(ma ct|ma chung tu)"))
+    also = F.when((slot == "buyer_tax_id") & ~F.map_contains_key(found, "partner_tax_id"), F.array(slot, F.lit("partner_tax_id"))).otherwise(F.array(slot))
+    return F.when(refused, found).otherwise(_with(found, also, c["column"]))
+
+
+def _additive(found: Column, c: Column) -> Column:
+    """A column takes every open slot of the second list that it fits, and what goes with these."""
+    has = lambda s: F.map_contains_key(found, s)
+    names_product = F.coalesce(found["product_name"] == c["column"], F.array_contains(c["additive"], "product_name"))
+    open_ = F.filter(c["additive"], lambda s: ~has(s) & ~((s == "product_code") & names_product))
+    goes_with = (("voucher_no", F.array_contains(open_, "transaction_number")), ("pretax_amount", F.array_contains(open_, "revenue")), ("vat_amount", c["title"] == "thue"), ("total_amount", c["title"] == "phai thu"))
+    more = F.array_compact(F.array(*[F.when(when & ~has(s), F.lit(s)) for s, when in goes_with]))
+    return _with(found, F.concat(open_, more), c["column"])
+
+
+def map_headers(headers: DataFrame) -> DataFrame:
+    """source_id, row_idx, columns, mapping (slot -> column title) from header rows: an ordered fold over each row's columns."""
+    title = F.posexplode_outer(F.zip_with(column_names(F.col("cells")), F.col("cells"), lambda name, _: F.struct(name.alias("column"), S.token(name).alias("title"))))
+    each = headers.select("source_id", "row_idx", title.alias("at", "c")).select("source_id", "row_idx", "at", "c.*")
+    additive = _fitting(ADDITIVE, F.col("title"))
+    additive = F.when((F.col("title") == "tien") & ~F.array_contains(additive, "revenue"), F.array_append(additive, "revenue")).otherwise(additive)
+    fitted = each.select("source_id", "row_idx", F.when(F.col("at").isNotNull(), F.struct("at", "column", "title", _fitting(EXCLUSIVE, F.col("title")).alias("exclusive"), additive.alias("additive"), (F.size(_fitting(("total_generic",), F.col("title"))) > 0).alias("generic"))).alias("c"))
+    rows = fitted.groupBy("source_id", "row_idx").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    none = F.create_map().cast("map<string,string>")
+    rows = rows.withColumn("mapping", F.reduce("cs", none, _exclusive)).withColumn("mapping", F.reduce("cs", F.col("mapping"), _additive))
+    generic = F.get(F.filter("cs", lambda c: c["generic"]), F.lit(0))["column"]
+    whole = F.when(F.map_contains_key("mapping", "total_amount") | generic.isNull(), F.col("mapping")).otherwise(F.map_concat("mapping", F.create_map(F.lit("total_amount"), generic)))
+    return rows.select("source_id", "row_idx", F.transform("cs", lambda c: c["column"]).alias("columns"), whole.alias("mapping"))
+
+
+def kind_points(mapping: Column, text: Column, titles: Column) -> Column:
+    """Array of (less, ord, kind), the best first; less is minus the points. text and titles as token() gives them."""
+
+    def met(slots: tuple, words: tuple[str, ...]) -> Column:
+        ok = F.lit(True)
+        for s in slots:
+            ok = ok & reduce(lambda a, b: a | b, [F.map_contains_key(mapping, x) for x in (s if isinstance(s, tuple) else (s,))])
+        said = [titles.contains(w[8:]) if w.startswith("columns:") else text.contains(w) for w in words]
+        return ok & reduce(lambda a, b: a | b, said) if said else ok
+
+    points = [reduce(lambda a, b: a + b, [F.when(met(slots, words), F.lit(p)).otherwise(F.lit(0)) for p, slots, words in evidence]) for evidence in EVIDENCE.values()]
+    return F.array_sort(F.array(*[F.struct((-p).alias("less"), F.lit(i).alias("ord"), F.lit(k).alias("kind")) for i, (k, p) in enumerate(zip(EVIDENCE, points, strict=True))]))
+
+
+def infer_sources(sheets: DataFrame, context: str | None = None) -> DataFrame:
+    """source_id, header_row and data_start_row (from 1), columns, mapping, kind, confidence of every sheet.
+
+    sheets: source_id, row_idx, cells and, if context names it, a column with each sheet's title. A sheet's first SCAN_ROWS
+    rows are looked at; one group holds a sheet's header, another the texts above it. Unclear evidence is nobody's kind.
+    """
+    mapped = map_headers(header_rows(sheets))
+    first = sheets.where(F.col("row_idx") < SCAN_ROWS).join(mapped.select("source_id", F.col("row_idx").alias("header")), "source_id").where(F.col("row_idx") < F.col("header"))
+    line = F.concat_ws(" ", F.transform(F.filter("cells", lambda c: F.trim(c) != ""), F.lower))
+    above = first.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", line.alias("line")))), lambda x: x["line"]), " ").alias("above"))
+    named = sheets.groupBy("source_id").agg(F.lower(F.first(context)).alias("named")) if context else mapped.select("source_id", F.lit("").alias("named"))
+    text = S.token(F.concat_ws(" ", F.coalesce("named", F.lit("")), F.coalesce("above", F.lit(""))))
+    rows = mapped.join(above, "source_id", "left").join(named, "source_id").withColumn("points", kind_points(F.col("mapping"), text, S.token(F.array_join("columns", " "))))
+    best, second = -F.get("points", F.lit(0))["less"], -F.get("points", F.lit(1))["less"]
+    close = (second >= LEAST) & (best - second < MARGIN)
+    kind = F.when((best < LEAST) | close, "custom").otherwise(F.get("points", F.lit(0))["kind"])
+    confidence = F.when(best < LEAST, 0.35).when(close, 0.45).otherwise(F.least(F.lit(0.99), F.greatest(F.lit(0.6), best / 100)))
+    return rows.select("source_id", (F.col("row_idx") + 1).cast("int").alias("header_row"), (F.col("row_idx") + 2).cast("int").alias("data_start_row"), "columns", "mapping", kind.alias("kind"), confidence.alias("confidence"))

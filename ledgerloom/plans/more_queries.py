@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
-from ledgerloom.operators import controls, intake, matching, messages, normalize, report, sessions
+from ledgerloom.operators import controls, infer, intake, matching, messages, normalize, report, sessions
 from ledgerloom.plans import queries as base
 from ledgerloom.plans import views
 from ledgerloom.plans.model import MONEY, SCENARIOS, Session, Source
@@ -325,3 +325,34 @@ def contended_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = SCENARIOS["scenario_revenue_standard"].session("hot", (base.INVOICE, base.LEDGER_511))
     frames = matching.reconcile(session, {"inv": views.spark_sql(spark, sf_dir, HOT_INVOICES), "led": views.spark_sql(spark, sf_dir, HOT_LEDGER)})
     return frames.groups.where("primary_id IS NOT NULL").select(F.col("primary_id").alias("id"), "status")
+
+
+# ---- kinds and columns of sheets --------------------------------------------------------------------------------------
+
+#: Title, columns, and what they must be taken for: the kind, its confidence, and slot:column (from 1).
+LAYOUTS = (
+    ("Hóa đơn bán ra", ("Ký hiệu mẫu số", "Ký hiệu hóa đơn", "Số hóa đơn", "Ngày lập", "MST người bán", "MST người mua", "Tổng tiền chưa thuế", "Tổng tiền thuế", "Tổng tiền thanh toán"), "e_invoice", 0.99, "buyer_tax_id:6;date:4;doc_no:3;partner_tax_id:6;pretax_amount:7;seller_tax_id:5;series:2;template_code:1;total_amount:9;vat_amount:8"),
+    ("Bảng kê", ("Ngày ct", "Mã ct", "Số ct", "Mã khách", "Tên khách hàng", "Tiền", "Thuế", "Phải thu"), "sales_register", 0.85, "date:1;doc_code:2;doc_no:3;partner_code:4;partner_name:5;pretax_amount:6;revenue:6;total_amount:8;vat_amount:7;vat_rate:7"),
+    ("Danh mục khách hàng", ("Mã khách/ncc", "Tên khách hàng/ncc", "Mã số thuế", "Địa chỉ", "Khách hàng", "Nhà cung cấp", "Trạng thái"), "partner_master", 0.9, "address:4;is_customer:5;is_supplier:6;partner_code:1;partner_name:2;partner_tax_id:3;status:7"),
+    ("Sổ chi tiết 112", ("Phát sinh nợ", "Phát sinh có", "Ngày ct", "Số ct"), "ledger112", 0.8, "credit_amount:2;date:3;debit_amount:1;doc_no:4"),
+    ("Sao kê ngân hàng", ("Số tài khoản", "Số giao dịch", "Ngày hạch toán", "Nợ", "Có", "Số dư"), "bank_statement", 0.99, "accounting_date:3;balance:6;bank_account:1;credit_amount:5;debit_amount:4;transaction_number:2;voucher_no:2"),
+    ("Sổ khác", ("Tên mặt hàng", "Ghi chú", "Số lượng"), "custom", 0.35, "product_name:1;quantity:3"),
+)
+
+
+@register(f"""SELECT 'c' || c_custkey AS source_id, CAST(c_custkey % 4 + 2 AS INT) AS header_row, kind, CAST(confidence AS DOUBLE) AS confidence, mapping
+FROM customer JOIN (VALUES {", ".join(f"({i}, '{k}', {c}, '{m}')" for i, (_, _, k, c, m) in enumerate(LAYOUTS))}) t(layout, kind, confidence, mapping) ON layout = c_custkey // 4 % {len(LAYOUTS)}""")
+def infer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet for each customer: blank rows, a title, columns in small or capital letters and padded, and a row with the customer's values."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("source_id"), "c_custkey", "c_name", F.col("c_acctbal").cast("string").alias("c_acctbal"))
+    layout, at = (F.floor(F.col("c_custkey") / 4) % len(LAYOUTS)).cast("int"), F.col("c_custkey") % 4
+    dealt = F.get(F.array(*[F.struct(F.lit(title).alias("title"), F.array(*map(F.lit, columns)).alias("columns")) for title, columns, *_ in LAYOUTS]), layout)
+    c = c.withColumn("layout", dealt).withColumn("at", at)
+    loud = F.when(F.col("c_custkey") % 3 == 0, F.transform("layout.columns", lambda x: F.concat(F.lit("  "), F.upper(x), F.lit(" ")))).otherwise(F.col("layout.columns"))
+    values = F.transform("layout.columns", lambda _, i: F.when(i == 0, F.col("c_name")).otherwise(F.col("c_acctbal")))
+    blank = F.transform(F.sequence(F.lit(1), F.col("at")), lambda _: F.array(F.lit(""), F.lit(" ")))
+    rows = F.concat(F.when(F.col("at") > 0, blank).otherwise(F.array().cast("array<array<string>>")), F.array(F.array("layout.title"), loud, values, values))
+    sheets = c.select("source_id", F.posexplode(rows).alias("row_idx", "cells"))
+    out = infer.infer_sources(sheets)
+    slots = F.array_sort(F.transform(F.map_entries("mapping"), lambda e: F.concat(e["key"], F.lit(":"), F.array_position(F.col("columns"), e["value"]).cast("string"))))
+    return out.select("source_id", "header_row", "kind", "confidence", F.array_join(slots, ";").alias("mapping"))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from ledgerloom.operators import controls, infer, intake, normalize, report
@@ -86,3 +88,27 @@ def test_report_workbook(spark, tmp_path):
     assert [r[0] for r in xlsx.sheet_rows(content, "Sai lech & Can chu y")] == ["group_id", "grp_match_b"]
     assert len(list(xlsx.sheet_rows(content, "Chi tiet tat ca"))) == 3
     assert report.search(frames.groups, text="GRP_MATCH_A").count() == 1 and report.documents(frames).count() == 2
+
+
+def test_any_number_of_sheets_as_one_by_one(spark):
+    rng = random.Random(1)
+    words = [w for known in infer.KEYWORDS.values() for w in known]
+    odd = ["STT", "tien", "thue", "phai thu", "ma ct", "no", "co", "x no", "co x", "", "ghi chú", "tổng tiền thuế", "mẫu số", "%"]
+
+    def title():
+        t = rng.choice(words) if rng.random() < 0.85 else rng.choice(odd)
+        t = "".join({"a": "ấ", "o": "ọ", "e": "é", "d": "đ", "u": "ứ"}.get(c, c) if rng.random() < 0.3 else c for c in t)
+        return rng.choice([t, t.upper(), f" {t} ", t.title(), t + " (VND)"])
+
+    sheets = {}
+    for i in range(120):
+        rows = [rng.choice([[], ["Sổ chi tiết " + rng.choice(["511", "3331", "112", "131 phải thu", "quỹ tiền mặt", "chi nhánh", "ngân hàng"])], ["Danh mục", "khách hàng"], ["", "x"]]) for _ in range(rng.randint(0, 4))]
+        rows += [[title() for _ in range(rng.randint(1, 12))]] + [[str(rng.randint(1, 99)) for _ in range(5)]] * 3
+        sheets[f"s{i}"] = rows, rng.choice(["", "Sheet1", "Sổ 511", "Hóa đơn", "Sao kê"])
+    df = spark.createDataFrame([(k, i, r, name) for k, (rows, name) in sheets.items() for i, r in enumerate(rows)], "source_id string, row_idx bigint, cells array<string>, name string")
+    got = {r.source_id: r for r in infer.infer_sources(df, "name").collect()}
+    assert len(got) == len(sheets) and len({r.kind for r in got.values()}) > 5
+    for k, (rows, name) in sheets.items():
+        want = infer.inspect(rows, name)
+        assert {c: round(got[k][c], 6) if c == "confidence" else got[k][c] for c in want} == {c: round(v, 6) if c == "confidence" else v for c, v in want.items()}
+    assert infer.infer_sources(df.limit(0)).collect() == []
