@@ -20,7 +20,7 @@ rows: one stays. Empty table: no rows. Extra columns are carried along, whatever
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import BROADCAST_ROWS, keep_first, materialise, row_key, settle, slices, small
+from ledgerloom.llm.common import keep_first, materialise, row_key, settle, slices, small
 from ledgerloom.llm.simhash import components, fingerprint_of, shingle_hashes
 from ledgerloom.llm.simhash import links as fingerprint_links
 
@@ -42,66 +42,82 @@ COMMON, MOST_COMMON = 10, 200_000
 CROWDED, HEADS = 100, (4, 32)
 
 
-def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (of the row), node (a hash of the set), n, fp (its SimHash), hashes (the set, ascending) of every row."""
+def _set_of(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle).view("i8"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [np.unique(shingle_hashes(t, shingle).view("i8")) for t in batch.column(2).to_pylist()]
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], "u8").view("i8")
-            sizes = np.array([len(s) for s in sets], "i4")
-            fps = np.array([fingerprint_of(s) for s in sets], "u8").view("i8")
-            hashes = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype("i4")), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(sizes), pa.array(fps), hashes], ["doc_id", "key", "node", "n", "fp", "hashes"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, key binary, node bigint, n int, fp bigint, hashes array<bigint>")
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
 
 
-def common_shingles(sets: DataFrame, rows: int, common: int = COMMON) -> np.ndarray:
-    """Shingles in over `common` different sets or so, the least common first."""
+def common_shingles(docs: DataFrame, rows: int, shingle: int = SHINGLE, common: int = COMMON, text_col: str = "text") -> np.ndarray:
+    """Shingles in over `common` different texts or so, the least common first."""
     part = min(16, max(1, rows // 10_000))
-    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(part)) == 0).groupBy("node").agg(F.first("hashes").alias("hashes"))
-    counts = some.select(F.explode("hashes").alias("hash")).groupBy("hash").count()
-    many = counts.where(F.col("count") * part > common).orderBy(F.desc("count"), "hash").limit(MOST_COMMON).toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_set_of(t, shingle) for t in batch.column(0).to_pylist()]))], ["hash"])
+
+    some = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).distinct()
+    counts = some.mapInArrow(run, "hash bigint").groupBy("hash").count()
+    many = counts.where((F.col("count") * part > common) & (F.col("count") >= min(part, 2))).orderBy(F.desc("count"), "hash").limit(MOST_COMMON).toArrow()
     return many.column("hash").to_numpy()[::-1].astype("i8")
 
 
-def prefixes(sets: DataFrame, last: np.ndarray, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """node, n, hash, pos (from 0): the shingles of each set of which a similar set holds one in its own prefix."""
+def shingle_sets(docs: DataFrame, last: np.ndarray, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key (of the row), node (a hash of the set), n, fp (its SimHash), prefix of every row: the shingles, in the
+    order that has those of `last` last, of which a similar set holds one in its own prefix. The whole sets aren't kept."""
     up, down = similar
     by = np.argsort(last)
     known, rank = last[by], by.astype("i4")
 
+    def prefix(h: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+        late = known[at] == h if len(known) else np.zeros(len(h), bool)
+        ordered = np.concatenate([h[~late], h[late][np.argsort(rank[at[late]])]]) if late.any() else h
+        return ordered[: len(h) + (-up * len(h) // down) + 1 if len(h) else 0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            lists = batch.column(2)
-            flat, ends = lists.flatten().to_numpy(), np.r_[0, np.cumsum(batch.column(1).to_numpy())]
-            at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
-            common = known[at] == flat if len(known) else np.zeros(len(flat), bool)
-            out = []
-            for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                h, c, k = flat[s:e], common[s:e], (e - s) + (-up * (e - s) // down) + 1 if e > s else 0
-                if c.any():
-                    hot = np.flatnonzero(c)
-                    h = np.concatenate([h[~c], h[hot[np.argsort(rank[at[s:e][hot]])]]])
-                out.append(h[:k])
-            counts = np.array([len(h) for h in out])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), counts)), pa.array(np.repeat(batch.column(1).to_numpy(), counts)), pa.array(np.concatenate(out)), pa.array(np.concatenate([np.arange(c, dtype="i4") for c in counts]))], ["node", "n", "hash", "pos"])
-
-    return sets.select("node", "n", "hashes").mapInArrow(run, "node bigint, n int, hash bigint, pos int")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+            sets = [_set_of(t, shingle) for t in batch.column(2).to_pylist()]
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], "u8").view("i8")
+            fps = np.array([fingerprint_of(s) for s in sets], "u8").view("i8")
+            heads = [prefix(s) for s in sets]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(h) for h in heads])].astype("i4")), pa.array(np.concatenate(heads)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(s) for s in sets], "int32"), pa.array(fps), lists], ["doc_id", "key", "node", "n", "fp", "prefix"])
+
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, key binary, node bigint, n int, fp bigint, prefix array<bigint>")
+
+
+#: Whole sets (node, hashes) of the nodes asked for (node, distinct).
+Whole = Callable[[DataFrame], DataFrame]
+
+
+def whole_sets(docs: DataFrame, rows: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> Whole:
+    """Sets are made again from one text of each node that is asked for: far fewer than there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [_set_of(t, shingle) for t in batch.column(1).to_pylist()]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype("i4")), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "hashes"])
+
+    def of(asked: DataFrame) -> DataFrame:
+        keys = materialise(rows.join(small(asked), "node").groupBy("node").agg(F.min("key").alias("key")), "asked")
+        texts = _keyed(docs, id_col, text_col).join(small(keys), "key").select("node", "text").dropDuplicates(["node"])
+        return texts.mapInArrow(run, "node bigint, hashes array<bigint>")
+
+    return of
+
+
+def _verified(pairs: DataFrame, whole: Whole, similar: tuple[int, int]) -> DataFrame:
     """src, dst of those pairs (src, dst; materialised) whose sets are similar."""
-    n = pairs.count()
-    if not n:
+    if not pairs.limit(1).count():
         return pairs
 
     def build() -> DataFrame:
-        asked = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        held = sets.join(F.broadcast(asked) if 2 * n <= BROADCAST_ROWS else asked, "node", "left_semi")
-        held = materialise(held.select("node", "hashes").dropDuplicates(["node"]), "held")
+        asked = materialise(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
+        held = materialise(whole(asked), "held")
         both = pairs.join(held.select(F.col("node").alias("src"), F.col("hashes").alias("a")), "src").join(held.select(F.col("node").alias("dst"), F.col("hashes").alias("b")), "dst")
         shared = F.size(F.array_intersect("a", "b"))
         return both.where(shared * similar[1] >= (F.size("a") + F.size("b") - shared) * similar[0]).select("src", "dst")
@@ -120,7 +136,7 @@ def _possible(met: DataFrame, similar: tuple[int, int]) -> DataFrame:
     return each.where(most * (up + down) >= (F.col("n_a") + F.col("n_b")) * up).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
 
 
-def simhash_links(sets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+def simhash_links(sets: DataFrame, whole: Whole, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """src, dst: similar nodes that multi-index hashing of their fingerprints finds. One node stands for a fingerprint; the
     others that have it are compared with that one."""
     nodes = materialise(sets.select("node", "fp").distinct(), "fingerprints")
@@ -129,13 +145,13 @@ def simhash_links(sets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFr
     far = fingerprint_links(heads.select("fp")).join(head("src", "a"), "src").join(head("dst", "b"), "dst").select("a", "b")
     same = nodes.join(heads.where("n > 1"), "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     pairs = far.unionByName(same).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-    return _verified(materialise(pairs, "pairs"), sets, similar)
+    return _verified(materialise(pairs, "pairs"), whole, similar)
 
 
-def links(sets: DataFrame, rows: int, similar: tuple[int, int] = SIMILAR, common: int = COMMON, crowded: int = CROWDED) -> DataFrame:
+def links(sets: DataFrame, whole: Whole, similar: tuple[int, int] = SIMILAR, crowded: int = CROWDED) -> DataFrame:
     """src, dst: links that join the same components as all pairs of similar nodes do."""
     up, down = similar
-    every = prefixes(sets, common_shingles(sets, rows, common), similar)
+    every = sets.select("node", "n", F.posexplode("prefix").alias("pos", "hash"))
     w = Window.partitionBy("hash")
     met = every.select("*", F.min("node").over(w).alias("low"), F.max("node").over(w).alias("high")).where("low <> high").select("node", "n", "hash", "pos").distinct()
     shared = materialise(met, "shared")
@@ -143,7 +159,7 @@ def links(sets: DataFrame, rows: int, similar: tuple[int, int] = SIMILAR, common
     # at its first shared shingle a similar pair has as many left on either side as it must share
     least = F.floor(((F.col("n_a") + F.col("n_b")) * up + up + down - 1) / (up + down))
     within = (F.col("pos_a") + least <= F.col("n_a")) & (F.col("pos_b") + least <= F.col("n_b"))
-    found = simhash_links(sets, similar)
+    found = simhash_links(sets, whole, similar)
 
     def place(of: DataFrame) -> DataFrame:
         """of, with each node's root so far. found becomes a link from each node to its root, which joins the same."""
@@ -164,7 +180,7 @@ def links(sets: DataFrame, rows: int, similar: tuple[int, int] = SIMILAR, common
         asked = materialise(met.select(F.least("node_a", "node_b").alias("src"), F.greatest("node_a", "node_b").alias("dst")).distinct(), "asked")
         if not asked.limit(1).count():
             break
-        found = found.unionByName(_verified(asked, sets, similar))
+        found = found.unionByName(_verified(asked, whole, similar))
     placed = place(shared)
     # One shuffle by shingle serves both sides: of a shingle's nodes those outside its largest component ask all others.
     dealt, at = placed.repartition(F.col("hash")), Window.partitionBy("hash")
@@ -176,14 +192,16 @@ def links(sets: DataFrame, rows: int, similar: tuple[int, int] = SIMILAR, common
     low = F.col("a") < F.col("b")  # a pair is seen from either side, as its shingles have different largest components
     of = lambda x, y: [F.when(low, F.col(f"{p}{x}")).otherwise(F.col(f"{p}{y}")).alias(f"{p}{x}") for p in ("", "n_", "pos_")]
     met = met.select(*of("a", "b"), *of("b", "a"))
-    return found.unionByName(_verified(materialise(_possible(met, similar), "pairs"), sets, similar))
+    return found.unionByName(_verified(materialise(_possible(met, similar), "pairs"), whole, similar))
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, **options) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, common: int = COMMON, crowded: int = CROWDED) -> DataFrame:
     """doc_id, key (see row_key), root (the same for all rows that links join)."""
-    sets = materialise(shingle_sets(docs, shingle), "shingle-sets")
-    roots = settle(lambda: components(links(sets, sets.count(), similar, **options)), "roots")
-    return sets.select("doc_id", "key", "node").join(small(roots), "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
+    last = common_shingles(docs, docs.count(), shingle, common)
+    sets = materialise(shingle_sets(docs, last, shingle, similar), "shingle-sets")
+    rows = sets.select("doc_id", "key", "node")
+    roots = settle(lambda: components(links(sets, whole_sets(docs, rows, shingle), similar, crowded)), "roots")
+    return rows.join(small(roots), "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, **options) -> DataFrame:
