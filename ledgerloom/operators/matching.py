@@ -486,7 +486,15 @@ class Matcher:
         status = F.when(F.col("bare") | (F.coalesce("review", F.lit(0)) == 1), "NEEDS_REVIEW").otherwise("UNMATCHED_MISSING_IN_TARGET")
         groups = joined.select("p_id", status.alias("status"), *[F.coalesce(x, _zero()).alias(x) for x in BUCKETS], _zero().alias("total_target_amount"), "first_expected")
         none = F.lit(None).cast("string")
-        details = joined.select("p_id", F.lit(-1).alias("control"), F.lit("docNo").alias("field_name"), none.alias("source_value"), none.alias("target_value"), F.col("shown").cast(MONEY).alias("amount_diff"))
+        why = F.struct(F.lit("docNo").alias("field_name"), F.coalesce("doc_no", "partner_tax_id").alias("source_value"), F.col("shown").cast(MONEY).alias("amount_diff"), messages.left_over(F.col("doc_no"), F.col("bare")).alias("message"))
+        for c in self.controls:  # a field that a rule can't read says more, the last rule's the most
+            if c.rule is not None:
+                error = F.col(f"error{c.order}")
+                text = messages.field_error(error, messages.PRIMARY_FIELD, messages.PRIMARY_RULE, c.rule.primary_field, c.rule.name)
+                why = F.when(error.isNotNull(), F.struct(F.lit(c.rule.primary_field).alias("field_name"), none.alias("source_value"), F.lit(None).cast(MONEY).alias("amount_diff"), text.alias("message"))).otherwise(why)
+        errors = [rule_amount(c.rule.primary_field)[1].cast("string").alias(f"error{c.order}") for c in self.controls if c.rule is not None]
+        told = p.select(F.col("id").alias("p_id"), bare.alias("bare"), "doc_no", "partner_tax_id", F.coalesce("pretax_amount", "total_amount").alias("shown"), *errors).select("p_id", why.alias("why"))
+        details = told.select("p_id", F.lit(-1).alias("control"), "why.field_name", "why.source_value", none.alias("target_value"), "why.amount_diff", "why.message")
         return groups, rows, self._no_links(), details
 
     def sweep_secondaries(self, taken: DataFrame, reviewed: DataFrame) -> DataFrame:
@@ -503,6 +511,25 @@ class Matcher:
             parts.append(rest.select(F.concat(F.lit("grp_missing_source_"), "id").alias("group_id"), F.when(error.isNotNull(), "NEEDS_REVIEW").otherwise("UNMATCHED_MISSING_IN_SOURCE").alias("status"), F.coalesce("doc_no", "voucher_no").alias("doc_no"), "series", "date", "partner_name", F.lit(None).cast("string").alias("primary_id"), F.col("id").alias("secondary_id"), F.lit(source.id).alias("source_id"), *[(minus if b == bucket else _zero()).alias(b) for b in BUCKETS], _zero().alias("total_source_amount"), value.alias("total_target_amount"), minus.alias("amount_variance")))
         return reduce(DataFrame.unionByName, parts)
 
+    def residual_details(self, groups: DataFrame) -> DataFrame:
+        """What there is to say of each residual group: that no primary has the document, and why its amount can't be read."""
+        none = F.lit(None).cast("string")
+        parts = []
+        for i, source in enumerate(self.sources):
+            rule = next((c.rule for c in self.controls if c.source_order == i), None)
+            mine = groups.where(F.col("primary_id").isNull() & (F.col("source_id") == source.id))
+            row = lambda field, target, diff, message: F.struct(F.lit(field).alias("field_name"), none.alias("source_value"), target.alias("target_value"), diff.cast(MONEY).alias("amount_diff"), message.alias("message"))
+            if rule is None:
+                field, message = "rule", F.lit(messages.NO_RULE % source.title)
+            else:
+                code = F.lit("FIELD_VALUE_MISSING" if rule.secondary_field in RULE_FIELDS else "UNSUPPORTED_RULE_FIELD")
+                field, message = rule.secondary_field, messages.field_error(code, messages.SECONDARY_FIELD, messages.SECONDARY_RULE, rule.secondary_field, rule.name)
+            unread = F.when(F.col("status") == "NEEDS_REVIEW", row(field, none, F.lit(None), message))
+            number = F.coalesce("doc_no", F.lit(messages.NO_NUMBER))
+            alone = row("docNo", number, F.col("total_target_amount"), messages.only_secondary(F.col("doc_no"), F.col("total_target_amount"), source.title))
+            parts.append(mine.select("group_id", F.lit(-1).alias("control"), F.explode(F.array_compact(F.array(unread, alone))).alias("d")).select("group_id", "control", "d.*"))
+        return reduce(DataFrame.unionByName, parts)
+
     # ---- everything -------------------------------------------------------------------------------------------
 
     def run(self) -> Frames:
@@ -521,7 +548,8 @@ class Matcher:
             swept = self.sweep_primaries(rest.join(groups_two.select(F.col("p_id").alias("id")), "id", "left_anti"))
             stages += [("grp_fallback_", (groups_two, *two[1:])), ("grp_unmatched_prim_", swept)]
         named = lambda df, name: df.withColumn("group_id", F.concat(F.lit(name), F.col("p_id")))
-        merged = [reduce(DataFrame.unionByName, [named(x[i], n) for n, x in stages]) for i in range(4)]
+        merged = [reduce(lambda a, b: a.unionByName(b, allowMissingColumns=i == 3), [named(x[i], n) for n, x in stages]) for i in range(4)]  # noqa: B023
+        merged[3] = merged[3] if "message" in merged[3].columns else merged[3].withColumn("message", F.lit(None).cast("string"))
         heads = merged[0].unionByName(named(gate, "grp_lifecycle_review_"))
         shown = F.coalesce("pretax_amount", "total_amount", _zero())
         single = F.lit(len(self.sources) == 1)
@@ -537,14 +565,14 @@ class Matcher:
         lost = F.col("field_name") == "NOT_FOUND"
         numbers = self.p.where("doc_key IS NOT NULL").select(F.col("id").alias("p_id"), "doc_key", "series_key")
         absent = merged[3].where(lost).join(numbers, "p_id", "left").withColumn("source_value", messages.with_series(F.col("doc_key"), F.col("series_key")))
-        details = merged[3].where(~lost).select(*lifecycle.columns).unionByName(lifecycle)
+        details = merged[3].where(~lost).select(*lifecycle.columns, "message").unionByName(lifecycle, allowMissingColumns=True)
         settings = [(F.lit(c.tolerance).cast(MONEY), F.lit(c.days)) for c in self.controls]
         tolerance, days = (messages.by_control(F.col("control"), [x[i] for x in settings]) for i in (0, 1))
-        details = details.withColumn("message", messages.of_detail(F.col("field_name"), F.col("source_value"), F.col("target_value"), tolerance, days))
+        details = details.withColumn("message", F.coalesce("message", messages.of_detail(F.col("field_name"), F.col("source_value"), F.col("target_value"), tolerance, days)))
         counts = [self.sizes[0], sum(self.sizes[1:])]
         title = messages.by_control(F.col("control"), [F.lit(c.source.title) for c in self.controls])
         absent = absent.withColumn("message", messages.not_found(F.col("doc_key"), title, self.session.is_tri_source))
-        details = details.unionByName(absent.select(*details.columns))
+        details = details.unionByName(absent.select(*details.columns)).unionByName(self.residual_details(groups))
         return Frames(groups, merged[1].where("compared").drop("p_id", "added", "flag", "matched", "compared"), links.drop("p_id", "review").distinct(), details, summary(groups, *counts))
 
     def _reviewed(self, links: DataFrame, heads: DataFrame) -> DataFrame:

@@ -18,6 +18,15 @@ DATE = "Lệch ngày lập/chứng từ: %s ngày (vượt ngưỡng cho phép %
 NOT_FOUND = "Chứng từ #%s không tìm thấy trong nguồn %s"
 NOT_FOUND_OF_THREE = "HIGH: chứng từ #%s không tìm thấy trong nguồn %s của kiểm soát ba nguồn"
 SERIES = "%s (Ký hiệu %s)"
+PRIMARY_BARE = "Bản ghi nguồn chính thiếu cả số chứng từ và MST - không đủ dữ kiện để đối chiếu tự động"
+PRIMARY_LOST = "Chứng từ %s không tìm thấy bản ghi tương ứng trong các nguồn đối chiếu"
+PRIMARY_FIELD = "Nguồn chính thiếu giá trị trường '%s' được định nghĩa trong quy tắc '%s'"
+PRIMARY_RULE = "Quy tắc '%s' chứa trường '%s' không được hỗ trợ"
+ONLY_SECONDARY = "Chứng từ #%s (%s) đ tồn tại trong %s nhưng không có trong nguồn chính"
+SECONDARY_FIELD = "Bản ghi phụ thiếu giá trị trường '%s' theo quy tắc '%s'"
+SECONDARY_RULE = "Quy tắc '%s' chứa trường phụ '%s' không được hỗ trợ"
+NO_RULE = "Không tìm thấy quy tắc đối chiếu cho nguồn phụ '%s' (UNSUPPORTED_RECONCILIATION_RULE)"
+NO_NUMBER = "N/A"
 MISSING = "Thiếu %s: %s"
 MISSING_SOURCE = "Chứng từ phát sinh bên đối chiếu nhưng thiếu bên nguồn chính (%s)."
 DUPLICATE = "Nghi ngờ trùng lặp chứng từ trong nguồn dữ liệu."
@@ -65,6 +74,20 @@ def of_detail(field: Column, source: Column, target: Column, tolerance: Column,
     return F.when((field == "amount") & some, amount_message(a, b, tolerance)).when((field == "partnerTaxId") & some, _text(TAX, source, target)).when((field == "date") & some, date_message(source, target, days))
 
 
+def left_over(number: Column, bare: Column) -> Column:
+    """A primary that no pass has placed; bare: it has neither a number nor a tax number."""
+    return F.when(bare, F.lit(PRIMARY_BARE)).otherwise(_text(PRIMARY_LOST, F.coalesce(number, F.lit(NO_NUMBER))))
+
+
+def field_error(error: Column, missing: str, unknown: str, field: str, rule: str) -> Column:
+    """A rule's field that a record lacks, or that isn't known; null without an error. The patterns have %s for both, in their own order."""
+    return F.when(error == "FIELD_VALUE_MISSING", F.lit(missing % (field, rule))).when(error == "UNSUPPORTED_RULE_FIELD", F.lit(unknown % (rule, field)))
+
+
+def only_secondary(number: Column, amount: Column, source: str) -> Column:
+    return _text(ONLY_SECONDARY, F.coalesce(number, F.lit(NO_NUMBER)), S.grouped_amount(amount), F.lit(source))
+
+
 def not_found(number: Column, source: Column, of_three: bool) -> Column:
     """A document that a secondary source lacks; marked HIGH where invoice, register and ledger are held together. Null without a number."""
     return F.when(number.isNotNull(), _text(NOT_FOUND_OF_THREE if of_three else NOT_FOUND, number, source))

@@ -50,10 +50,11 @@ _LOCAL = lambda x: _vnd(x, ".", ",") + " || ' đ'"
     base.REVENUE_SQL
     + f"""SELECT group_id, CASE
  WHEN status = 'UNMATCHED_MISSING_IN_TARGET' THEN 'Thiếu REVENUE ↔ Sổ 511: ' || {_LOCAL('amount_variance')} || '.'
- WHEN status = 'UNMATCHED_MISSING_IN_SOURCE' THEN {_SAID(messages.MISSING_SOURCE, _LOCAL('-amount_variance'))}
+ WHEN status = 'UNMATCHED_MISSING_IN_SOURCE' THEN {_SAID(messages.ONLY_SECONDARY, "doc_no_", _vnd('-amount_variance'), "'Sổ 511'")}
  WHEN status = 'AMBIGUOUS_MATCH' THEN '{messages.AMBIGUOUS}' WHEN status = 'NEEDS_REVIEW' THEN '{messages.REVIEW}.'
  WHEN status IN ('MATCHED_EXACT', 'MATCHED_AGGREGATE') THEN '{messages.ALL_MATCHED}' END AS reason
-FROM groups WHERE status IN ('UNMATCHED_MISSING_IN_TARGET', 'UNMATCHED_MISSING_IN_SOURCE', 'AMBIGUOUS_MATCH', 'NEEDS_REVIEW', 'MATCHED_EXACT', 'MATCHED_AGGREGATE')"""
+FROM groups LEFT JOIN (SELECT 'grp_missing_source_' || id AS group_id, coalesce(doc_no, 'N/A') AS doc_no_ FROM led) USING (group_id)
+WHERE status IN ('UNMATCHED_MISSING_IN_TARGET', 'UNMATCHED_MISSING_IN_SOURCE', 'AMBIGUOUS_MATCH', 'NEEDS_REVIEW', 'MATCHED_EXACT', 'MATCHED_AGGREGATE')"""
 )
 def detail_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = base.revenue_frames(spark, sf_dir)
@@ -356,3 +357,20 @@ def infer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = infer.infer_sources(sheets)
     slots = F.array_sort(F.transform(F.map_entries("mapping"), lambda e: F.concat(e["key"], F.lit(":"), F.array_position(F.col("columns"), e["value"]).cast("string"))))
     return out.select("source_id", "header_row", "kind", "confidence", F.array_join(slots, ";").alias("mapping"))
+
+
+# ---- why a record is left over ----------------------------------------------------------------------------------------
+
+
+@register(
+    base.REVENUE_SQL
+    + f"""SELECT group_id, 'docNo' AS field_name, partner_tax_id AS source_value, NULL::VARCHAR AS target_value, pretax_amount AS amount_diff, {_SAID(messages.PRIMARY_LOST, "'N/A'")} AS message
+FROM groups JOIN (SELECT 'grp_unmatched_prim_' || id AS group_id, partner_tax_id, pretax_amount FROM inv WHERE doc_no IS NULL) USING (group_id)
+UNION ALL SELECT group_id, 'docNo', NULL, number, credit_amount, {_SAID(messages.ONLY_SECONDARY, "number", _vnd('credit_amount'), "'Sổ 511'")}
+FROM groups JOIN (SELECT 'grp_missing_source_' || id AS group_id, coalesce(doc_no, 'N/A') AS number, credit_amount FROM led) USING (group_id)"""
+)
+def residual_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of invoices that no pass has placed and of ledger lines that nobody has taken."""
+    frames = base.revenue_frames(spark, sf_dir)
+    left = frames.discrepancies.where("group_id LIKE 'grp\\_unmatched\\_prim\\_%' OR group_id LIKE 'grp\\_missing\\_source\\_%'")
+    return left.select("group_id", "field_name", "source_value", "target_value", F.col("amount_diff").cast("decimal(18,2)").alias("amount_diff"), "message")
