@@ -39,6 +39,8 @@ class Frames:
     links: DataFrame
     discrepancies: DataFrame
     summary: DataFrame
+    #: Per group and source what the last of its controls says: status, compared_amount.
+    breakdowns: DataFrame
 
 
 def _zero() -> Column:
@@ -210,8 +212,10 @@ class Matcher:
             small = known.where((F.col("n") > 1) & (F.col("n") <= MAX_SUBSET) & (F.col("n_direct") == 0)).select("p_id", F.col("amount").alias("p_sum"))
             item = F.struct(F.col("s_pos").alias("pos"), F.col("s_id").alias("id"), F.col("s_amount").alias("amount"), (F.col("in_rule") & F.col("s_error").isNull()).alias("ok"))
             items = pairs.join(small, "p_id").groupBy("p_id", "p_sum").agg(F.array_sort(F.collect_list(item)).alias("items"))
-            sums = items.select("p_id", "items", F.filter(_subset_sums(F.col("items")), lambda x: x["ok"] & (x["mask"] > 0) & (F.abs(x["sum"] - F.col("p_sum")) <= tolerance)).alias("hits"))
-            subsets = sums.select("p_id", F.size("hits").alias("n_subsets"), F.get("hits", F.lit(0))["sum"].cast(MONEY).alias("subset_sum"), F.when(F.size("hits") == 1, F.transform(F.filter(F.col("items"), lambda x, i: F.getbit(F.get("hits", F.lit(0))["mask"], i) == 1), lambda x: x["id"])).alias("chosen"))
+            sums = items.select("p_id", F.filter("items", lambda x: x["ok"]).alias("items"), "p_sum").select("p_id", "items", _subset_hits(F.col("items"), F.col("p_sum"), tolerance).alias("hits"))
+            first = F.get("hits", F.lit(0))
+            chosen = F.transform(F.filter("items", lambda x, i: F.getbit(first["mask"], i) == 1), lambda x: x["id"])
+            subsets = sums.select("p_id", F.size("hits").alias("n_subsets"), first["sum"].cast(MONEY).alias("subset_sum"), F.when(F.size("hits") == 1, chosen).alias("chosen"))
             known = known.join(subsets, "p_id", "left").fillna(0, ["n_subsets"])
         else:
             known = known.withColumns({"n_subsets": F.lit(0), "subset_sum": F.lit(None).cast(MONEY), "chosen": F.lit(None).cast("array<string>")})
@@ -573,7 +577,9 @@ class Matcher:
         title = messages.by_control(F.col("control"), [F.lit(c.source.title) for c in self.controls])
         absent = absent.withColumn("message", messages.not_found(F.col("doc_key"), title, self.session.is_tri_source))
         details = details.unionByName(absent.select(*details.columns)).unionByName(self.residual_details(groups))
-        return Frames(groups, merged[1].where("compared").drop("p_id", "added", "flag", "matched", "compared"), links.drop("p_id", "review").distinct(), details, summary(groups, *counts))
+        last = merged[1].groupBy("group_id", "source_id").agg(F.max_by(F.struct("control", "status", F.col("actual").alias("compared_amount")), "control").alias("last"))
+        breakdowns = last.select("group_id", "source_id", "last.*")
+        return Frames(groups, merged[1].where("compared").drop("p_id", "added", "flag", "matched", "compared"), links.drop("p_id", "review").distinct(), details, summary(groups, *counts), breakdowns)
 
     def _reviewed(self, links: DataFrame, heads: DataFrame) -> DataFrame:
         """Bank rows that a group without acceptance names stay out of the residuals."""
@@ -595,17 +601,30 @@ def _buckets() -> list[Column]:
 
 
 def _subset_sums(items: Column) -> Column:
-    """Sum, validity and bit mask of every subset, masks ascending: each item doubles the list."""
-    start = F.array(F.struct(F.lit(0).cast(WIDE).alias("sum"), F.lit(True).alias("ok"), F.lit(0).cast("bigint").alias("mask")))
+    """Sum and bit mask of every subset, masks ascending: each item doubles the list."""
+    start = F.array(F.struct(F.lit(0).cast(WIDE).alias("sum"), F.lit(0).cast("bigint").alias("mask")))
 
     def add(acc: Column, x: Column) -> Column:
         bit = F.size(acc).cast("bigint")
-        more = F.transform(acc, lambda a: F.struct((a["sum"] + F.coalesce(x["amount"], _zero())).cast(WIDE).alias("sum"), (a["ok"] & x["ok"]).alias("ok"), (a["mask"] + bit).alias("mask")))
-        return F.concat(acc, more)
+        return F.concat(acc, F.transform(acc, lambda a: F.struct((a["sum"] + F.coalesce(x["amount"], _zero())).cast(WIDE).alias("sum"), (a["mask"] + bit).alias("mask"))))
 
     return F.aggregate(items, start, add)
 
 
+def _subset_hits(items: Column, target: Column, tolerance: Column) -> Column:
+    """Sum and mask of the subsets, the empty one apart, whose sum is within the tolerance of the target; masks ascending.
+
+    Met in the middle: only the sums of the two halves are built, 128 for twelve items, and each of one half asks those
+    of the other for what it lacks.
+    """
+    half = F.floor(F.size(items) / 2).cast("int")
+    low, high = _subset_sums(F.slice(items, F.lit(1), half)), _subset_sums(F.slice(items, half + 1, F.size(items)))
+    asks = F.transform(low, lambda a: F.struct(a["sum"].alias("sum"), a["mask"].alias("mask"), (target - tolerance - a["sum"]).cast(WIDE).alias("least"), (target + tolerance - a["sum"]).cast(WIDE).alias("most")))
+    joined = lambda a, b: F.struct((a["mask"] + F.call_function("shiftleft", b["mask"], half)).alias("mask"), (a["sum"] + b["sum"]).cast(WIDE).alias("sum"))
+    met = F.flatten(F.transform(asks, lambda a: F.transform(F.filter(high, lambda b: (b["sum"] >= a["least"]) & (b["sum"] <= a["most"])), lambda b: joined(a, b))))
+    return F.array_sort(F.filter(met, lambda x: x["mask"] > 0))
+
+
 def summary(groups: DataFrame, n_primary: int, n_secondary: int) -> DataFrame:
     """One row: how many groups of each outcome, signed variances, and the gross discrepancy."""
     n = lambda *s: F.count_if(F.col("status").isin(*s))

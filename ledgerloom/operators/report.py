@@ -102,23 +102,24 @@ def search(groups: DataFrame, status: str | None = None, text: str = "", discrep
     return out.join(reduce(DataFrame.unionByName, others, out.where(own).select("group_id")), "group_id", "left_semi")
 
 
+def pages(df: DataFrame, size: int = 50) -> int:
+    """How many pages there are; none is one empty page."""
+    return max(1, -(-df.count() // size))
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int = 50) -> DataFrame:
-    """The number-th page (from 1) of a total order."""
-    return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
+    """The number-th page (from 1) of a total order; a number beyond the ends gives the first or the last page."""
+    at = 1 if number <= 1 else min(number, pages(df, size))
+    return df.orderBy(*order).offset((at - 1) * size).limit(size)
 
 
 def page_rows(df: DataFrame, order: list[Column], number: int, size: int = 50) -> DataFrame:
     """page() with row_index, the row's place in the whole order from 1; a page is small, so one window numbers it."""
-    at = F.row_number().over(Window.orderBy(*order)) + (max(1, number) - 1) * size
+    number = max(1, min(number, pages(df, size)))
+    at = F.row_number().over(Window.orderBy(*order)) + (number - 1) * size
     return page(df, order, number, size).withColumn("row_index", at)
 
 
-def documents(frames: Frames) -> DataFrame:
-    """group_id and a JSON document with the group's comparisons nested in control order."""
-    nested = frames.comparisons.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("control", "source_id", "semantic", "expected", "actual", "variance", "status"))).alias("semanticComparisons"))
-    return frames.groups.join(nested, "group_id", "left").select("group_id", F.to_json(F.struct(*[c for c in frames.groups.columns], "semanticComparisons")).alias("document"))
-
-
 # The overview's titles.
 SUMMARY_ROWS = (("Tổng số dòng Nguồn chính", "total_source_records"), ("Tổng số dòng Nguồn đối chiếu", "total_target_records"), ("Số nhóm Khớp hoàn toàn (100%)", "exact_matches_count"), ("Số nhóm Khớp có dung sai", "tolerance_matches_count"), ("Số nhóm Khớp gộp (1-N / N-1)", "aggregate_matches_count"), ("Số nhóm Sai lệch số tiền / thuế", "mismatches_count"), ("Số chứng từ Thiếu bên đối chiếu", "missing_in_target_count"), ("Số chứng từ Thiếu bên nguồn chính", "missing_in_source_count"), ("Số bản ghi Trùng lặp", "duplicates_count"), ("Số nhóm Cần kiểm tra lại (Ambiguous)", "ambiguous_count"), ("Chênh lệch Doanh thu (VND)", "revenue_variance"), ("Chênh lệch Thuế GTGT (VND)", "vat_variance"), ("Chênh lệch Công nợ phải thu (VND)", "receivable_variance"), ("Tổng quy mô sai lệch tuyệt đối (VND)", "total_discrepant_amount"))
 

@@ -374,3 +374,26 @@ def residual_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = base.revenue_frames(spark, sf_dir)
     left = frames.discrepancies.where("group_id LIKE 'grp\\_unmatched\\_prim\\_%' OR group_id LIKE 'grp\\_missing\\_source\\_%'")
     return left.select("group_id", "field_name", "source_value", "target_value", F.col("amount_diff").cast("decimal(18,2)").alias("amount_diff"), "message")
+
+
+# ---- results as documents ---------------------------------------------------------------------------------------------
+
+
+@register(
+    base.REVENUE_SQL
+    + """SELECT g.group_id, g.status, CAST(g.amount_variance AS DECIMAL(18,2)) AS amount_variance, CAST(x.amount AS DECIMAL(18,2)) AS compared_amount, x.status AS source_status, CAST(x.n AS BIGINT) AS n_records
+FROM groups g LEFT JOIN (
+  SELECT 'grp_match_' || f.id AS group_id, f.status, CASE WHEN f.n IS NULL OR f.status = 'NEEDS_REVIEW' THEN 0 WHEN f.n = 1 OR f.direct = 1 THEN f.t_amt WHEN f.direct > 1 OR f.n_subsets > 1 THEN total WHEN f.n_subsets = 1 THEN f.subset_sum ELSE total END AS amount,
+    CASE WHEN f.n IS NULL THEN 0 WHEN f.status = 'NEEDS_REVIEW' THEN f.n WHEN f.n = 1 OR f.direct = 1 THEN 1 WHEN f.direct > 1 OR f.n_subsets > 1 THEN f.n WHEN f.n_subsets = 1 THEN (SELECT any_value(len(sids)) FROM subsets s WHERE s.id = f.id) ELSE f.n END AS n
+  FROM first_pass f LEFT JOIN judged j USING (id)
+  UNION ALL SELECT 'grp_fallback_' || id, 'MATCHED_WITH_TOLERANCE', any_value(amt), 1 FROM tax_pairs GROUP BY id HAVING count(*) = 1
+  UNION ALL SELECT 'grp_unmatched_prim_' || id, 'UNMATCHED_MISSING_IN_TARGET', 0, 0 FROM inv WHERE doc_no IS NULL
+) x USING (group_id)"""
+)
+def result_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The revenue scenario's groups as JSON documents and back, with what the ledger's last control says of each."""
+    groups = json_records.read_result(json_records.result_documents(base.revenue_frames(spark, sf_dir)))
+    led = F.try_element_at("sourceBreakdowns", F.lit("led"))
+    return groups.select(
+        F.col("id").alias("group_id"), "status", F.col("amountVariance").cast("decimal(18,2)").alias("amount_variance"), led["comparedAmount"].cast("decimal(18,2)").alias("compared_amount"), led["status"].alias("source_status"), F.when(led.isNotNull(), F.size(led["recordIds"]).cast("bigint")).alias("n_records")
+    )

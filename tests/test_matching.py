@@ -178,3 +178,16 @@ def test_sessions_fail_closed(spark):
 def test_rule_tolerance_beats_the_sessions():
     session = Session("s", SOURCES, (Rule("r", "REVENUE", "e_invoice", "pretaxAmount", "ledger511", "creditAmount", 50_000, 5),), tolerance=1, days=1)
     assert (session.controls()[0].tolerance, session.controls()[0].days) == ("50000", 5)
+
+
+def test_subset_sums_meet_in_the_middle(spark):
+    rng = random.Random(5)
+    cases = []
+    for i in range(60):
+        amounts = [rng.randint(-5, 30) for _ in range(rng.randint(0, 12))]
+        cases.append((i, amounts, rng.randint(0, 60), rng.choice((0, 2))))
+    df = spark.createDataFrame(cases, "i int, amounts array<int>, target int, tolerance int")
+    items = F.transform("amounts", lambda a: F.struct(a.cast("decimal(28,6)").alias("amount")))
+    got = df.select("i", matching._subset_hits(items, F.col("target").cast("decimal(28,6)"), F.col("tolerance").cast("decimal(28,6)")).alias("hits"))
+    want = {i: [(m, s) for m in range(1, 1 << len(amounts)) if abs((s := sum(a for k, a in enumerate(amounts) if m >> k & 1)) - target) <= tolerance] for i, amounts, target, tolerance in cases}
+    assert {r.i: [(h.mask, h.sum) for h in r.hits] for r in got.collect()} == want

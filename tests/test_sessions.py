@@ -111,3 +111,48 @@ def test_money_and_time(spark):
     df = spark.createDataFrame([(k, v) for k, v in texts.items()], "x string, want string")
     assert df.where(~S.lenient_money(F.col("x")).eqNullSafe(F.col("want"))).collect() == []
     assert spark.range(1).select(S.executed_at().alias("t")).first().t.endswith("+00:00")
+
+
+def test_sessions_as_documents():
+    for scenario in SCENARIOS.values():
+        session = scenario.session("s", (Source("a", "e_invoice", "Hóa đơn", "PRIMARY", mapping={"doc_no": "Số HĐ"}), Source("b", "ledger511", header_row=3)))
+        assert json_records.read_session(json_records.session_document(session)) == session
+    for bad, code in {"[1]": "NOT_A_SESSION", "{": "NOT_A_SESSION", '{"id": "s"}': None, '{"id": "s", "sources": [], "extra": 1}': "UNKNOWN_FIELD", '{"id": "s", "sources": [{"id": "a"}]}': "FIELD_MISSING"}.items():
+        if code:
+            with pytest.raises(ReconciliationError, match=code):
+                json_records.read_session(bad)
+        else:
+            assert json_records.read_session(bad).sources == ()
+
+
+def test_results_as_documents_with_the_last_control_of_each_source(spark):
+    from test_matching import frame, inv, led
+
+    from ledgerloom.operators import matching
+
+    sources = (Source("inv", "e_invoice", role="PRIMARY"), Source("reg", "sales_register"))
+    session = SCENARIOS["scenario_invoice_sales_register"].session("s", sources)
+    more = {"vat_amount": 10, "total_amount": 110}
+    rows = lambda made: frame(spark, made).withColumn("vat_amount", F.lit(10).cast("decimal(18,2)"))
+    register = rows([{**led("r1", "1", None), **more, "pretax_amount": 100}, {**led("r2", "2", None), **more, "pretax_amount": 90, "total_amount": 111}])
+    frames = matching.reconcile(session, {"inv": rows([{**inv("a", "1", 100), **more}, {**inv("b", "2", 100), **more}, {**inv("c", "3", 100), **more}]), "reg": register})
+    back = json_records.read_result(json_records.result_documents(frames))
+    assert sorted(back.collect(), key=str) == sorted(json_records.nested_result(frames).collect(), key=str)
+    got = {r.id: r for r in back.collect()}
+    a, b, c = (got[f"grp_match_{x}"] for x in "abc")
+    assert [x.status for x in a.semanticComparisons] == ["MATCHED_EXACT"] * 3 and a.sourceBreakdowns["reg"].comparedAmount == 110 and a.targetSourceRecordIds == ["r1"]
+    assert [x.control for x in b.semanticComparisons] == [0, 1, 2] and [x.actualAmount for x in b.semanticComparisons] == [90, 10, 111]
+    assert (b.sourceBreakdowns["reg"].comparedAmount, b.sourceBreakdowns["reg"].status, b.sourceBreakdowns["reg"].recordIds) == (111, "MISMATCH_AMOUNT", ["r2"])
+    assert b.semanticComparisons[0].discrepancies[0].fieldName == "amount" and b.semanticComparisons[1].discrepancies == []
+    assert c.sourceBreakdowns["reg"].status == "UNMATCHED_MISSING_IN_TARGET" and c.sourceBreakdowns["reg"].recordIds == []
+    assert got["grp_missing_source_r2"].sourceBreakdowns == {} and got["grp_missing_source_r2"].targetSourceRecordIds == ["r2"]
+    with pytest.raises(Exception, match="NOT_A_GROUP"):
+        json_records.read_result(spark.createDataFrame([("not json",)], "document string")).collect()
+
+
+def test_pages_end_at_the_last_one(spark):
+    df = spark.range(7)
+    page = lambda n, size=3: [(r.id, r.row_index) for r in report.page_rows(df, [F.col("id")], n, size).collect()]
+    assert report.pages(df, 3) == 3 and report.pages(df.limit(0), 3) == 1
+    assert page(0) == page(1) == [(0, 1), (1, 2), (2, 3)] and page(3) == page(99) == [(6, 7)] and page(1, 50) == page(2, 50)
+    assert report.page_rows(df.limit(0), [F.col("id")], 5).collect() == []
