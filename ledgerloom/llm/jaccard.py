@@ -40,6 +40,9 @@ COMMON, MOST_COMMON = 10, 200_000
 #: Nodes with one prefix shingle beyond which they are first compared with some of them, and how many at least, by rounds.
 #: Rounds only spare the last join pairs, few against those that they spare: it finds what they leave.
 CROWDED, HEADS = 100, (4, 32)
+#: Beyond so many pairs of the last join one in SHARE is verified first, SHARES times: only pairs that these leave in two
+#: components are verified after them. All links that join components are found either way.
+MANY_PAIRS, SHARE, SHARES = 5_000, 8, 3
 
 
 def _set_of(text: str | None, shingle: int) -> np.ndarray:
@@ -192,7 +195,17 @@ def links(sets: DataFrame, whole: Whole, similar: tuple[int, int] = SIMILAR, cro
     low = F.col("a") < F.col("b")  # a pair is seen from either side, as its shingles have different largest components
     of = lambda x, y: [F.when(low, F.col(f"{p}{x}")).otherwise(F.col(f"{p}{y}")).alias(f"{p}{x}") for p in ("", "n_", "pos_")]
     met = met.select(*of("a", "b"), *of("b", "a"))
-    return found.unionByName(_verified(materialise(_possible(met, similar), "pairs"), whole, similar))
+    pairs = materialise(_possible(met, similar), "pairs")
+    for r in range(SHARES):  # of very many pairs a part first: what it joins needs no others
+        if pairs.count() <= MANY_PAIRS:
+            break
+        mine = F.pmod(F.xxhash64(F.lit(r), "src", "dst"), F.lit(SHARE)) == 0
+        found = found.unionByName(_verified(materialise(pairs.where(mine), "some-pairs"), whole, similar))
+        roots = materialise(components(found), "roots")
+        root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))  # noqa: E731,B023
+        left = pairs.where(~mine).join(small(root("src")), "src", "left").join(small(root("dst")), "dst", "left")
+        pairs = materialise(left.where(F.coalesce("root_src", "src") != F.coalesce("root_dst", "dst")).select("src", "dst"), "pairs")
+    return found.unionByName(_verified(pairs, whole, similar))
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, common: int = COMMON, crowded: int = CROWDED) -> DataFrame:

@@ -46,8 +46,9 @@ def edited(words, rng, share):
     return [w if rng.random() > share else f"e{rng.randrange(10**6)}" for w in words]
 
 
-@pytest.mark.parametrize("common, crowded", [(100, 200), (3, 4), (0, 1)])
-def test_links_against_all_pairs(spark, common, crowded):
+@pytest.mark.parametrize("common, crowded, many", [(100, 200, 5000), (3, 4, 0), (0, 1, 0)])
+def test_links_against_all_pairs(spark, common, crowded, many, monkeypatch):
+    monkeypatch.setattr(jaccard, "MANY_PAIRS", many)
     rng = random.Random(3)
     line = [f"line{i}" for i in range(60)]
     texts = []
