@@ -9,7 +9,7 @@ stays within a row: DataFrame expressions only, no exploded terms, no shuffle.
 A file with a statement of its own keeps that licence. Others take the licence of the nearest directory above them that
 holds a licence file: distinct directories are joined, through their ancestors, to the directories that have one.
 
-Null or empty text: no statement. Null path: no inheritance. Ties: the highest score, then the least licence name, then
+Null or empty text: no statement. Very long texts: whole. Null path: no inheritance. Ties: the highest score, then the least licence name, then
 the first line; of several licence files in a directory the best scored, then the least name. Repeated rows: alike. Empty
 table: no rows. Extra columns are carried along, except those named like the results.
 """
@@ -46,12 +46,30 @@ LONG: dict[str, str] = {
     "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
-#: Template name to text; a licence's long form has its name and LONG_MARK.
-LONG_MARK = " (text)"
-TEMPLATES: dict[str, str] = SHORT | {f"{k}{LONG_MARK}": v for k, v in LONG.items()}
-MARKS = r"(?i)licen[cs]|copyright|redistribut|public domain|unencumbered"
+#: The title paragraphs of full texts by SPDX identifier. Full texts of one family share most words; their
+#: title, a header of its own, tells them and their versions apart.
+TITLES: dict[str, str] = {
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "Apache-2.0": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "CC0-1.0": "Creative Commons Legal Code CC0 1.0 Universal",
+    "GFDL-1.2": "GNU Free Documentation License Version 1.2, November 2002",
+    "GFDL-1.3": "GNU Free Documentation License Version 1.3, 3 November 2008",
+    "GPL-1.0": "GNU GENERAL PUBLIC LICENSE Version 1, February 1989",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.0": "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "MPL-1.1": "MOZILLA PUBLIC LICENSE Version 1.1",
+    "MPL-2.0": "Mozilla Public License Version 2.0",
+}
+#: Template name to text; further forms of a licence have its name, LONG_MARK and what they are.
+LONG_MARK = " ("
+TEMPLATES: dict[str, str] = SHORT | {f"{k}{LONG_MARK}text)": v for k, v in LONG.items()} | {f"{k}{LONG_MARK}title)": v for k, v in TITLES.items()}
+MARKS = r"(?i)licen[cs]|copyright|redistribut|public domain|unencumbered|legal code"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 THRESHOLD = 0.6
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|unlicense)"
