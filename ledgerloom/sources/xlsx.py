@@ -30,6 +30,8 @@ PREVIEW_ROWS = 10
 #: Fractional numbers are amounts; style 1 shows them by the built-in format 3 (#,##0).
 AMOUNT_STYLE = ' s="1"'
 BATCH = 2_000
+#: Characters that XML can't hold.
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 
 
 def sheet_paths(book: zipfile.ZipFile) -> dict[str, str]:
@@ -195,54 +197,72 @@ def inspect_files(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path).select("path", "content").mapInArrow(run, "source_id string, inspection string")
 
 
-def _sheet_xml(rows: Iterable[Iterable[object]]) -> Iterator[str]:
-    yield '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
+# The parts of a workbook.
+SHEET_HEAD = '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
+SHEET_TAIL = "</sheetData></worksheet>"
+
+
+def row_xml(number: int, row: Iterable[object]) -> str:
+    cells = []
+    for j, v in enumerate(row):
+        if v is None:
+            continue
+        ref = f"{chr(65 + j) if j < 26 else chr(64 + j // 26) + chr(65 + j % 26)}{number}"
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            cells.append(f'<c r="{ref}"{AMOUNT_STYLE if isinstance(v, float) else ""}><v>{v}</v></c>')
+        else:
+            cells.append(f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(_CONTROL.sub("", str(v)))}</t></is></c>')
+    return f'<row r="{number}">{"".join(cells)}</row>'
+
+
+def sheet_xml(rows: Iterable[Iterable[object]]) -> Iterator[str]:
+    yield SHEET_HEAD
     for i, row in enumerate(rows, 1):
         if i > MAX_ROWS:
-            raise ReconciliationError("SHEET_FULL", f"a sheet holds {MAX_ROWS} rows; write Parquet or CSV instead")
-        cells = []
-        for j, v in enumerate(row):
-            ref = f"{chr(65 + j) if j < 26 else chr(64 + j // 26) + chr(65 + j % 26)}{i}"
-            if v is None:
-                continue
-            if isinstance(v, (int, float)) and not isinstance(v, bool):
-                cells.append(f'<c r="{ref}"{AMOUNT_STYLE if isinstance(v, float) else ""}><v>{v}</v></c>')
-            else:
-                cells.append(f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>')
-        yield f'<row r="{i}">{"".join(cells)}</row>'
-    yield "</sheetData></worksheet>"
+            raise ReconciliationError("SHEET_FULL", f"a sheet holds {MAX_ROWS} rows; report_book.py goes on in further sheets")
+        yield row_xml(i, row)
+    yield SHEET_TAIL
+
+
+def book_parts(names: Sequence[str]) -> dict[str, str]:
+    """What a workbook holds besides its sheets' rows."""
+    kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(names) + 1))
+    quoted = lambda n: escape(n, {'"': "&quot;"})
+    sheets = "".join(f'<sheet name="{quoted(n)}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(names, 1))
+    relations = "".join(f'<Relationship Id="r{i}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1))
+    xml = '<?xml version="1.0" encoding="UTF-8"?>'
+    return {
+        "[Content_Types].xml": f'{xml}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>{kinds}</Types>',
+        "_rels/.rels": f'{xml}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'{xml}<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>{sheets}</sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'{xml}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{relations}<Relationship Id="styles" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/></Relationships>',
+        "xl/styles.xml": f'{xml}<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf numFmtId="3" applyNumberFormat="1"/></cellXfs></styleSheet>',
+    }
 
 
 def write_workbook(path: str | Path, sheets: dict[str, Iterable[Iterable[object]]]) -> None:
-    """A plain workbook; rows are streamed into the archive."""
-    names = list(sheets)
+    """A plain workbook of small sheets; rows are streamed into the archive."""
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(names) + 1))
-        z.writestr("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>{kinds}</Types>')
-        z.writestr("_rels/.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>{"".join(f"<sheet name={chr(34)}{escape(n)}{chr(34)} sheetId={chr(34)}{i}{chr(34)} r:id={chr(34)}r{i}{chr(34)}/>" for i, n in enumerate(names, 1))}</sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{"".join(f"<Relationship Id={chr(34)}r{i}{chr(34)} Type={chr(34)}http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet{chr(34)} Target={chr(34)}worksheets/sheet{i}.xml{chr(34)}/>" for i in range(1, len(names) + 1))}<Relationship Id="styles" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/></Relationships>')
-        z.writestr("xl/styles.xml", '<?xml version="1.0" encoding="UTF-8"?><styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf numFmtId="3" applyNumberFormat="1"/></cellXfs></styleSheet>')
-        for i, n in enumerate(names, 1):
+        for name, text in book_parts(list(sheets)).items():
+            z.writestr(name, text)
+        for i, rows in enumerate(sheets.values(), 1):
             with z.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as f:
-                for part in _sheet_xml(sheets[n]):
+                for part in sheet_xml(rows):
                     f.write(part.encode())
 
 
-def _values(df: DataFrame) -> Iterator[list[object]]:
+def values_of(df: DataFrame) -> Iterator[list[object]]:
+    """Titles and rows of a small frame."""
     yield list(df.columns)
-    for r in df.toLocalIterator():  # a report's bounded rows, a partition at a time
+    for r in df.toLocalIterator():
         yield [float(v) if hasattr(v, "as_tuple") else v for v in r]
 
 
-def export_report(frames, path: str | Path, primary_name: str | None = None) -> dict:
-    """The three-sheet report workbook: overview, differences, everything. With the primary source's name the sheets are
-    numbered and titled as report.report_sheet gives them."""
-    from ledgerloom.operators import report
+def export_report(frames, path: str | Path, primary_name: str = "") -> dict:
+    """The three-sheet report workbook: overview, differences, everything (see report_book.py)."""
+    from ledgerloom.sources import report_book
 
-    rows = lambda only: report.report_rows(frames, only).orderBy(*report.report_order()) if primary_name is None else report.report_sheet(frames, only, primary_name)
-    write_workbook(path, {"Tong quan": _values(report.summary_sheet(frames).orderBy("ord").drop("ord")), "Sai lech & Can chu y": _values(rows(True)), "Chi tiet tat ca": _values(rows(False))})
-    return {"path": str(path), "groups": frames.groups.count()}
+    return report_book.export_report(frames, path, primary_name)
 
 
 def default_report_path(session_id: str) -> Path:
