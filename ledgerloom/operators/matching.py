@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import scalars as S
 from ledgerloom.operators import messages
 from ledgerloom.operators.ordering import number_rows
-from ledgerloom.plans.model import ACCEPTED, BANKING, MAX_SUBSET, MONEY, RULE_FIELDS, SLACK_DAYS, Control, Session
+from ledgerloom.plans.model import ACCEPTED, BANKING, MAX_SUBSET, MONEY, RULE_FIELDS, SEMANTIC_NAMES, SLACK_DAYS, Control, Session
 from ledgerloom.session import materialise, materialise_all
 
 WIDE = "decimal(38,6)"
@@ -625,6 +625,33 @@ def _subset_hits(items: Column, target: Column, tolerance: Column) -> Column:
     return F.array_sort(F.filter(met, lambda x: x["mask"] > 0))
 
 
+def pair_amounts(session: Session, pairs: DataFrame, primary_kind: str, secondary_kind: str) -> DataFrame:
+    """pairs with primary_amount, secondary_amount, semantic, semantic_name, tolerance, days: what the first rule of these kinds compares.
+
+    pairs: columns of records with p_ and s_ before their names. Fail-closed: without a rule there are no rows, and those
+    pairs go that lack an amount, whose rule names an unknown field, or, between books of a bank, whose directions differ.
+    """
+    rule = next((r for r in session.rules if (r.primary_kind, r.secondary_kind) == (primary_kind, secondary_kind)), None)
+    if rule is None:
+        return pairs.limit(0).select("*", _zero().alias("primary_amount"), _zero().alias("secondary_amount"), *[F.lit(None).cast(t).alias(c) for c, t in (("semantic", "string"), ("semantic_name", "string"), ("tolerance", MONEY), ("days", "int"))])
+    named = SEMANTIC_NAMES.get(rule.semantic, SEMANTIC_NAMES["CUSTOM"])
+    made = pairs.withColumns({"primary_amount": _of_side(pairs, "p_", rule.primary_field), "secondary_amount": _of_side(pairs, "s_", rule.secondary_field)}).where("primary_amount IS NOT NULL AND secondary_amount IS NOT NULL")
+    if primary_kind in BANKING and secondary_kind in BANKING:
+        p, s = (S.money_direction(kind, *[F.col(x + c) if x + c in pairs.columns else F.lit(None) for c in ("debit_amount", "credit_amount")]) for x, kind in (("p_", primary_kind), ("s_", secondary_kind)))
+        made = made.where((p != "UNKNOWN") & (p == s))
+    tolerance, days = (rule.tolerance if float(rule.tolerance) else session.tolerance), rule.days or session.days
+    return made.select("*", F.lit(rule.semantic).alias("semantic"), F.lit(named).alias("semantic_name"), F.lit(str(tolerance)).cast(MONEY).alias("tolerance"), F.lit(int(days)).alias("days"))
+
+
+def _of_side(pairs: DataFrame, side: str, field: str) -> Column:
+    """A rule's amount of one side's columns; null where there is none."""
+    column = RULE_FIELDS.get(field)
+    of = lambda c: F.col(side + c) if side + c in pairs.columns else F.lit(None).cast(MONEY)
+    if column is None:
+        return F.lit(None).cast(MONEY)
+    return (S.directional_amount(of("debit_amount"), of("credit_amount")) if column == "directional_amount" else of(column)).cast(MONEY)
+
+
 def summary(groups: DataFrame, n_primary: int, n_secondary: int) -> DataFrame:
     """One row: how many groups of each outcome, signed variances, and the gross discrepancy."""
     n = lambda *s: F.count_if(F.col("status").isin(*s))

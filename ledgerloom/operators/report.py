@@ -76,6 +76,20 @@ def detail_reasons(frames: Frames, names: dict[str, str]) -> DataFrame:
     return joined.select("group_id", messages.detail_reason(F.col("status"), F.coalesce("messages", F.array().cast("array<string>")), F.coalesce("comparisons", none), F.col("total_source_amount"), F.col("total_target_amount")).alias("reason"))
 
 
+def named(column: Column, names: dict[str, str]) -> Column:
+    """What a kind, role, semantic or status is called; itself where it has no name."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), column), column)
+
+
+def variance_rollup(frames: Frames) -> DataFrame:
+    """An extension: counts and variances by source, semantic and status, with totals above each level.
+
+    level is 0 for all three, 1 by source and semantic, 3 by source, 7 for everything: a bit for each column summed over.
+    """
+    c = frames.comparisons.rollup("source_id", "semantic", "status").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.sum("variance").alias("variance"), F.sum(F.abs("variance")).alias("gross"))
+    return c.select("source_id", "semantic", "status", F.col("level").cast("int").alias("level"), "n", *[F.coalesce(x, F.lit(0)).cast("decimal(38,6)").alias(x) for x in ("variance", "gross")])
+
+
 def control_totals(records: DataFrame, columns: tuple[str, ...] = ("pretax_amount", "credit_amount")) -> DataFrame:
     return records.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns if c in records.columns])
 

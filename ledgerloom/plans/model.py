@@ -13,6 +13,14 @@ RECORD_SCHEMA = ", ".join(["id string", "source_id string", "source_row int", "p
 # Kinds of sources, semantics and statuses, as they appear in data.
 KINDS = ("e_invoice", "ledger511", "ledger3331", "ledger131", "ledger133", "ledger112", "bank_statement", "partner_master", "sales_register", "sales_analysis_report", "cash_book", "branch_ledger", "custom")
 SEMANTICS = ("REVENUE", "VAT", "RECEIVABLE", "BANK_PAYMENT", "CUSTOM")
+# What kinds, roles and semantics are called in reports.
+KIND_NAMES = {
+    "e_invoice": "Hóa đơn điện tử", "ledger511": "Sổ cái TK 511 (Doanh thu)", "ledger3331": "Sổ cái TK 3331 (Thuế GTGT)", "ledger133": "Sổ cái TK 133 (Thuế đầu vào)", "ledger131": "Sổ công nợ TK 131 (Phải thu)",
+    "ledger112": "Sổ cái TK 112 (Tiền gửi ngân hàng)", "partner_master": "Danh mục khách hàng / nhà cung cấp", "sales_register": "Bảng kê bán hàng", "sales_analysis_report": "Báo cáo phân tích bán hàng",
+    "bank_statement": "Sao kê ngân hàng", "cash_book": "Sổ quỹ tiền mặt", "branch_ledger": "Sổ chi nhánh", "custom": "Khác / Tùy chỉnh (Cần xác định)",
+}
+ROLE_NAMES = {"PRIMARY": "Nguồn chính (PRIMARY)", "SECONDARY": "Nguồn bắt buộc (REQUIRED)", "OPTIONAL": "Nguồn bổ trợ (OPTIONAL)", "REFERENCE": "Danh mục tham chiếu (REFERENCE MASTER)"}
+SEMANTIC_NAMES = {"REVENUE": "DOANH THU", "VAT": "THUẾ GTGT", "RECEIVABLE": "CÔNG NỢ (PHẢI THU)", "BANK_PAYMENT": "DÒNG TIỀN / SAO KÊ", "CUSTOM": "ĐỐI CHIẾU KHÁC"}
 ACCEPTED = ("MATCHED_EXACT", "MATCHED_WITH_TOLERANCE", "MATCHED_AGGREGATE", "MATCHED_WITH_MISSING_SOURCE")
 STATUSES = (*ACCEPTED, "MISMATCH_AMOUNT", "MISMATCH_METADATA", "UNMATCHED_MISSING_IN_TARGET", "UNMATCHED_MISSING_IN_SOURCE", "DUPLICATE_SUSPECT", "AMBIGUOUS_MATCH", "NEEDS_REVIEW", "NOT_CHECKED")
 BANKING = ("ledger112", "bank_statement")

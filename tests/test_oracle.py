@@ -5,7 +5,7 @@ from functools import lru_cache
 import pytest
 from oracle import connection, differences
 
-from ledgerloom.plans import more_queries, queries  # noqa: F401
+from ledgerloom.plans import more_queries, queries, scenario_queries  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 
