@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
 from ledgerloom.plans.model import MONEY, MONEY_FIELDS, Source
+from ledgerloom.session import spread
 
 _DATES = ("date", "accounting_date", "transaction_date")
 _TEXT = ("doc_no", "doc_code", "template_code", "buyer_tax_id", "seller_tax_id", "partner_name", "partner_code", "vat_rate", "debit_account", "credit_account", "voucher_no", "description", "bank_account", "transaction_number", "counterparty_account", "counterparty_name")
@@ -60,7 +61,7 @@ def canonical(rows: DataFrame, source: Source, columns: Sequence[str]) -> DataFr
     filled = lambda i: F.nullif(F.get("cells", F.lit(i)), F.when(F.trim(F.get("cells", F.lit(i))) == "", F.get("cells", F.lit(i))))
     places = {t: [i for i, x in enumerate(columns) if x == t] for t in columns}
     raw = F.map_filter(F.create_map(*[x for t, at in places.items() for x in (F.lit(t), F.coalesce(*[filled(i) for i in reversed(at)]))]) if places else F.create_map().cast("map<string,string>"), lambda k, v: v.isNotNull())
-    parsed = data_rows(rows, source).select("row_idx", "cells", amounts)  # generated: the money filter below doesn't parse them again
+    parsed = spread(data_rows(rows, source).select("row_idx", "cells")).select("row_idx", "cells", amounts)  # generated: the money filter below doesn't parse them again
     out = parsed.select(
         F.concat(F.lit(f"{source.id}_row_"), (F.col("row_idx") + 1).cast("string")).alias("id"),
         F.lit(source.id).alias("source_id"),

@@ -87,6 +87,12 @@ def materialise_all(frames: list[tuple[DataFrame, str]]) -> list[DataFrame]:
         return list(pool.map(lambda f: materialise(*f), frames))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to as many tasks as there are cores where it comes from fewer files than that: for costly work on each row of a few files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g", name: str = "ledgerloom") -> SparkSession:
     """A local session for tests and benchmarks."""
     spark = (
