@@ -122,7 +122,26 @@ def bank_transactions(records: DataFrame) -> DataFrame:
     return records.select("id", "source_id", "bank_account", S.first_filled(F.col("transaction_number"), F.col("voucher_no"), F.col("doc_no")).alias("reference"), F.coalesce("accounting_date", "transaction_date", "date").alias("date"), S.money_direction("bank_statement", F.col("debit_amount"), F.col("credit_amount")).alias("direction"), S.directional_amount(F.col("debit_amount"), F.col("credit_amount")).alias("amount"), "counterparty_account", "counterparty_name", "description", "balance")
 
 
+def _movements(df: DataFrame, side: str) -> DataFrame:
+    """id, account, amount, credit of bank rows with one amount and an account, under the side's name."""
+    moved = df.withColumn("amount", S.directional_amount(F.col("debit_amount"), F.col("credit_amount"))).where("amount IS NOT NULL AND trim(bank_account) <> ''")
+    return moved.select(F.col("id").alias(f"{side}_id"), F.col("bank_account").alias(f"{side}_account"), "amount", (F.coalesce("debit_amount", F.lit(0)) == 0).alias(f"{side}_credit"))
+
+
 def internal_transfers(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of bank rows that move one amount between two accounts of one's own: an equi-join on the amount."""
-    side = lambda df, p: df.withColumn("amount", S.directional_amount(F.col("debit_amount"), F.col("credit_amount"))).where("amount IS NOT NULL AND trim(bank_account) <> ''").select(F.col("id").alias(f"{p}_id"), F.col("bank_account").alias(f"{p}_account"), "amount", (F.coalesce("debit_amount", F.lit(0)) == 0).alias(f"{p}_credit"))
-    return side(left, "a").join(side(right, "b"), "amount").where("a_account <> b_account AND a_credit <> b_credit").select("a_id", "b_id", "amount")
+    return _movements(left, "a").join(_movements(right, "b"), "amount").where("a_account <> b_account AND a_credit <> b_credit").select("a_id", "b_id", "amount")
+
+
+def transfer_classes(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """internal_transfers without its pairs: classes of rows that link to the same rows, and their members.
+
+    Links: amount, a_account, b_account, a_credit, a_n, b_n and links, the number of pairs. Members: side, id, account, amount,
+    credit. An amount that very many rows have is counted before it is joined; no pair of rows is made.
+    """
+    sides = {s: _movements(df, s) for s, df in (("a", left), ("b", right))}
+    counted = {s: df.groupBy("amount", f"{s}_account", f"{s}_credit").agg(F.count(F.lit(1)).alias(f"{s}_n")) for s, df in sides.items()}
+    met = counted["a"].join(counted["b"], "amount").where("a_account <> b_account AND a_credit <> b_credit")
+    links = met.select("amount", "a_account", "b_account", "a_credit", "a_n", "b_n", (F.col("a_n") * F.col("b_n")).alias("links"))
+    member = lambda s: sides[s].select(F.lit(s).alias("side"), F.col(f"{s}_id").alias("id"), F.col(f"{s}_account").alias("account"), "amount", F.col(f"{s}_credit").alias("credit"))
+    return links, member("a").unionByName(member("b"))

@@ -281,6 +281,21 @@ def internal_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.internal_transfers(rows, twin).select("a_id", "b_id", F.col("amount").cast("decimal(18,2)").alias("amount"))
 
 
+#: The bank's rows in whole millions, so that very many rows have one amount.
+_COARSE = f"SELECT id, bank_account, CAST(round(debit_amount / 1000000, 0) * 1000000 AS DECIMAL(18,2)) AS debit_amount, CAST(round(credit_amount / 1000000, 0) * 1000000 AS DECIMAL(18,2)) AS credit_amount FROM ({_ACCOUNTS}) c"
+
+
+@register(f"""WITH m AS (SELECT bank_account, coalesce(nullif(credit_amount, 0), debit_amount) AS amount, coalesce(debit_amount, 0) = 0 AS credit FROM ({_COARSE}) WHERE (coalesce(debit_amount, 0) <> 0) <> (coalesce(credit_amount, 0) <> 0)),
+n AS (SELECT bank_account, amount, credit, count(*) AS n FROM m GROUP BY ALL)
+SELECT CAST(x.amount AS DECIMAL(18,2)) AS amount, x.bank_account AS a_account, y.bank_account || 'b' AS b_account, x.credit AS a_credit, x.n AS a_n, y.n AS b_n, CAST(x.n * y.n AS BIGINT) AS links FROM n x JOIN n y ON x.amount = y.amount AND x.bank_account <> y.bank_account || 'b' AND x.credit = y.credit""")
+def transfer_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bank rows in whole millions against the mirrored rows of other accounts, as classes."""
+    rows = views.spark_sql(spark, sf_dir, _COARSE)
+    twin = rows.select("id", F.concat("bank_account", F.lit("b")).alias("bank_account"), F.col("credit_amount").alias("debit_amount"), F.col("debit_amount").alias("credit_amount"))
+    links, _ = normalize.transfer_classes(rows, twin)
+    return links.withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+
+
 @register(f"WITH t AS ({_THIRDS}) SELECT 'm' || third AS source_id, CAST(NULL AS VARCHAR) AS bank_account, arg_min(partner_tax_id, pos) AS entity_tax_id FROM t GROUP BY third")
 def compatibility_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = views.spark_sql(spark, sf_dir, views.LEDGER).withColumn("source_id", F.concat(F.lit("m"), (F.floor(F.col("pos") / 1000) % 3).cast("string")))
