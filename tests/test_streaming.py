@@ -45,3 +45,17 @@ def test_days_come_once_the_watermark_has_passed(stream):
     add("feed", [("late", "2026-01-05 13:00:00", "1000", "IN"), ("e", "2026-01-08 01:00:00", "1", "IN")])
     got = {(str(r.day)[:10], r.direction): (r.n, float(r.amount)) for r in run(bank_feed.daily_totals(read("feed")))}
     assert got == {("2026-01-05", "IN"): (2, 150.5), ("2026-01-05", "OUT"): (1, 7.0)}
+
+
+def test_each_row_is_settled_once(stream):
+    add, read, run = stream
+    add("ledger", [("l1", "2026-01-05 10:00:00", "100", "IN"), ("l2", "2026-01-05 12:00:00", "100", "IN"), ("l3", "2026-01-05 00:00:00", "7", "OUT")])
+    add("bank", [("b1", "2026-01-06 10:00:00", "100", "IN"), ("b2", "2026-01-06 09:00:00", "100", "OUT"), ("b3", "2026-01-05 00:00:00", "8", "IN")])
+    add("bank", [("b4", "2026-01-07 10:00:00", "100.00", "IN"), ("b5", "2026-01-07 11:00:00", "100", "IN")])
+    for day in (20, 21, 22):  # the watermark moves on, and what waits is given up
+        add("ledger", [(f"x{day}", f"2026-01-{day} 00:00:00", str(day), "IN")])
+        add("bank", [(f"y{day}", f"2026-01-{day} 00:00:00", str(day), "IN")])
+    got = sorted((r.ledger_id or "", r.bank_id or "", r.status) for r in run(bank_feed.settle_feed(read("ledger"), read("bank"))))
+    assert [g for g in got if g[2] == "MATCHED" and g[0][0] == "l"] == [("l1", "b1", "MATCHED"), ("l2", "b4", "MATCHED")]
+    assert {g for g in got if g[2] != "MATCHED"} == {("l3", "", "UNMATCHED_MISSING_IN_TARGET"), ("", "b2", "UNMATCHED_MISSING_IN_SOURCE"), ("", "b3", "UNMATCHED_MISSING_IN_SOURCE"), ("", "b5", "UNMATCHED_MISSING_IN_SOURCE")}
+    assert {g[:2] for g in got if g[0].startswith("x")} == {(f"x{d}", f"y{d}") for d in (20, 21, 22)}
