@@ -57,7 +57,8 @@ def frequent(words: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MI
 def near_pairs(words: DataFrame) -> DataFrame:
     """word, near, near_n: both directions of every pair that differs by one inserted, deleted or replaced code point.
 
-    words (materialised; distinct, word and n).
+    words (materialised; distinct, word and n). A written table is far smaller than its rows, and its cuts are many more, so
+    Spark's guess would send them all through the driver: both joins are sort-merge joins, by hint.
     """
     place = F.explode(F.sequence(F.lit(1), F.length("word")))
     cut = words.select("word", "n", place.alias("slot")).withColumn("key", _without(F.col("word"), F.col("slot")))
@@ -65,8 +66,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     emitted = words.where(F.length("word") > 0)
     own = emitted.select(F.col("word").alias("key"), F.lit(0).alias("slot"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     cuts = cut.where(F.length("word") > 0)
-    replaced = cuts.select("key", "slot", "word").join(cuts.select("key", "slot", F.col("word").alias("near"), F.col("n").alias("near_n")), ["key", "slot"]).where("word <> near")
-    longer = cuts.where(first).select("key", F.lit(0).alias("slot"), "word", "n").join(own, ["key", "slot"])
+    replaced = cuts.select("key", "slot", "word").join(cuts.select("key", "slot", F.col("word").alias("near"), F.col("n").alias("near_n")).hint("merge"), ["key", "slot"]).where("word <> near")
+    longer = cuts.where(first).select("key", F.lit(0).alias("slot"), "word", "n").join(own.hint("merge"), ["key", "slot"])
     one_way = longer.select("word", "n", "near", "near_n")
     both = F.explode(F.array(F.struct("word", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n"))))
     pairs = replaced.select("word", "near", "near_n").unionByName(one_way.select(both.alias("p")).select("p.*"))
@@ -99,11 +100,11 @@ def group_variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
         best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near")))
         near = near_pairs(counted).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
         grows = -F.col("best.less") >= ratio * F.col("n")
-        joined = counted.join(near, "word", "left").select(
+        joined = counted.join(near.hint("merge"), "word", "left").select(
             "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(grows, F.col("best.near")).alias("form"), F.when(grows, -F.col("best.less")).alias("form_n")
         )
         formed = materialise(joined, "forms")
         rooted = roots(formed.where("form IS NOT NULL"))
-        return formed.join(rooted, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+        return formed.join(rooted.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
     return settle(build, "spelling")

@@ -88,3 +88,10 @@ def test_no_python_on_the_data(spark, small):
     words = spelling.frequent(spelling.thinned(spelling.runs(spark.read.parquet(f"{small}/documents.parquet"))))
     plan = words._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan
+
+
+def test_no_table_of_cuts_goes_through_the_driver(spark):
+    """A written table of words is far smaller than its cuts, so that Spark would broadcast them unasked."""
+    words = spelling.materialise(spark.range(5000).selectExpr("concat('word', id) AS word", "id AS n"), "words")
+    plan = spelling.near_pairs(words)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
