@@ -191,3 +191,12 @@ def test_subset_sums_meet_in_the_middle(spark):
     got = df.select("i", matching._subset_hits(items, F.col("target").cast("decimal(28,6)"), F.col("tolerance").cast("decimal(28,6)")).alias("hits"))
     want = {i: [(m, s) for m in range(1, 1 << len(amounts)) if abs((s := sum(a for k, a in enumerate(amounts) if m >> k & 1)) - target) <= tolerance] for i, amounts, target, tolerance in cases}
     assert {r.i: [(h.mask, h.sum) for h in r.hits] for r in got.collect()} == want
+
+
+def test_records_are_not_broadcast_for_their_files_size(spark):
+    """200,000 rows of a bank's book take few bytes in a written step, and far more in the driver's memory."""
+    from ledgerloom.plans.queries import BANK, BOOK
+
+    rows = spark.range(200_000).selectExpr("concat('r', id) AS id", "id AS pos", "'2026-01-05' AS date", "CAST(id AS DECIMAL(18,2)) AS debit_amount", "CAST(NULL AS DECIMAL(18,2)) AS credit_amount")
+    m = matching.Matcher(SCENARIOS["scenario_ledger112_bank_statement"].session("bank", (BOOK, BANK)), {"b112": rows, "bank": rows})
+    assert "Broadcast" not in m._amount_pairs(m.controls[0], m.p, m.s[0])._jdf.queryExecution().executedPlan().toString()
