@@ -6,6 +6,10 @@ number of datasets. Amounts enter at a fixed scale, so 100 and 100.00 are one am
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,21 +52,51 @@ def dataset_fingerprints(prints: DataFrame, chunk_digits: int = 3) -> DataFrame:
     return bucket.groupBy("source_id").agg(F.sum("n").alias("n_records"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", F.lit(":"), F.col("d")))), ";"), 256).alias("fingerprint"))
 
 
-#: Records up to which a dataset's digests are sorted in one group for the plain digest (64 bytes each).
-PLAIN_DIGEST_ROWS = 1_000_000
+#: Distinct digests that a block of content_fingerprints holds on average.
+BLOCK_ROWS = 4096
+#: Repeats of a digest up to which its block is written out as text by Spark.
+FEW = 16
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each source's blocks, which come in order; no more than a part of a block is held at a time."""
+    name, state = None, None
+    for batch in batches:
+        for source, text, block in zip(*batch.columns, strict=True):
+            if state is None or source.as_py() != name:
+                if state is not None:
+                    yield pa.RecordBatch.from_pydict({"source_id": [name], "fingerprint": [state.hexdigest()]})
+                name, state = source.as_py(), hashlib.sha256()
+            if text.is_valid:
+                state.update(text.as_py().encode())
+                continue
+            for item in block:
+                digest, left = f"{item['fp'].as_py()};".encode(), item["n"].as_py()
+                while left > 0:  # a record that very many rows repeat
+                    state.update(digest * min(left, BLOCK_ROWS))
+                    left -= BLOCK_ROWS
+    if state is not None:
+        yield pa.RecordBatch.from_pydict({"source_id": [name], "fingerprint": [state.hexdigest()]})
 
 
 def content_fingerprints(prints: DataFrame) -> DataFrame:
-    """source_id, n_records, fingerprint, plain of rows (source_id, fp).
+    """source_id, n_records, fingerprint of rows (source_id, fp).
 
-    Plain: SHA-256 over the sorted record digests, each followed by a semicolon, which can be compared with stored ones. A
-    dataset of over PLAIN_DIGEST_ROWS records gets the bucketed fingerprint instead, as no task may hold so many digests.
+    SHA-256 over the sorted record digests, each followed by a semicolon, whatever their number. Tasks count repeats and
+    sort blocks of digests that begin alike; such a hash can only be taken front to back, so one task a dataset reads its
+    blocks in order and holds one at a time.
     """
-    prints = materialise(prints.select("source_id", "fp"), "prints")
-    bucketed = dataset_fingerprints(prints)
-    fits = bucketed.where(F.col("n_records") <= PLAIN_DIGEST_ROWS).select("source_id")
-    plain = prints.join(F.broadcast(fits), "source_id", "left_semi").groupBy("source_id").agg(F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list("fp")), ";"), F.lit(";")), 256).alias("digest"))
-    return bucketed.join(plain, "source_id", "left").select("source_id", "n_records", F.coalesce("digest", "fingerprint").alias("fingerprint"), F.col("digest").isNotNull().alias("plain"))
+    counted = materialise(prints.groupBy("source_id", "fp").agg(F.count(F.lit(1)).alias("n")), "prints")
+    sizes = materialise(counted.groupBy("source_id").agg(F.sum("n").alias("n_records"), F.count(F.lit(1)).alias("kinds")), "sizes")
+    most = sizes.agg(F.max("kinds")).first()[0] or 0
+    digits = 1
+    while most > BLOCK_ROWS * 16**digits:
+        digits += 1
+    blocks = counted.groupBy("source_id", F.substring("fp", 1, digits).alias("begin")).agg(F.array_sort(F.collect_list(F.struct("fp", "n"))).alias("block"), F.max("n").alias("most"))
+    text = F.array_join(F.transform("block", lambda x: F.call_function("repeat", F.concat(x["fp"], F.lit(";")), x["n"].cast("int"))), "")
+    laid = blocks.select("source_id", "begin", F.when(F.col("most") <= FEW, text).alias("text"), F.when(F.col("most") > FEW, F.col("block")).alias("block"))
+    ordered = laid.repartition("source_id").sortWithinPartitions("source_id", "begin").drop("begin")
+    return sizes.select("source_id", "n_records").join(ordered.mapInArrow(_hashed, "source_id string, fingerprint string"), "source_id")
 
 
 def compatibility_keys(records: DataFrame, kind: str) -> DataFrame:

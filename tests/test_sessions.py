@@ -1,3 +1,4 @@
+import hashlib
 import json
 from dataclasses import replace
 from pathlib import Path
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
-from ledgerloom.operators import normalize, report, sessions
+from ledgerloom.operators import intake, normalize, report, sessions
 from ledgerloom.plans.model import SCENARIOS, ReconciliationError, Session, Source
 from ledgerloom.sources import json_records
 
@@ -156,3 +157,15 @@ def test_pages_end_at_the_last_one(spark):
     assert report.pages(df, 3) == 3 and report.pages(df.limit(0), 3) == 1
     assert page(0) == page(1) == [(0, 1), (1, 2), (2, 3)] and page(3) == page(99) == [(6, 7)] and page(1, 50) == page(2, 50)
     assert report.page_rows(df.limit(0), [F.col("id")], 5).collect() == []
+
+
+def test_the_plain_digest_holds_at_any_size(spark, monkeypatch):
+    """Sorted digests with repeats over many blocks, as one SHA-256; a dataset is never given another kind of digest."""
+    monkeypatch.setattr(intake, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(intake, "PLAIN_DIGEST_ROWS", 100, raising=False)
+    fp = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    rows = [("a", fp(i % 300)) for i in range(1000)] + [("b", fp(i)) for i in range(7)] + [("c", fp(1))] * 20
+    want = {s: (sum(x == s for x, _ in rows), hashlib.sha256("".join(f"{f};" for f in sorted(f for x, f in rows if x == s)).encode()).hexdigest()) for s in "abc"}
+    made = intake.content_fingerprints(spark.createDataFrame(rows, "source_id string, fp string"))
+    assert {r.source_id: (r.n_records, r.fingerprint) for r in made.collect()} == want
+    assert intake.content_fingerprints(spark.createDataFrame([], "source_id string, fp string")).collect() == []
