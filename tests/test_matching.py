@@ -200,3 +200,28 @@ def test_records_are_not_broadcast_for_their_files_size(spark):
     rows = spark.range(200_000).selectExpr("concat('r', id) AS id", "id AS pos", "'2026-01-05' AS date", "CAST(id AS DECIMAL(18,2)) AS debit_amount", "CAST(NULL AS DECIMAL(18,2)) AS credit_amount")
     m = matching.Matcher(SCENARIOS["scenario_ledger112_bank_statement"].session("bank", (BOOK, BANK)), {"b112": rows, "bank": rows})
     assert "Broadcast" not in m._amount_pairs(m.controls[0], m.p, m.s[0])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_in_longs_in_decimals_and_of_whole_sets_alone(spark):
+    """Amounts beyond a long's millionths, negative ones, and sets of which only the whole can fit, against all subsets."""
+    draw = random.Random(5)
+    cases = []
+    for i in range(120):
+        amounts = [Decimal(draw.randint(-3 if i % 3 == 0 else 1, 9)) * (10**15 if i % 4 == 0 else 1) + Decimal(draw.randint(0, 9)) / 1000 for _ in range(draw.randint(0, 6))]
+        target = sum(amounts, Decimal(0)) + draw.randint(-2, 2) if i % 2 else sum(draw.sample(amounts, len(amounts) // 2), Decimal(0))
+        cases.append((i, amounts, target, Decimal(draw.choice([0, 1]))))
+    df = spark.createDataFrame(cases, "i int, amounts array<decimal(28,6)>, target decimal(28,6), tolerance decimal(28,6)")
+    items = F.transform("amounts", lambda a: F.struct(a.alias("amount")))
+    got = {r.i: [(h["mask"], h["sum"]) for h in r.hits] for r in df.select("i", matching._subset_hits(items, F.col("target"), F.col("tolerance")).alias("hits")).collect()}
+    for i, amounts, target, tolerance in cases:
+        sums = [(m, sum((a for k, a in enumerate(amounts) if m >> k & 1), Decimal(0))) for m in range(1, 1 << len(amounts))]
+        assert got[i] == [(m, x) for m, x in sums if abs(x - target) <= tolerance], i
+
+
+def test_only_numbers_that_primaries_share_can_be_contended(spark):
+    """No pair is asked for contention where every primary's series and number are its own."""
+    rows = lambda n: spark.range(4).selectExpr("concat('r', id) AS id", "id AS pos", f"CAST(id % {n} + 1 AS STRING) AS doc_no", "'S' AS series", "'2026-01-05' AS date", "'1' AS partner_tax_id", "CAST(5 AS DECIMAL(18,2)) AS pretax_amount", "CAST(5 AS DECIMAL(18,2)) AS credit_amount")
+    session = SCENARIOS["scenario_revenue_standard"].session("r", (Source("inv", "e_invoice", role="PRIMARY"), Source("led", "ledger511")))
+    for n, asked in ((4, 0), (3, 2), (1, 4)):
+        m = matching.Matcher(session, {"inv": rows(n), "led": rows(4)})
+        assert m._asking(m.p).count() == asked
