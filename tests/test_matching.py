@@ -225,3 +225,28 @@ def test_only_numbers_that_primaries_share_can_be_contended(spark):
     for n, asked in ((4, 0), (3, 2), (1, 4)):
         m = matching.Matcher(session, {"inv": rows(n), "led": rows(4)})
         assert m._asking(m.p).count() == asked
+
+
+@pytest.mark.parametrize("rules", [1, 2])
+def test_lone_numbers_are_matched_without_written_pairs(spark, monkeypatch, rules):
+    """Sets are counted where both sides meet; links of small and large sets are whole all the same."""
+    labels, write = [], matching.materialise
+    monkeypatch.setattr(matching, "materialise", lambda df, label="step": labels.append(label) or write(df, label))
+    monkeypatch.setattr(matching, "materialise_all", lambda frames: [matching.materialise(*f) for f in frames])
+    left = [inv("pair", "1", 100), inv("sum", "2", 100), inv("off", "3", 100), inv("off12", "4", 100), inv("limit", "5", 100), inv("hot", "6", 100), inv("absent", "7", 100)]
+    right = [led("a", "1", 100), led("b1", "2", 30), led("b2", "2", 70), led("c1", "3", 1), led("c2", "3", 2), *[led(f"d{i}", "4", 1000 + i) for i in range(12)], *[led(f"e{i}", "5", 1000 + i) for i in range(13)], *[led(f"f{i}", "6", 100) for i in range(14)]]
+    session = SCENARIOS["scenario_revenue_standard"].session("s", SOURCES)
+    if rules > 1:
+        session = replace(session, rules=(*session.rules, replace(session.rules[0], id="again", primary_field="totalAmount")))
+        left = [x | {"total_amount": x["pretax_amount"]} for x in left]
+    frames = matching.reconcile(session, {"inv": frame(spark, left), "led": frame(spark, right)})
+    assert not {"pairs", "control"} & set(labels)
+    links = {}
+    for r in frames.links.collect():
+        links.setdefault((r.group_id.removeprefix("grp_match_"), r.control), []).append(r.s_id)
+    want = {"pair": ["a"], "sum": ["b1", "b2"], "off": ["c1", "c2"], "off12": [f"d{i}" for i in range(12)], "limit": [f"e{i}" for i in range(13)], "hot": [f"f{i}" for i in range(14)]}
+    assert {k: sorted(v) for k, v in links.items()} == {(k, c): sorted(v) for k, v in want.items() for c in range(rules)}
+    status = {r.primary_id: r.status for r in frames.groups.where("primary_id IS NOT NULL").collect()}
+    assert status == {"pair": "MATCHED_EXACT", "sum": "MATCHED_AGGREGATE", "off": "MISMATCH_AMOUNT", "off12": "MISMATCH_AMOUNT", "limit": "NEEDS_REVIEW", "hot": "AMBIGUOUS_MATCH", "absent": "UNMATCHED_MISSING_IN_TARGET"}
+    alone = {r.secondary_id for r in frames.groups.where("primary_id IS NULL").collect()}
+    assert alone == {r["id"] for r in right} - {"a", "b1", "b2"}
