@@ -47,7 +47,11 @@ def dataset_fingerprints(prints: DataFrame, chunk_digits: int = 3) -> DataFrame:
     Record digests are summed in buckets by their first digits, each bucket digested in sorted order of its distinct
     digests with their counts, and the bucket digests digested in turn: no task holds a whole dataset's digests.
     """
-    counted = prints.groupBy("source_id", "fp").agg(F.count(F.lit(1)).alias("n"))
+    return _bucketed(prints.groupBy("source_id", "fp").agg(F.count(F.lit(1)).alias("n")), chunk_digits)
+
+
+def _bucketed(counted: DataFrame, chunk_digits: int = 3) -> DataFrame:
+    """dataset_fingerprints() of distinct digests and their counts n."""
     bucket = counted.groupBy("source_id", F.substring("fp", 1, chunk_digits).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("fp", F.lit("x"), F.col("n").cast("string")))), ";"), 256).alias("d"), F.sum("n").alias("n"))
     return bucket.groupBy("source_id").agg(F.sum("n").alias("n_records"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", F.lit(":"), F.col("d")))), ";"), 256).alias("fingerprint"))
 
@@ -107,21 +111,32 @@ def compatibility_keys(records: DataFrame, kind: str) -> DataFrame:
     return records.groupBy("source_id").agg(first("bank_account").alias("bank_account"), first("seller_tax_id", "buyer_tax_id", "partner_tax_id").alias("entity_tax_id"), first("debit_account", "credit_account").alias("ledger_account")).withColumn("kind", F.lit(kind))
 
 
+def _counts(prints: DataFrame) -> DataFrame:
+    """fp, per: for each distinct digest its sources and how often each has it. Digests are shuffled once, not once a source."""
+    names = sorted(r[0] for r in prints.where("source_id IS NOT NULL").select("source_id").distinct().collect())  # one a dataset
+    each = [F.struct(F.lit(s).alias("source_id"), F.count_if(F.col("source_id") == s).alias("n")) for s in names] or [F.struct(F.lit("").alias("source_id"), F.count_if(F.lit(False)).alias("n"))]
+    per = F.filter(F.array(*each), lambda x: x["n"] > 0)
+    return materialise(prints.groupBy("fp").agg(per.alias("per")), "counts")
+
+
 def overlaps(prints: DataFrame) -> DataFrame:
     """a, b (source ids, a < b), shared, n_a, n_b (distinct records), for datasets that share a record."""
-    one = prints.select("source_id", "fp").distinct()
-    sizes = one.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
-    pairs = one.select(F.col("source_id").alias("a"), "fp").join(one.select(F.col("source_id").alias("b"), "fp"), "fp").where("a < b")
-    shared = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    size = lambda s: sizes.select(F.col("source_id").alias(s), F.col("n").alias(f"n_{s}"))
-    return shared.join(size("a"), "a").join(size("b"), "b")
+    return _overlaps(_counts(prints))
+
+
+def _overlaps(counts: DataFrame) -> DataFrame:
+    names = counts.select("fp", F.transform("per", lambda x: x["source_id"]).alias("names"))
+    pairs = names.select("fp", "names", F.explode("names").alias("a")).select("fp", "a", F.explode("names").alias("b")).where("a = b OR (a < b AND fp IS NOT NULL)")
+    met = materialise(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "overlaps")  # a row a pair of datasets; a = b: its size
+    size = lambda s: met.where("a = b").select(F.col("a").alias(s), F.col("shared").alias(f"n_{s}"))
+    return met.where("a < b").join(size("a"), "a").join(size("b"), "b")
 
 
 def relations(prints: DataFrame) -> DataFrame:
     """overlaps with relation (CONTENT, SUBSET, PARTIAL) and the ratio in percent of b's records, one decimal."""
-    prints = materialise(prints.select("source_id", "fp"), "prints")  # read four times
-    o = overlaps(prints)
-    same = dataset_fingerprints(prints)
+    counts = _counts(materialise(prints.select("source_id", "fp"), "prints"))
+    o = _overlaps(counts)
+    same = _bucketed(counts.select("fp", F.explode("per").alias("x")).select("fp", "x.*"))
     fp = lambda s: same.select(F.col("source_id").alias(s), F.col("fingerprint").alias(f"f_{s}"))
     joined = o.join(fp("a"), "a").join(fp("b"), "b")
     kind = F.when(F.col("f_a") == F.col("f_b"), "CONTENT_DUPLICATE").when((F.col("shared") == F.col("n_a")) | (F.col("shared") == F.col("n_b")), "SUBSET_DUPLICATE").otherwise("PARTIAL_OVERLAP")
