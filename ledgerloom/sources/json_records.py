@@ -60,19 +60,17 @@ GROUP_SCHEMA = (
 def nested_result(frames) -> DataFrame:
     """A row per group, with GROUP_SCHEMA, from the matcher's flat frames; a group's arrays follow its own candidates."""
     said = F.struct(*[F.col(c).alias(camel(c)) for c in ("field_name", "source_value", "target_value", "amount_diff", "message")])
-    one = frames.discrepancies.select("group_id", "control", said.alias("d"))
     none = F.array().cast(f"array<{_DISCREPANCY}>")
-    by_control = one.groupBy("group_id", "control").agg(F.array_sort(F.collect_list("d")).alias("said"))
-    by_group = one.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("control", "d"))), lambda x: x["d"]).alias("all_said"))
-    ids = frames.links.groupBy("group_id", "control").agg(F.array_sort(F.collect_set("s_id")).alias("ids"))
-    targets = frames.links.where("in_group").groupBy("group_id").agg(F.array_sort(F.collect_set("s_id")).alias("targets"))
-    parts = lambda df: df.join(ids, ["group_id", "control"], "left").join(by_control, ["group_id", "control"], "left").withColumns({"ids": F.coalesce("ids", F.array().cast("array<string>")), "said": F.coalesce("said", none)})
-    c = parts(frames.comparisons)
-    comparison = F.struct("control", F.col("source_id").alias("secondarySourceId"), F.col("source_kind").alias("secondarySourceKind"), "semantic", F.col("expected").alias("expectedAmount"), F.col("actual").alias("actualAmount"), "variance", "status", F.col("ids").alias("secondaryRecordIds"), F.col("said").alias("discrepancies"))
-    compared = c.groupBy("group_id").agg(F.array_sort(F.collect_list(comparison)).alias("comparisons"))
-    b = parts(frames.breakdowns).select("group_id", F.struct("source_id", F.struct(F.col("ids").alias("recordIds"), F.col("compared_amount").alias("comparedAmount"), "status", F.col("said").alias("discrepancies"))).alias("b"))
-    broken = b.groupBy("group_id").agg(F.map_from_entries(F.array_sort(F.collect_list("b"))).alias("breakdowns"))
-    g = reduce(lambda df, more: df.join(more, "group_id", "left"), (compared, broken, by_group, targets), frames.groups)
+    kinds = {"l": (frames.named, F.struct("control", "s_id", "in_group")), "d": (frames.discrepancies, F.struct("control", said.alias("d"))), "c": (frames.comparisons, F.struct("control", "source_id", "source_kind", "semantic", "expected", "actual", "variance", "status")), "b": (frames.breakdowns, F.struct("source_id", "control", "status", "compared_amount"))}
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.select("group_id", x.alias(k)) for k, (df, x) in kinds.items()])
+    # all that belongs to a group is shuffled once, by the group, and dealt to its controls in place
+    g = frames.groups.join(rows.groupBy("group_id").agg(*[F.array_sort(F.collect_list(k)).alias(k) for k in kinds]), "group_id", "left")
+    ids = lambda x: F.array_sort(F.array_distinct(F.transform(F.filter("l", lambda i: i["control"] == x["control"]), lambda i: i["s_id"])))
+    told = lambda x: F.transform(F.filter("d", lambda i: i["control"] == x["control"]), lambda i: i["d"])
+    comparison = lambda x: F.struct(x["control"].alias("control"), x["source_id"].alias("secondarySourceId"), x["source_kind"].alias("secondarySourceKind"), x["semantic"].alias("semantic"), x["expected"].alias("expectedAmount"), x["actual"].alias("actualAmount"), x["variance"].alias("variance"), x["status"].alias("status"), ids(x).alias("secondaryRecordIds"), told(x).alias("discrepancies"))
+    breakdown = lambda x: F.struct(x["source_id"], F.struct(ids(x).alias("recordIds"), x["compared_amount"].alias("comparedAmount"), x["status"].alias("status"), told(x).alias("discrepancies")))
+    held = F.array_sort(F.array_distinct(F.transform(F.filter("l", lambda i: i["in_group"]), lambda i: i["s_id"])))
+    g = g.withColumns({"comparisons": F.transform("c", comparison), "breakdowns": F.map_from_entries(F.transform("b", breakdown)), "all_said": F.transform("d", lambda i: i["d"]), "targets": F.when(F.size(held) > 0, held)})
     ids_of = lambda c: F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col(c)))
     made = {
         "id": F.col("group_id"), "docNo": F.col("doc_no"), "partnerName": F.col("partner_name"), "primarySourceRecordIds": ids_of("primary_id"),

@@ -250,3 +250,49 @@ def test_lone_numbers_are_matched_without_written_pairs(spark, monkeypatch, rule
     assert status == {"pair": "MATCHED_EXACT", "sum": "MATCHED_AGGREGATE", "off": "MISMATCH_AMOUNT", "off12": "MISMATCH_AMOUNT", "limit": "NEEDS_REVIEW", "hot": "AMBIGUOUS_MATCH", "absent": "UNMATCHED_MISSING_IN_TARGET"}
     alone = {r.secondary_id for r in frames.groups.where("primary_id IS NULL").collect()}
     assert alone == {r["id"] for r in right} - {"a", "b1", "b2"}
+
+
+def _small(spark, **how):
+    session = SCENARIOS["scenario_revenue_standard"].session("s", (Source("inv", "e_invoice", role="PRIMARY"), Source("led", "ledger511")))
+    records = {"inv": frame(spark, [inv("a", "1", 100), inv("b", "2", 100), inv("c", "3", 100)]), "led": frame(spark, [led("l1", "1", 100), led("l2", "2", 60), led("l3", "2", 50), led("l4", "9", 7)])}
+    return matching.reconcile(session, records, **how)
+
+
+def test_groups_read_once_are_not_written(spark):
+    from ledgerloom import session as steps
+
+    before = len(steps._written)
+    lean = _small(spark, write_groups=False)
+    assert not [x for x in steps._written[before:] if "/groups-" in x]
+    assert sorted(map(str, lean.groups.collect())) == sorted(map(str, _small(spark).groups.collect()))
+
+
+def test_a_ledger_keeps_only_the_amounts_that_rules_read(spark):
+    session = SCENARIOS["scenario_revenue_standard"].session("s", (Source("inv", "e_invoice", role="PRIMARY"), Source("led", "ledger511")))
+    m = matching.Matcher(session, {"inv": frame(spark, [inv("a", "1", 100)]), "led": frame(spark, [led("l1", "1", 100)])})
+    assert {"pretax_amount", "vat_amount", "total_amount"} <= set(m.p.columns) and not {"pretax_amount", "vat_amount", "total_amount"} & set(m.s[0].columns)
+
+
+def test_reports_and_documents_meet_by_the_group_alone(spark):
+    """Each frame is shuffled once, by the group: no join by group and control, and one join in a document."""
+    import re
+    from dataclasses import fields, replace
+
+    from ledgerloom.operators import report
+    from ledgerloom.session import materialise
+    from ledgerloom.sources import json_records
+
+    made = _small(spark)
+    frames = replace(made, **{f.name: materialise(getattr(made, f.name), "frame") for f in fields(made)})
+    assert str(json_records.nested_result(frames)._jdf.queryExecution().optimizedPlan().toString()).count("Join ") == 1
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = report.report_rows(frames)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, was)
+    keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert keys and all("," not in k for k in keys)
+    by_id = {r.group_id: r for r in report.report_rows(frames).collect()}
+    assert len(by_id) == 4 and "#3" in by_id["grp_match_c"].reason and "#9" in by_id["grp_missing_source_l4"].reason

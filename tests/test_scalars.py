@@ -1,6 +1,7 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
 
@@ -50,3 +51,9 @@ def test_garbage_rows(spark):
     rows = [["", "Tổng cộng", "5"], ["", " "], ["Công ty Tổng Cộng", "5"], ["1", "x"]]
     df = spark.createDataFrame([(r,) for r in rows], "cells array<string>")
     assert [r.g for r in df.select(S.is_garbage_row(df.cells).alias("g")).collect()] == [True, True, False, False]
+
+
+def test_dates_of_ten_characters_are_those_of_the_pattern(spark):
+    texts = ["2026-01-05", " 2026-01-05 ", "2026-1-5", "2026-02-30", "0000-01-01", "2026-01-5T", "2026-01-05\n", "+202-01-05", "12026-01-05", "2026-01-0x", "2026/01/05", "05-01-2026", "", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select(S.as_date(F.col("x")).cast("string").alias("a"), F.try_to_date(F.trim("x"), "yyyy-M-d").cast("string").alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and rows[0].a is not None and rows[2].a is not None and rows[3].a is None
