@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import join_small, materialise, settle
+from ledgerloom.llm.common import materialise, settle
 
 WORD = r"[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,12 +77,13 @@ def near_pairs(words: DataFrame) -> DataFrame:
 def roots(forms: DataFrame) -> DataFrame:
     """word, root of every word with a form (materialised: word, form): where following forms ends.
 
-    Each round joins a word's last known form with that word's own, so that the way known doubles.
+    Each round joins a word's last known form with that word's own, so that the way known doubles. Both sides are as many as
+    the words with a form, though written small: a sort-merge join, by hint, as in near_pairs. Rows of one root are streamed.
     """
     known = forms.select("word", F.col("form").alias("root"))
     while True:
         ahead = known.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        stepped = materialise(join_small(known, ahead, ["root"], F.col("word")).select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        stepped = materialise(known.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         known = stepped.select("word", "root")
         if not stepped.where("moved").limit(1).count():
             return known

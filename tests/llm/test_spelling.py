@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 from ledgerloom.llm import spelling
+from ledgerloom.llm.common import join_small
 from ledgerloom.llm.queries import op13_spelling_variants
 
 
@@ -95,3 +96,15 @@ def test_no_table_of_cuts_goes_through_the_driver(spark):
     words = spelling.materialise(spark.range(5000).selectExpr("concat('word', id) AS word", "id AS n"), "words")
     plan = spelling.near_pairs(words)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+
+
+def test_no_forms_go_through_the_driver(spark, monkeypatch):
+    """Rounds join words with forms, which are as many, and salted copies are SALTS times the table that Spark weighs."""
+    plans, write = [], spelling.materialise
+    monkeypatch.setattr(spelling, "materialise", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, label))
+    forms = write(spark.range(1, 3000).selectExpr("concat('word', id) AS word", "concat('word', id div 2) AS form"), "forms")
+    assert {r.word: r.root for r in spelling.roots(forms).collect()} == {f"word{i}": "word0" for i in range(1, 3000)}
+    assert plans and not any("Broadcast" in p for p in plans) and all("SortMergeJoin" in p for p in plans)
+    salted = join_small(forms, forms.selectExpr("word AS form", "form AS next"), ["form"], forms["word"], limit=5)
+    plan = salted._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
