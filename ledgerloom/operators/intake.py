@@ -7,9 +7,10 @@ number of datasets. Amounts enter at a fixed scale, so 100 and 100.00 are one am
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,51 +57,77 @@ def _bucketed(counted: DataFrame, chunk_digits: int = 3) -> DataFrame:
     return bucket.groupBy("source_id").agg(F.sum("n").alias("n_records"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", F.lit(":"), F.col("d")))), ";"), 256).alias("fingerprint"))
 
 
-#: Distinct digests that a block of content_fingerprints holds on average.
+#: Digests that a block of content_fingerprints holds at most.
 BLOCK_ROWS = 4096
-#: Repeats of a digest up to which its block is written out as text by Spark.
-FEW = 16
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SHA-256 of each source's blocks, which come in order; no more than a part of a block is held at a time."""
-    name, state = None, None
+def digest(kind: str) -> Column:
+    """record_fingerprint() as its 32 bytes: half of what its digits take wherever it is shuffled or written."""
+    return F.unhex(record_fingerprint(kind))
+
+
+def _dealt(prints: DataFrame) -> DataFrame:
+    """source_id, fp and begin, its first three digits, by which rows are dealt: no other task has a digest between two that begin alike."""
+    begin = F.substring(F.hex(F.substring("fp", 1, 2)), 1, 3) if dict(prints.dtypes)["fp"] == "binary" else F.substring("fp", 1, 3)
+    return prints.where("source_id IS NOT NULL").select("source_id", "fp").repartition(begin).withColumn("begin", begin)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each source's sorted digests that begin alike, end to end in blocks; texts with a semicolon each. A null has no text."""
     for batch in batches:
-        for source, text, block in zip(*batch.columns, strict=True):
-            if state is None or source.as_py() != name:
-                if state is not None:
-                    yield pa.RecordBatch.from_pydict({"source_id": [name], "fingerprint": [state.hexdigest()]})
-                name, state = source.as_py(), hashlib.sha256()
-            if text.is_valid:
-                state.update(text.as_py().encode())
-                continue
-            for item in block:
-                digest, left = f"{item['fp'].as_py()};".encode(), item["n"].as_py()
-                while left > 0:  # a record that very many rows repeat
-                    state.update(digest * min(left, BLOCK_ROWS))
-                    left -= BLOCK_ROWS
-    if state is not None:
-        yield pa.RecordBatch.from_pydict({"source_id": [name], "fingerprint": [state.hexdigest()]})
+        for source in batch.column("source_id").unique():
+            mine = batch.filter(pc.equal(batch.column("source_id"), source))
+            fps = mine.column("fp")
+            begin, at = mine.column("begin"), fps.null_count  # nulls sort first
+            changes = pc.fill_null(pc.not_equal(begin.slice(1), begin.slice(0, len(begin) - 1)), True).to_numpy(zero_copy_only=False).nonzero()[0] + 1
+            text = (fps if pa.types.is_binary(fps.type) else pc.binary_join_element_wise(fps, "", ";")).cast(pa.binary())
+            rows = [(None, None, at, b"")] if at else []
+            for end in (*changes[changes > at].tolist(), len(fps)):
+                while at < end:
+                    to = min(at + BLOCK_ROWS, end)
+                    rows.append((fps[at].as_py(), fps[to - 1].as_py(), to - at, b"".join(text[at:to].to_pylist())))
+                    at = to
+            first, last, n, data = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([source.as_py()] * len(rows)), pa.array(first, fps.type), pa.array(last, fps.type), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["source_id", "first", "last", "n", "data"])
+
+
+def _hashed(packed: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows and SHA-256 of each source's blocks, which come in order; packed digests are written out as text here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = lambda: pa.RecordBatch.from_pydict({"source_id": [name], "n_records": [records], "fingerprint": [state.hexdigest()]})
+        name, records, state = None, 0, None
+        for batch in batches:
+            for source, n, data in zip(*batch.columns, strict=True):
+                if state is None or source.as_py() != name:
+                    if state is not None:
+                        yield row()
+                    name, records, state = source.as_py(), 0, hashlib.sha256()
+                records += n.as_py()
+                block = data.as_py()
+                state.update(block.hex(";", 32).encode() + b";" if packed and block else block)
+        if state is not None:
+            yield row()
+
+    return run
 
 
 def content_fingerprints(prints: DataFrame) -> DataFrame:
-    """source_id, n_records, fingerprint of rows (source_id, fp).
+    """source_id, n_records, fingerprint of rows (source_id, fp); fp: text, or digest()'s 32 bytes, which count as their 64 digits.
 
-    SHA-256 over the sorted record digests, each followed by a semicolon, whatever their number. Tasks count repeats and
-    sort blocks of digests that begin alike; such a hash can only be taken front to back, so one task a dataset reads its
-    blocks in order and holds one at a time.
+    SHA-256 over the sorted record digests, each followed by a semicolon, whatever their number. Tasks sort digests that begin
+    alike and lay them end to end in blocks; such a hash can only be taken front to back, so one task a dataset reads its
+    blocks in order. Digests are shuffled once as rows and once as blocks, and nothing is written.
     """
-    counted = materialise(prints.groupBy("source_id", "fp").agg(F.count(F.lit(1)).alias("n")), "prints")
-    sizes = materialise(counted.groupBy("source_id").agg(F.sum("n").alias("n_records"), F.count(F.lit(1)).alias("kinds")), "sizes")
-    most = sizes.agg(F.max("kinds")).first()[0] or 0
-    digits = 1
-    while most > BLOCK_ROWS * 16**digits:
-        digits += 1
-    blocks = counted.groupBy("source_id", F.substring("fp", 1, digits).alias("begin")).agg(F.array_sort(F.collect_list(F.struct("fp", "n"))).alias("block"), F.max("n").alias("most"))
-    text = F.array_join(F.transform("block", lambda x: F.call_function("repeat", F.concat(x["fp"], F.lit(";")), x["n"].cast("int"))), "")
-    laid = blocks.select("source_id", "begin", F.when(F.col("most") <= FEW, text).alias("text"), F.when(F.col("most") > FEW, F.col("block")).alias("block"))
-    ordered = laid.repartition("source_id").sortWithinPartitions("source_id", "begin").drop("begin")
-    return sizes.select("source_id", "n_records").join(ordered.mapInArrow(_hashed, "source_id string, fingerprint string"), "source_id")
+    return _fingerprints(_dealt(prints))
+
+
+def _fingerprints(dealt: DataFrame) -> DataFrame:
+    """content_fingerprints() of dealt rows."""
+    kind = dict(dealt.dtypes)["fp"]
+    blocks = dealt.sortWithinPartitions("fp", "source_id").mapInArrow(_blocks, f"source_id string, first {kind}, last {kind}, n long, data binary")
+    ordered = blocks.repartition("source_id").sortWithinPartitions("source_id", "first", "last").select("source_id", "n", "data")
+    return ordered.mapInArrow(_hashed(kind == "binary"), "source_id string, n_records long, fingerprint string")
 
 
 def compatibility_keys(records: DataFrame, kind: str) -> DataFrame:
