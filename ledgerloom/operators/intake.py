@@ -152,13 +152,39 @@ def overlaps(prints: DataFrame) -> DataFrame:
 
 
 def _overlaps(counts: DataFrame) -> DataFrame:
-    names = counts.select("fp", F.transform("per", lambda x: x["source_id"]).alias("names"))
-    pairs = names.select("fp", "names", F.explode("names").alias("a")).select("fp", "a", F.explode("names").alias("b")).where("a = b OR (a < b AND fp IS NOT NULL)")
-    met = materialise(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "overlaps")  # a row a pair of datasets; a = b: its size
+    met = materialise(_pairs(counts.select("fp", F.transform("per", lambda x: x["source_id"]).alias("names"))), "overlaps")
     size = lambda s: met.where("a = b").select(F.col("a").alias(s), F.col("shared").alias(f"n_{s}"))
     return met.where("a < b").join(size("a"), "a").join(size("b"), "b")
 
 
+def _pairs(sets: DataFrame) -> DataFrame:
+    """a, b, shared of distinct digests and the names of the datasets that have each: a row a pair of datasets; a = b: its size."""
+    pairs = sets.select("fp", "names", F.explode("names").alias("a")).select("fp", "a", F.explode("names").alias("b")).where("a = b OR (a < b AND fp IS NOT NULL)")
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def contents(prints: DataFrame, names: list[str]) -> tuple[dict[str, str], list[dict]]:
+    """content_fingerprints() by source, and relations() of them (a, b, relation), of rows (source_id, fp) of the named sources.
+
+    Both come from rows that are dealt once: what is sorted for the one is counted for the other. A row a source or a pair of
+    sources reaches the driver.
+    """
+    dealt = _dealt(prints)
+    has = [F.max(F.col("source_id") == s).alias(f"in{i}") for i, s in enumerate(names)]
+    sets = dealt.groupBy("begin", "fp").agg(*has).select("fp", F.array_compact(F.array(*[F.when(F.col(f"in{i}"), F.lit(s)) for i, s in enumerate(names)])).alias("names"))
+    none = F.lit(None).cast("string")
+    made = _fingerprints(dealt).select(F.col("source_id").alias("a"), none.alias("b"), F.lit(None).cast("long").alias("shared"), "fingerprint")
+    rows = made.unionByName(_pairs(sets).withColumn("fingerprint", none)).collect()
+    fingerprint = {r["a"]: r["fingerprint"] for r in rows if r["b"] is None}
+    size = {r["a"]: r["shared"] for r in rows if r["a"] == r["b"]}
+    related = []
+    for r in sorted((r for r in rows if r["b"] not in (None, r["a"])), key=lambda r: (r["a"], r["b"])):
+        a, b = r["a"], r["b"]
+        relation = "CONTENT_DUPLICATE" if fingerprint[a] == fingerprint[b] else "SUBSET_DUPLICATE" if r["shared"] in (size[a], size[b]) else "PARTIAL_OVERLAP"
+        related.append({"a": a, "b": b, "relation": relation})
+    return fingerprint, related
+
+
 def relations(prints: DataFrame) -> DataFrame:
     """overlaps with relation (CONTENT, SUBSET, PARTIAL) and the ratio in percent of b's records, one decimal."""
     counts = _counts(materialise(prints.select("source_id", "fp"), "prints"))
@@ -170,12 +196,14 @@ def relations(prints: DataFrame) -> DataFrame:
     return joined.select("a", "b", "shared", "n_a", "n_b", kind.alias("relation"), F.format_string("%.1f%%", F.col("shared") / F.col("n_b") * 100).alias("ratio"))
 
 
-def gate(sources: list[dict], related: DataFrame) -> list[dict]:
+def gate(sources: list[dict], related: DataFrame | list[dict]) -> list[dict]:
     """Decide source by source, in order, which are accepted. sources: id, kind, key, path, sheet, raw_hash, fingerprint.
 
+    related: rows a, b, relation, as relations() or contents() give them.
+
     A duplicate is dropped; a subset or an overlap stops the run, as nothing tells which rows to believe.
     """
-    found = {frozenset((r["a"], r["b"])): r for r in related.collect()}  # one row a pair of datasets
+    found = {frozenset((r["a"], r["b"])): r for r in (related.collect() if isinstance(related, DataFrame) else related)}  # one row a pair of datasets
     accepted: list[dict] = []
     out = []
     for s in sources:
@@ -200,9 +228,9 @@ def gate(sources: list[dict], related: DataFrame) -> list[dict]:
 
 
 def merge_partitions(records: DataFrame, logical_id: str) -> DataFrame:
-    """Rows of disjoint partitions as one source, renumbered by date, number, amount and fingerprint (column fp)."""
+    """Rows of disjoint partitions as one source, renumbered by date, number, amount and fingerprint (column fp, which goes)."""
     order = [F.coalesce("date", F.lit("")), F.coalesce("doc_no", F.lit("")), F.col("total_amount"), F.col("fp"), F.col("source_id"), F.col("pos")]
-    numbered = number_rows(records.withColumnRenamed("pos", "__old").withColumn("pos", F.col("__old")), order, "__new")
+    numbered = number_rows(records, order, "__new", drop=("fp",))
     text = F.col("__new").cast("string")
     name = F.concat(F.lit(f"{logical_id}_rec_"), F.when(F.col("__new") < 100000, F.lpad(text, 5, "0")).otherwise(text))
-    return numbered.withColumns({"id": name, "source_id": F.lit(logical_id), "pos": F.col("__new")}).drop("__old", "__new")
+    return numbered.withColumns({"id": name, "source_id": F.lit(logical_id), "pos": F.col("__new")}).drop("__new")

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ledgerloom.session import materialise
 
 
-def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Adds name, 1 to n: ranges are sorted apart, and each row adds its place to the sizes of the ranges before its own."""
-    ranged = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranges")
+def number_rows(df: DataFrame, order: list[Column], name: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Adds name, 1 to n: ranges are sorted apart, and each row adds its place to the sizes of the ranges before its own.
+
+    drop: columns that the order alone needs; sorted rows are written without them.
+    """
+    ranged = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).drop(*drop).withColumn("__at", F.monotonically_increasing_id()), "ranges")
     part = F.shiftright("__at", 33)
     sizes = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range

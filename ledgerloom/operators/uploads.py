@@ -70,7 +70,7 @@ def reconcile_files(spark: SparkSession, path: str, scenario: str = "scenario_re
         raise ReconciliationError("TOO_FEW_SOURCES", ", ".join(f"{s.path}#{s.sheet}: {s.kind}" for s in found) or path)
     records = {s.id: materialise(normalize.canonical(rows.where(F.col("source_id") == s.id).select("row_idx", "cells"), s, columns[s.id]), "records") for s in mine}
     session = SCENARIOS[scenario].session(f"upload_{scenario}", mine)
-    session, records, counters = sessions.merge_logical(session, records)
+    session, records, counters = sessions.merge_logical(session, records, on_disk=True)
     need = {k for _, _, k, _ in SCENARIOS[scenario].rules} - set(SCENARIOS[scenario].optional_kinds)
     session = replace(session, required_kinds=tuple(sorted(need)))
     return Outcome(session, matching.reconcile(session, records), counters, left_out)

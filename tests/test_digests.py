@@ -1,10 +1,12 @@
 """Datasets' plain digests: what they are made of, and how often digests are moved for them."""
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import intake
+from ledgerloom.operators import intake, ordering, sessions
+from ledgerloom.plans.model import Session, Source
 
 
 def fp(i):
@@ -36,3 +38,36 @@ def test_odd_digests(spark):
     packed = spark.createDataFrame(rows[:4], "source_id string, fp string").withColumn("fp", F.unhex("fp"))
     assert found(intake.content_fingerprints(packed)) == plain(rows[:4])
     assert intake.content_fingerprints(packed.limit(0)).collect() == []
+
+
+def test_contents_are_what_fingerprints_and_relations_say(spark):
+    draw = random.Random(7)
+    sets = {s: [fp(draw.randrange(n)) for _ in range(80)] for s, n in (("a", 40), ("b", 300), ("c", 300))}
+    sets |= {"part": sets["a"][:9], "copy": sets["a"][::-1], "twice": sets["a"] * 2, "far": [fp("far")]}
+    rows = [(s, f) for s, fps in sets.items() for f in fps]
+    frame = spark.createDataFrame(rows, "source_id string, fp string")
+    want = {(r.a, r.b): r.relation for r in intake.relations(frame).collect()}
+    for prints in (frame, frame.withColumn("fp", F.unhex("fp"))):
+        fingerprint, related = intake.contents(prints, [*sets, "empty"])
+        assert fingerprint == {s: digest for s, (_, digest) in plain(rows).items()}
+        assert {(r["a"], r["b"]): r["relation"] for r in related} == want and want["a", "copy"] == "CONTENT_DUPLICATE" and want["a", "twice"] == "SUBSET_DUPLICATE"
+
+
+def test_records_are_made_once_and_sorted_rows_carry_no_digest(spark, monkeypatch):
+    made, kept, write = spark.sparkContext.accumulator(0), [], ordering.materialise
+    monkeypatch.setattr(ordering, "materialise", lambda df, label="step": kept.append(df.columns) or write(df, label))
+
+    def told(x):
+        made.add(1)
+        return x
+
+    none = {c: F.lit(None).cast("string") for c in ("voucher_no", "debit_account", "credit_account", "debit_amount", "credit_amount")}
+    rows = lambda n: spark.createDataFrame([(f"{n}{i}", i, f"{n}{i}", "S", f"2026-01-{i + 1:02}", "01", float(i)) for i in range(5)], "id string, pos bigint, doc_no string, series string, date string, partner_tax_id string, total_amount double").withColumns(none).withColumn("doc_no", F.udf(told)("doc_no"))
+    records = {"a": rows("a"), "b": rows("b"), "copy": rows("a"), "untyped": rows("c").withColumns({"series": F.lit("T"), "nothing": F.lit(None)})}
+    sources = tuple(Source(n, "ledger511", n, path=n) for n in ("a", "b", "copy"))
+    out, merged, _ = sessions.merge_logical(Session("s", sources), records)
+    got = merged[out.sources[0].id].orderBy("pos").collect()
+    assert [r.doc_no for r in got] == [f"{n}{i}" for i in range(5) for n in "ab"] and [r.pos for r in got] == list(range(1, 11))
+    assert made.value == 15
+    assert kept and all("fp" not in columns for columns in kept)
+    assert sessions.written(Session("s", (Source("untyped", "ledger511"),)), records)["untyped"].count() == 5
